@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,11 @@ def clean(column) -> "F.Column":
     """A reading with NaN turned into NULL."""
     column = F.col(column) if isinstance(column, str) else column
     return F.when(~F.isnan(column), column)
+
+
+def per_process(key, make):
+    """What `make` returns, made once per Python worker process and `key`, and kept between its tasks."""
+    kept = sys.modules.setdefault("_pelagia_kept", types.ModuleType("_pelagia_kept")).__dict__.setdefault("items", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
