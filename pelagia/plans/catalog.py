@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pelagia.plans import problems
+from pelagia.plans import problems, records
 
-_PARTS = [problems]
+_PARTS = [problems, records]
 
 
 def queries() -> dict:
