@@ -13,6 +13,7 @@ are judged by the first trees, and the final trees are trained on the paragraphs
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import uuid
@@ -86,67 +87,85 @@ class Trees:
                         successors = tree.setdefault(data[i - k : i], {})
                         successors[data[i]] = successors.get(data[i], 0) + many
             self.trees.append(tree)
-        self.sums = [{c: sum(s.values()) for c, s in tree.items()} for tree in self.trees]
+        # Frozen: code length of each seen byte, and of the escape, per context.
+        self.costs = [{c: (math.log2((n := sum(s.values())) + len(s)) - math.log2(len(s)), {b: math.log2((n + len(s)) / k) for b, k in s.items()}) for c, s in tree.items()} for tree in self.trees]
+        del self.trees
 
     def bits(self, context: bytes, byte: int) -> list[float]:
         """Code length of `byte` behind `context`, per language."""
+        contexts = [context[k:] for k in range(len(context) + 1)]
         out = []
-        for tree, sums in zip(self.trees, self.sums):
-            cost, c = 0.0, context
-            while True:
-                successors = tree.get(c)
-                if successors is not None:
-                    n, d = sums[c], len(successors)
-                    if (seen := successors.get(byte)) is not None:
-                        cost += float(np.log2((n + d) / seen))
+        for costs in self.costs:
+            cost = 0.0
+            for c in contexts:
+                known = costs.get(c)
+                if known is not None:
+                    seen = known[1].get(byte)
+                    if seen is not None:
+                        cost += seen
                         break
-                    cost += float(np.log2((n + d) / d))
-                if not c:
-                    cost += 8.0
-                    break
-                c = c[1:]
+                    cost += known[0]
+            else:
+                cost += 8.0
             out.append(cost)
         return out
 
 
 class Scorer:
-    """Code lengths of words under frozen trees, kept per word and per context."""
+    """Code lengths of tokens (stretches without white space) under frozen trees, kept per token and per context."""
 
-    def __init__(self, trees: Trees, most: int = 400_000):
+    def __init__(self, trees: Trees, most: int = 200_000):
         self.trees, self.most = trees, most
+        self._clear()
+
+    def _clear(self) -> None:
+        width = len(self.trees.codes)
         self.rows: dict[bytes, int] = {}
-        self.grams: list[list[float]] = []
+        self.grams = np.zeros((1024, width), np.float32)
         self.known: dict[str, int] = {}
-        self.matrix = np.zeros((1024, len(trees.codes)), np.float32)
-
-    def _word(self, word: str) -> list[float]:
-        data, order = b" " + word.encode("utf-8", "replace") + b" ", self.trees.order
-        total = [0.0] * len(self.trees.codes)
-        for i in range(1, len(data)):
-            gram = data[max(0, i - order) : i + 1]
-            row = self.rows.get(gram)
-            if row is None:
-                row = self.rows[gram] = len(self.grams)
-                self.grams.append(self.trees.bits(gram[:-1], gram[-1]))
-            total = [a + b for a, b in zip(total, self.grams[row])]
-        return total
+        self.matrix = np.zeros((1024, width + 1), np.float32)  # the last column counts words
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Code lengths of tokens that were not seen before, all at once."""
+        order, rows, known, bits = self.trees.order, self.rows, self.known, self.trees.bits
+        flat: list[int] = []
+        ends, words, fresh = [], [], []
+        for token in tokens:
+            parts = words_of(token)
+            for word in parts:
+                data = b" " + word.encode("utf-8", "replace") + b" "
+                for i in range(1, len(data)):
+                    gram = data[i - order if i > order else 0 : i + 1]
+                    row = rows.get(gram)
+                    if row is None:
+                        row = rows[gram] = len(rows)
+                        fresh.append(bits(gram[:-1], gram[-1]))
+                    flat.append(row)
+            ends.append(len(flat))
+            words.append(len(parts))
+        if fresh:
+            while len(rows) > len(self.grams):
+                self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
+            self.grams[len(rows) - len(fresh) : len(rows)] = fresh
+        first = len(known)
+        known.update(zip(tokens, range(first, first + len(tokens))))
+        while len(known) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        at = np.arange(first, len(known))
+        self.matrix[at, -1] = words
+        begin = np.r_[0, ends[:-1]]
+        some = np.flatnonzero(np.array(words))
+        if len(some):
+            self.matrix[at[some], :-1] = np.add.reduceat(self.grams[np.array(flat)], begin[some])
 
     def blocks(self, blocks: list[list[str]]) -> np.ndarray:
-        """Code length of each block of words, per language."""
+        """Code length of each block of tokens per language, and (last column) its number of words."""
         if len(self.known) > self.most:
-            self.known.clear()
-            self.rows.clear()
-            self.grams.clear()
-        known, at = self.known, []
-        for words in blocks:
-            for word in words:
-                n = known.get(word)
-                if n is None:
-                    n = known[word] = len(known)
-                    if n >= len(self.matrix):
-                        self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                    self.matrix[n] = self._word(word)
-                at.append(n)
+            self._clear()
+        known = self.known
+        if new := {t for tokens in blocks for t in tokens if t not in known}:
+            self._learn(list(new))
+        at = [known[t] for tokens in blocks for t in tokens]
         sizes = np.array([len(b) for b in blocks])
         out = np.zeros((len(blocks), self.matrix.shape[1]))
         full = np.flatnonzero(sizes)
@@ -167,7 +186,7 @@ def train(rows: list[tuple[str | None, str | None]], control: LanguageControl) -
                 counts[code].update(words)
                 blocks.append(words)
     first = Trees(counts, control.order)
-    cost = Scorer(first).blocks(blocks)
+    cost = Scorer(first).blocks(blocks)[:, :-1]
     again = {code: Counter() for code in LANGUAGES}
     for words, bits in zip(blocks, cost):
         again[first.codes[int(np.argmin(bits))]].update(words)
@@ -181,11 +200,12 @@ def judge(texts: list[str | None], scorer: Scorer, control: LanguageControl) ->
 
     A paragraph keeps the document's language unless its own code is clearly shorter.
     """
-    parts = [[words_of(p) for p in paragraphs(t)] if t else [] for t in texts]
-    cost = scorer.blocks([p for ps in parts for p in ps])
+    parts = [[p.split() for p in paragraphs(t)] if t else [] for t in texts]
+    measured = scorer.blocks([p for ps in parts for p in ps])
+    cost, counted = measured[:, :-1], measured[:, -1].astype(np.int64)
     out, at = [], 0
     for n, ps in enumerate(parts):
-        bits, size = cost[at : at + len(ps)], np.array([len(p) for p in ps])
+        bits, size = cost[at : at + len(ps)], counted[at : at + len(ps)]
         at += len(ps)
         if not size.sum():
             continue
@@ -232,9 +252,10 @@ def assign_languages(documents: DataFrame, control: LanguageControl | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scorer = per_process(("languages", token), lambda: Scorer(shared.value))
-            keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = judge(batch.column(2).to_pylist(), scorer, c)
-            codes = scorer.trees.codes
+            keys, labels, codes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), scorer.trees.codes
+            found = []
+            for a in range(0, batch.num_rows, 250):  # a few texts at a time are taken apart
+                found += [(a + f[0], *f[1:]) for f in judge(batch.column(2).slice(a, 250).to_pylist(), scorer, c)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([codes[f[2]] for f in found], pa.string()),
                 pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.int64()), pa.array([codes[f[5]] for f in found], pa.string()), pa.array([f[6] for f in found], pa.int64()), pa.array([named_language(labels[f[0]]) for f in found], pa.string()),
