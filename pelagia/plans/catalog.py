@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pelagia.plans import problems, records
+from pelagia.plans import domain, problems, records
 
-_PARTS = [problems, records]
+_PARTS = [problems, records, domain]
 
 
 def queries() -> dict:

@@ -18,7 +18,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.regular_grid(table(spark, sf_dir, "sensor_data"), table(spark, sf_dir, "sensor_files"))
+    out = grid.regular_grid(table(spark, sf_dir, "sensor_data"), table(spark, sf_dir, "sensor_files"))
+    return out.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = unit_texts.to_common_units(table(spark, sf_dir, "sensor_data"), table(spark, sf_dir, "sensor_files"))
-    return data.select("record_id", "ID", "file_no", *[F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) for c in ("ax", "ay", "az", "gx", "gy", "gz", "mx", "my", "mz")])
+    return data.select("record_id", "ID", "file_no", *[(F.round(F.when(~F.isnan(c), F.col(c)), 6) + F.lit(0.0)).alias(c) for c in ("ax", "ay", "az", "gx", "gy", "gz", "mx", "my", "mz")])
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +74,13 @@ w as (select *, max(case when v is not null then k end) over b k0, min(case when
   window b as (partition by "ID", file_no, channel order by k rows between unbounded preceding and current row),
     a as (partition by "ID", file_no, channel order by k rows between current row and unbounded following))
 select "ID", file_no, channel, k * i period_epoch,
-  case when v is not null then v when k0 is null or k1 is null or k1 - k0 - 1 > 3 then null else v0 + (v1 - v0) * (k - k0) / (k1 - k0) end value,
+  round(case when v is not null then v when k0 is null or k1 is null or k1 - k0 - 1 > 3 then null else v0 + (v1 - v0) * (k - k0) / (k1 - k0) end, 6) + 0.0 "value",
   case when v is not null then 'observed' when k0 is null or k1 is null then 'edge' when k1 - k0 - 1 <= 3 then 'filled' else 'gap' end state
 from w""",
     "p4_found": _UNITS + """select "ID", file_no, 'ax' channel, ua unit from u where ua <> 'g'
 union all select "ID", file_no, 'gx', ug from u where ug <> 'rad/s' union all select "ID", file_no, 'mx', um from u where um <> 'uT'""",
+    "p4_converted": _UNITS + """select s.record_id, s."ID", s.file_no, """ + ", ".join(f"round(case when not isnan({p}{a}) then {p}{a} end * {f}, 6) + 0.0 {p}{a}" for p, f in (("a", "case ua when 'mg' then 0.001 when 'm/s2' then 1 / 9.80665 else 1 end"), ("g", "case ug when 'mrad/s' then 0.001 when 'deg/s' then 0.017453292519943295 else 1 end"), ("m", "case um when 'nT' then 0.001 when 'mG' then 0.1 else 1 end")) for a in "xyz") + """
+from sensor_data s left join u on s."ID" = u."ID" and s.file_no = u.file_no""",
     "p5_found": """
 with i as (select 'video_segments' tbl, "ID", 'video' event, epoch_us("start") s, epoch_us("end") e from video_segments
   union all select 'annotations', "ID", event, epoch_us("start"), epoch_us("end") from annotations),
