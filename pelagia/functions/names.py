@@ -42,13 +42,8 @@ def picture_time(text: Column) -> Column:
     form = r"(?i)^\s*(\S{1,2})[\s/-]+(\S{3})[\s/-]+(\S{4})\s+(\S{1,2})[:;.](\S{1,2})[:;.](\S{1,2})\s*$"
     part = [F.regexp_extract(text, form, n) for n in range(1, 7)]
     word = F.upper(F.translate(part[1], "0158", "OISB"))
-    month = F.lit(None).cast("int")
-    for n, name in enumerate(MONTHS, 1):  # two of the three letters must be right
-        agree = sum((F.substring(word, k + 1, 1) == name[k]).cast("int") for k in range(3))
-        month = F.when(month.isNull() & (agree == 3), n).otherwise(month)
-    for n, name in enumerate(MONTHS, 1):
-        agree = sum((F.substring(word, k + 1, 1) == name[k]).cast("int") for k in range(3))
-        month = F.when(month.isNull() & (agree == 2), n).otherwise(month)
+    agree = [sum(((F.substring(word, k + 1, 1) == name[k]).cast("int") for k in range(3)), F.lit(0)) for name in MONTHS]
+    month = F.coalesce(*[F.when(a == least, n) for least in (3, 2) for n, a in enumerate(agree, 1)])
     number = [F.when(digits(p) != "", digits(p).try_cast("int")) for p in part]
     cut = [F.least(number[3], F.lit(23)), F.least(number[4], F.lit(59)), F.least(number[5], F.lit(59))]
     return F.try_make_timestamp(number[2], month, number[0], cut[0], cut[1], cut[2].cast("decimal(16,6)"), F.lit("UTC"))

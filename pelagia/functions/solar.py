@@ -64,13 +64,15 @@ def with_diel_phase(df: DataFrame, name: str = "phase", phases: int = 2, twiligh
     """`df` with the phase of each row: ``day`` and ``night`` (2), ``twilight`` (3) or ``dawn`` and ``dusk`` (4); NULL without
     time or place, and where the sun's events do not occur. A time before dawn is compared with the dusk before."""
 
+    columns = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.column("__t").cast(pa.float64()).to_numpy(zero_copy_only=False) / 1e6
             x, y = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("__lon", "__lat"))
             out = phases_of(t, x, y, phases, twilight) if len(t) else np.zeros(0, object)
-            kept = [batch.column(c) for c in df.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out.tolist(), pa.string())], [*df.columns, name])
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out.tolist(), pa.string())], [*columns, name])
 
     ready = df.select("*", F.unix_micros(time).alias("__t"), F.col(lon).cast("double").alias("__lon"), F.col(lat).cast("double").alias("__lat"))
     return ready.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} string")

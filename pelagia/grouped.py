@@ -23,8 +23,10 @@ def _boundaries(data: pa.Table, keys: list[str]) -> np.ndarray:
     for key in keys:
         column = data.column(key)
         if not pa.types.is_integer(column.type) or column.null_count:
-            column = column.dictionary_encode(null_encoding="encode").unify_dictionaries().combine_chunks()
-            column = column.indices if isinstance(column, pa.DictionaryArray) else column.chunk(0).indices
+            whole = column.combine_chunks()
+            if isinstance(whole, pa.ChunkedArray):
+                whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)
+            column = whole.dictionary_encode(null_encoding="encode").indices  # NULL is a key of its own
         values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
         change[1:] |= values[1:] != values[:-1]
     return np.flatnonzero(change)
