@@ -130,7 +130,8 @@ def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict
 
     At an anchor the residual is the anchor less the reckoned place; between two anchors it changes linearly in time
     and stays beyond the last (``linear``: the whole residual; ``error_weighted``: the part that the reckoning's own
-    uncertainty since the last anchor warrants against the fix's radius). ``none`` leaves the reckoned track.
+    uncertainty since the last anchor warrants against the fix's radius). ``scale_rotate`` turns and stretches each leg
+    onto its anchors instead. ``none`` leaves the reckoned track.
     Uncertainty grows from the last anchor and towards the next, ``drift^2 = (rate t)^2 + diffusion t``, and both are
     fused by their inverse variances.
     """
@@ -150,7 +151,7 @@ def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict
     since = F.coalesce((F.col("__t") - before_t) / 1e6, F.lit(0.0))
     r_dr2 = since * since * rate2 + c.diffusion * since
     gain = F.when(F.lit(c.correction == "error_weighted") & (since > 0), r_dr2 / (r_dr2 + F.col("__a.radius_m") ** 2)).otherwise(F.lit(0.0 if c.correction == "none" else 1.0))
-    res = res.withColumn("__d", F.when(F.col("__a").isNotNull(), F.struct(F.col("__t").alias("t"), ((F.col("__a.a_east") - F.col("__here.east_m")) * gain).alias("e"), ((F.col("__a.a_north") - F.col("__here.north_m")) * gain).alias("n"), F.col("__a.radius_m").alias("r"))))
+    res = res.withColumn("__d", F.when(F.col("__a").isNotNull(), F.struct(F.col("__t").alias("t"), ((F.col("__a.a_east") - F.col("__here.east_m")) * gain).alias("e"), ((F.col("__a.a_north") - F.col("__here.north_m")) * gain).alias("n"), F.col("__a.radius_m").alias("r"), F.col("__here.east_m").alias("pe"), F.col("__here.north_m").alias("pn"), F.col("__a.a_east").alias("ae"), F.col("__a.a_north").alias("an"))))
     a, b = F.last("__d", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("__d", True).over(ahead)
     res = res.withColumn("__x", a).withColumn("__y", b).where("__kind = 1")
     part = F.coalesce(F.try_divide(F.col("__t") - F.col("__x.t"), F.nullif(F.col("__y.t") - F.col("__x.t"), F.lit(0))), F.lit(0.0))
@@ -158,7 +159,18 @@ def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict
     def moved(k: str):
         return F.coalesce(F.col(f"__x.{k}"), F.lit(0.0)) + F.coalesce(part * (F.col(f"__y.{k}") - F.col(f"__x.{k}")), F.lit(0.0))
 
-    lon, lat = from_local(F.col("__row.east_m") + moved("e"), F.col("__row.north_m") + moved("n"), F.col("__row.lon0"), F.col("__row.lat0"))
+    east, north = F.col("__row.east_m") + moved("e"), F.col("__row.north_m") + moved("n")
+    if c.correction == "scale_rotate":
+        # The leg turned and stretched onto its anchors; legs that hardly lead anywhere stay linear.
+        dpe, dpn = F.col("__y.pe") - F.col("__x.pe"), F.col("__y.pn") - F.col("__x.pn")
+        dae, dan = F.col("__y.ae") - F.col("__x.ae"), F.col("__y.an") - F.col("__x.an")
+        size = dpe * dpe + dpn * dpn
+        re, im = F.try_divide(dae * dpe + dan * dpn, F.nullif(size, F.lit(0.0))), F.try_divide(dan * dpe - dae * dpn, F.nullif(size, F.lit(0.0)))
+        stretch = F.sqrt(re * re + im * im)
+        fits = (size > 100.0) & (stretch > 0.2) & (stretch < 5.0)
+        qe, qn = F.col("__row.east_m") - F.col("__x.pe"), F.col("__row.north_m") - F.col("__x.pn")
+        east, north = F.when(fits, F.col("__x.ae") + re * qe - im * qn).otherwise(east), F.when(fits, F.col("__x.an") + im * qe + re * qn).otherwise(north)
+    lon, lat = from_local(east, north, F.col("__row.lon0"), F.col("__row.lat0"))
 
     def variance(side: str, sign: int):
         s = sign * (F.col("__t") - F.col(f"{side}.t")) / 1e6

@@ -228,6 +228,8 @@ def test_tracks(spark):
     assert med["linear"] < med["none"]
     out = tracks.reconstruct(biased, home, seen, {"speed": "paddle"}).where("datetime = '2024-03-01 00:05:00'").first()
     assert out.pseudo_lon == pytest.approx(math.degrees(300 / 6371000.0), abs=1e-6) and out.pseudo_error <= 41
+    turned = tracks.reconstruct(biased, home, seen, {"speed": "paddle", "correction": "scale_rotate"}).where("datetime between '2024-03-01 00:02:30' and '2024-03-01 00:07:30'")
+    assert turned.agg(F.max(F.abs(F.radians("pseudo_lat")) * 6371000.0)).first()[0] < 0.5  # the bias of heading is turned away
     assert tracks.export_for_ssm(tracks.reconstruct(east, home, seen), 1).count() == 10
 
 
