@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.control import Dives
 from pelagia.functions.angles import guarded_mean, resultant_length
+from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.tag import seconds
 from pelagia.operators.windows import hysteresis, lookup, nocb, reverse, spec
 
@@ -97,6 +100,8 @@ def detect(data: DataFrame, control: Dives | dict | None = None, bin_s: float =
     df = df.withColumn("__over", F.when(F.col("__dark"), 0).when(F.col("depth").isNull(), F.coalesce(F.last(F.when(F.col("depth").isNotNull(), over), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).otherwise(over))
     changed = (F.row_number().over(w) == 1) | (F.col("__over") != F.lag("__over").over(w)) | F.col("__split")
     df = df.withColumn("__run", F.sum(F.when(changed, 1).otherwise(0)).over(w))
+    if s.prominence is not None:
+        df = split_at_cols(df, s.prominence)
     per = Window.partitionBy("ID", "__run")
     keep = (F.col("__over") != 0) & (F.max(F.abs("__r")).over(per) > s.threshold) & (F.max(F.abs("__r")).over(per) - s.band >= s.min_amplitude - 1e-9) & (F.max("__t").over(per) - F.min("__t").over(per) >= s.min_duration_s)
     df = df.withColumn("__dive", F.coalesce(keep, F.lit(False)))
@@ -109,6 +114,44 @@ def detect(data: DataFrame, control: Dives | dict | None = None, bin_s: float =
     return df.select(*data.columns, "depth_baseline", "dive_id", "dive_phase"), s
 
 
+def cols(z: np.ndarray, prominence: float, most: int = 64) -> list[int]:
+    """Where a run is divided: at the lowest point between two peaks that both rise at least `prominence` above it, the most
+    prominent first, and so on in the parts."""
+    out: list[int] = []
+    parts = [(0, len(z))]
+    while parts and len(out) < most:
+        a, b = parts.pop()
+        if b - a < 3:
+            continue
+        x = z[a:b]
+        left, right = np.maximum.accumulate(x), np.maximum.accumulate(x[::-1])[::-1]
+        depth = np.minimum(left, right) - x
+        k = int(np.argmax(depth))
+        if depth[k] >= prominence:
+            out.append(a + k)
+            parts += [(a, a + k), (a + k + 1, b)]
+    return sorted(out)
+
+
+def split_at_cols(df: DataFrame, prominence: float) -> DataFrame:
+    """`df` (with ``__r, __run, __over``) with runs divided at their cols. A kernel sees one run of one record at a time."""
+    w = spec()
+    over = df.where("__over <> 0 and __r is not null").select("ID", "__run", F.unix_micros("datetime").alias("__us"), F.abs("__r").alias("__z"))
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        z, us = numbers(table, "__z").astype(float), numbers(table, "__us")
+        at = [a + k for a, b in zip(starts.tolist(), np.r_[starts[1:], len(z)].tolist()) for k in cols(z[a:b], prominence)]
+        take = pa.array(at, pa.int64())
+        return pa.table({"ID": table.column("ID").take(take), "__us": pa.array(us[at] if at else np.zeros(0, np.int64))})
+
+    cut = over_sorted_groups(over, ["ID", "__run"], ["__us"], kernel, "ID string, __us bigint").withColumn("__cut", F.lit(1))
+    met = df.withColumn("__us", F.unix_micros("datetime")).join(cut, ["ID", "__us"], "left")
+    # A col ends its part: the row behind it begins the next run.
+    behind = F.coalesce(F.lag("__cut").over(w), F.lit(0))
+    new = (F.row_number().over(w) == 1) | (F.col("__run") != F.lag("__run").over(w)) | (behind == 1)
+    return met.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(w)).drop("__new", "__cut", "__us")
+
+
 def metrics(dives: DataFrame, s: Dives, variables: tuple[str, ...] = (), circular: tuple[str, ...] = ()) -> DataFrame:
     """One row per dive: ``ID, dive_id`` and the columns of `METRICS`, plus mean and sd of each variable.
 

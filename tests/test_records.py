@@ -139,6 +139,10 @@ def test_dives(spark):
     none, s = dives.detect(train_of_dives(spark, flat=True), c)
     assert dives.metrics(none, s).count() == 0 and dives.metrics(none, s).columns[:2] == ["ID", "dive_id"]
     assert none.where("dive_id <> 0").count() == 0
+    assert dives.cols(np.array([0.0, 9, 5, 8, 7.5, 8, 0]), 2) == [2] and dives.cols(np.arange(9.0), 1) == []
+    twin = frame(spark, [("A", at(k), d) for k, d in enumerate([0.0] * 30 + [30.0] * 60 + [12.0] * 5 + [28.0] * 60 + [0.0] * 30)], "depth double")
+    split, s = dives.detect(twin, {**c, "prominence": 10.0})
+    assert dives.metrics(split, s).count() == 2 and dives.metrics(*dives.detect(twin, c)).count() == 1
     auto, s = dives.detect(train_of_dives(spark), {})
     assert dives.metrics(auto, s).count() == 6
 
