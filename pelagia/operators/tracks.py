@@ -12,6 +12,7 @@ from pelagia.functions.geo import RADIUS_KM, bearing, from_local, geodesic_km, h
 from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.tag import seconds
 from pelagia.operators.windows import first_per_bin, reverse, spec
+from pelagia.runtime import cut
 
 # Error radius in metres by location quality.
 RADII = {"3": 250.0, "2": 500.0, "1": 1500.0, "0": 5000.0, "A": 8000.0, "B": 12000.0, "4": 120.0, "5": 80.0, "6": 60.0, "7": 50.0, "8": 40.0, "9": 35.0, "10": 30.0, "11": 25.0}
@@ -182,7 +183,7 @@ def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict
 
 
 def reconstruct(data: DataFrame, deployments: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
-    track = reckon(data, deployments, control)
+    track = cut(reckon(data, deployments, control))  # read twice below
     return correct(track, anchors(track, fixes, control), control)
 
 
@@ -193,7 +194,7 @@ def cross_validate(data: DataFrame, deployments: DataFrame, fixes: DataFrame, co
     gives the same correction: residuals are interpolated between the anchor before and the one behind.
     """
     c = Reckoning.of(control)
-    track = reckon(data, deployments, c)
+    track = cut(reckon(data, deployments, c))
     from pelagia.operators.joins import as_of
 
     mark = anchors(track, fixes, c).withColumn("pos", F.monotonically_increasing_id())

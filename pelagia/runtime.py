@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores: a small table in one file would else be one task.
+    A table that is read in enough partitions is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def micros(column) -> "F.Column":
     """Microseconds since the epoch of a timestamp column."""
     return F.unix_micros(column)
