@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.runtime import per_process
+from pelagia.runtime import per_process, spread
 
 # The languages and how labels spell them.
 LANGUAGES = {
@@ -261,7 +261,7 @@ def assign_languages(documents: DataFrame, control: LanguageControl | None = Non
                 pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.int64()), pa.array([codes[f[5]] for f in found], pa.string()), pa.array([f[6] for f in found], pa.int64()), pa.array([named_language(labels[f[0]]) for f in found], pa.string()),
             ], ["doc_id", "para_no", "lang", "confidence", "words", "main", "doc_words", "label"])
 
-    return base.mapInArrow(run, schema)
+    return spread(base).mapInArrow(run, schema)
 
 
 def wrong_labels(documents: DataFrame, control: LanguageControl | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.runtime import spread
+
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­](?:[ \t\r]*\n\s*)?(?=\w)")
 _WORDS = re.compile(r"[^\W_]+")
@@ -207,7 +209,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 24, blo
     """
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     passes = max(1, -(-asked.count() // items_per_pass))
-    corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null"))
     schema = "item_id bigint, doc_id bigint, words bigint, item_from bigint, altered bigint"
     found = None
     for n in range(passes):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.runtime import per_process
+from pelagia.runtime import per_process, spread
 
 #: Fixed value: the pre-splitting pattern that belongs to the byte_bpe vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,7 +179,8 @@ def encode_corpus(documents: DataFrame, path: str, key: str = "doc_id", text: st
 
     NULL and empty texts give an empty array; blank texts are encoded as they are; names of special tokens
     inside a text are ordinary text. Texts are encoded whole, whatever their length. Repeated documents
-    and NULL keys keep their rows. Extra columns are ignored. No shuffle takes place. `path` is the file of
+    and NULL keys keep their rows. Extra columns are ignored. No shuffle takes place, unless the
+    table is read in fewer partitions than there are cores. `path` is the file of
     the vocabulary; it has to be readable on the executors.
     """
 
@@ -194,4 +195,4 @@ def encode_corpus(documents: DataFrame, path: str, key: str = "doc_id", text: st
                 lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(flat[ends[a] : ends[b]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [key, "ids"])
 
-    return documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, f"{key} bigint, ids array<int>")
+    return spread(documents.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text))).mapInArrow(run, f"{key} bigint, ids array<int>")
