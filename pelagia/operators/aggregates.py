@@ -15,10 +15,11 @@ def time_bins(data: DataFrame, hz: float, linear: list[str], circular: dict[str,
     """Means per bin of ``1/hz`` seconds, counted from each record's first row.
 
     `circular` maps angle columns to the lower end of their range; `flags` are true if any row's is. One
-    aggregation makes all columns. The first times are one row per ID, found in an aggregation of its own.
+    aggregation makes all columns. The first time is a window over the ID, by which a record is partitioned
+    already, so the record is worked out once.
     """
-    origin = data.groupBy("ID").agg(F.min(F.unix_micros("datetime")).alias("__t0"))
-    binned = data.join(origin, "ID").withColumn("__bin", F.floor((F.unix_micros("datetime") - F.col("__t0")) * hz / 1e6).cast("bigint"))
+    first = F.min(F.unix_micros("datetime")).over(Window.partitionBy("ID"))
+    binned = data.withColumn("__t0", first).withColumn("__bin", F.floor((F.unix_micros("datetime") - F.col("__t0")) * hz / 1e6).cast("bigint"))
     out = binned.groupBy("ID", "__t0", "__bin").agg(*[F.avg(c).alias(c) for c in linear], *[circular_mean(F.col(c), low).alias(c) for c, low in (circular or {}).items()], *[F.max(F.col(c).cast("int")).alias(c) for c in (flags or [])])
     stamp = F.timestamp_micros((F.col("__t0") + F.round(F.col("__bin") * (1e6 / hz))).cast("bigint"))
     return out.select("ID", stamp.alias("datetime"), *linear, *(circular or {}), *(flags or []))

@@ -11,7 +11,7 @@ from pelagia.functions import solar
 from pelagia.operators import alignment, dives, features, joins, magnetometer, mapping, process, quality, regularize, tailbeats, tracks, trim, unit_texts
 from pelagia.operators import tag as tags
 from pelagia.plans.records import TAG, q, r6, record, rounded, with_heading
-from pelagia.runtime import table
+from pelagia.runtime import cut, table
 from pelagia.sources.sinks import load_records, save_records
 
 QUERIES: dict = {}
@@ -243,7 +243,7 @@ def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagia.operators.aggregates import time_bins
 
     df = with_heading(units_record(spark, sf_dir))
-    return time_bins(df, 1 / 60, ["depth", "pitch"], {"heading": 0.0})
+    return cut(time_bins(df, 1 / 60, ["depth", "pitch"], {"heading": 0.0}))
 
 
 @query()
