@@ -11,7 +11,7 @@ from pelagia.functions import solar
 from pelagia.operators import alignment, dives, features, joins, magnetometer, mapping, process, quality, regularize, tailbeats, tracks, trim, unit_texts
 from pelagia.operators import tag as tags
 from pelagia.plans.records import TAG, q, r6, record, rounded, with_heading
-from pelagia.runtime import cut, table
+from pelagia.runtime import cut, shared_folder, table
 from pelagia.sources.sinks import load_records, save_records
 
 QUERIES: dict = {}
@@ -279,8 +279,7 @@ def snk1_saved_and_read(spark, sf_dir):
     """Records written by ID and read back."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pelagia-checkpoints"
-    path = save_records(record(spark, sf_dir).select("record_id", "ID", "datetime", "depth"), f"{base}/records-{uuid.uuid4().hex}", "snappy", salt=4)
+    path = save_records(record(spark, sf_dir).select("record_id", "ID", "datetime", "depth"), f"{shared_folder(spark)}/records-{uuid.uuid4().hex}", "snappy", salt=4)
     return rounded(load_records(spark, path).select("record_id", "ID", "datetime", "depth"))
 
 

@@ -16,20 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named by ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` survives the loss of executors. Only where the
-    session names none and runs on one machine (tests) a temporary folder is used.
+    Only where the session names none and runs on one machine (tests) it is a temporary folder.
     """
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "pelagia-checkpoints")
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the cluster's shared checkpoint folder and forget its lineage. It survives the loss of
+    executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), "pelagia-checkpoints")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -108,7 +108,7 @@ def assemble(parts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return met.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "rank", "spans", "name", "file")
 
 
-def read_cats(spark: SparkSession, folder: str, tag_id: str, subdirectory: str = "CMD", mapping: dict | None = None, timezone: str = "UTC") -> DataFrame:
+def read_csv_logger(spark: SparkSession, folder: str, tag_id: str, subdirectory: str = "CMD", mapping: dict | None = None, timezone: str = "UTC") -> DataFrame:
     """CSV logger folder: files like the largest are put together; files with other sensors are left out."""
     where = os.path.join(folder, subdirectory) if subdirectory and os.path.isdir(os.path.join(folder, subdirectory)) else folder
     probed = []
@@ -166,7 +166,7 @@ def step_hold(fast: DataFrame, slow: DataFrame, hz: float, columns: list[str], s
     return met.join(s, "__s", "left").drop("__s", "last")
 
 
-def read_little_leonardo(spark: SparkSession, acceleration: str, depth: str | None, start: str, tag_id: str, rate: float | None = None) -> DataFrame:
+def read_text_logger(spark: SparkSession, acceleration: str, depth: str | None, start: str, tag_id: str, rate: float | None = None) -> DataFrame:
     """A clock-less logger: times are made of start, row number and rate; slow depth and temperature are held."""
     fast, hz = read_text_log(spark, acceleration, ["ax", "ay", "az"], rate)
     if depth:
@@ -247,14 +247,14 @@ def _has_log(folder: str) -> bool:
 
 
 #: Name to (whether a folder has such data, reader of (spark, folder, id)).
-READERS: dict[str, tuple[Callable[[str], bool], Callable[[SparkSession, str, str], DataFrame]]] = {"cats": (_has_csv, read_cats)}
+READERS: dict[str, tuple[Callable[[str], bool], Callable[[SparkSession, str, str], DataFrame]]] = {"csv": (_has_csv, read_csv_logger)}
 
 
 def register(name: str, detect: Callable[[str], bool], reader: Callable[[SparkSession, str, str], DataFrame]) -> None:
     READERS[name] = (detect, reader)
 
 
-register("little_leonardo", _has_log, lambda spark, folder, tag_id: read_little_leonardo(spark, *_logger_paths(folder), tag_id))
+register("text", _has_log, lambda spark, folder, tag_id: read_text_logger(spark, *_logger_paths(folder), tag_id))
 
 
 def _logger_paths(folder: str) -> tuple[str, str | None, str]:
@@ -274,7 +274,7 @@ def detect_format(folder: str) -> str:
     return fits[0]
 
 
-def import_folders(spark: SparkSession, folders: dict[str, str], reader: str = "cats", required: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+def import_folders(spark: SparkSession, folders: dict[str, str], reader: str = "csv", required: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """The fleet of all readable folders (ID to folder), and why others were skipped; an error if none is readable."""
     parts, skipped = [], {}
     for tag_id, folder in folders.items():

@@ -284,7 +284,7 @@ def test_sources_and_sinks(spark, tmp_path):
     log.mkdir()
     (log / "t_A.txt").write_bytes(b"Title\r\n50 msec/point\r\nX ,Y ,Z\r\n" + b"".join(b"%d , 0 , 1 ,\r\n" % k for k in range(45)))
     (log / "t_DT.txt").write_bytes(b"Title\r\nDepth , Temp\r\n" + b"".join(b"%d , 20\r\n" % k for k in range(2)))
-    rec = loggers.read_little_leonardo(spark, str(log / "t_A.txt"), str(log / "t_DT.txt"), "2024-03-01 00:00:00", "L").orderBy("datetime").collect()
+    rec = loggers.read_text_logger(spark, str(log / "t_A.txt"), str(log / "t_DT.txt"), "2024-03-01 00:00:00", "L").orderBy("datetime").collect()
     assert len(rec) == 45 and [rec[k].depth for k in (0, 19, 20, 44)] == [0, 0, 1, 1] and rec[1].datetime.microsecond == 50_000 and rec[7].ax == 7
     (tmp_path / "c.txt").write_text("[device]\nname=x\noffsets=1, 2, -3\n")
     (tmp_path / "c.json").write_text('{"sampleRate": "50"}')
