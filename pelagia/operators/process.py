@@ -190,7 +190,7 @@ def mount_offsets(data: DataFrame, control: Calibration | dict | None = None) ->
 
 def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict | None = None, calibration: Calibration | dict | None = None, orientation: Orientation | dict | None = None, burst_quantile: float = 0.95, downsample_hz: float | None = 1.0) -> DataFrame:
     """The analysis-ready record: accel, static and dynamic parts, vedba, odba, burst, jerk, vertical velocity, pitch,
-    roll, heading, turning angle; reduced to `downsample_hz` and rounded for storage.
+    roll, heading, turning angle; reduced to `downsample_hz` (slower records keep their rows) and rounded for storage.
 
     IDs without accelerometer or depth values are skipped, not errors. Heading is NULL without magnetometer.
     """
@@ -218,7 +218,7 @@ def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict
     df = df.withColumn("turning_angle", turning(F.col("heading"), w))
     linear = ["ax", "ay", "az", "depth", "temp", "accel", "surge", "sway", "heave", "vedba", "odba", "jerk", "vertical_velocity", "pitch", "turning_angle"]
     if downsample_hz is not None:
-        df = time_bins(df, downsample_hz, linear, {"roll": -180.0, "heading": 0.0}, ["burst"])
+        df = time_bins(df, downsample_hz, linear, {"roll": -180.0, "heading": 0.0}, ["burst"], keep_slower=True)
     else:
         df = df.select("ID", "datetime", *linear, "roll", "heading", F.col("burst").cast("int").alias("burst"))
     return stored(df)

@@ -239,11 +239,11 @@ def agg16_track_metrics(spark, sf_dir):
 
 
 def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a minute with heading, pitch and vertical speed."""
+    """Heading, pitch and depth at 1 Hz, or at the record's own rate where that is lower."""
     from pelagia.operators.aggregates import time_bins
 
     df = with_heading(units_record(spark, sf_dir))
-    return cut(time_bins(df, 1 / 60, ["depth", "pitch"], {"heading": 0.0}))
+    return cut(time_bins(df, 1.0, ["depth", "pitch"], {"heading": 0.0}, keep_slower=True))
 
 
 @query()
@@ -358,7 +358,7 @@ def tbf_best_axis(spark, sf_dir):
 
 @query()
 def k0_pivot(spark, sf_dir):
-    return process.pivot(units_record(spark, sf_dir), declination=5.0, smoothing={"static_s": 60.0}, downsample_hz=1 / 60)
+    return process.pivot(units_record(spark, sf_dir), declination=5.0, smoothing={"static_s": 60.0}, downsample_hz=1.0)
 
 
 @query()

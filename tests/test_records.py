@@ -213,6 +213,19 @@ def test_orientation_and_pivot(spark):
     assert np.array_equal(rotations.proper_rotations()[scored.candidate][2], [0, 0, 1])
 
 
+def test_queries_keep_the_rate_of_the_record(spark, tmp_path):
+    from pelagia.plans import domain
+
+    steps = {"A": 1.0, "B": 30.5, "C": 0.1}
+    rows = [(k, i, 1, at(k * dt), 0.1 * math.sin(k), 0.0, 1.0, 0.0, 0.0, 0.0, 20.0, float(k % 7), 40.0, float(k % 50), 20.0, 0.0, 0.0) for i, dt in steps.items() for k in range(240)]
+    spark.createDataFrame(rows, "record_id bigint, ID string, file_no int, datetime timestamp, ax double, ay double, az double, gx double, gy double, gz double, mx double, my double, mz double, depth double, temp double, pseudo_lon double, pseudo_lat double").write.parquet(f"{tmp_path}/sensor_data.parquet")
+    spark.createDataFrame([(i, 1, None, None) for i in steps], "ID string, file_no int, header string, note string").write.parquet(f"{tmp_path}/sensor_files.parquet")
+    for out in (domain._moving(spark, str(tmp_path)), domain.k0_pivot(spark, str(tmp_path))):
+        seen = out.select("ID", F.unix_micros("datetime").alias("us")).collect()
+        assert {i: sum(r.ID == i for r in seen) for i in steps} == {"A": 240, "B": 240, "C": 24}
+        assert {r.us for r in seen if r.ID == "B"} == {int((T0.timestamp() + 30.5 * k) * 1e6) for k in range(240)}
+
+
 def test_tracks(spark):
     fixes = spark.createDataFrame([(k, "A", at(3600 * k), "FastGPS", 5.0 if k == 3 else 0.01 * k, 5.0 if k == 3 else 0.0, "8") for k in range(5)], "pos_id bigint, ID string, datetime timestamp, type string, lon double, lat double, quality string")
     home = spark.createDataFrame([("A", 0.0, 0.0)], "ID string, lon double, lat double")
