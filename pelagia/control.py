@@ -29,7 +29,7 @@ def _check(ok: bool, what: str) -> None:
 class Smoothing(Control):
     static_s: float = 3.0
     dba_s: float | None = None
-    orientation_s: float = 1.0
+    orientation_s: float | None = 1.0
     depth_s: float | None = 10.0
     velocity_s: float | None = 1.0
 
@@ -45,6 +45,7 @@ class Calibration(Control):
     max_pitch_offset: float = 45.0
     max_roll_offset: float = 60.0
     least_rows: int = 100
+    velocity_s: float = 10.0
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,8 @@ from pelagia.functions.angles import over_frame, wrap180, wrap360
 from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.aggregates import time_bins
 from pelagia.operators.tag import seconds
-from pelagia.operators.windows import central_rate, edge_mean, spec, turning
+from pelagia.operators.windows import central_rate, mean_over_seconds, seconds_frame, spec, turning, with_rate
+from pelagia.runtime import cut
 
 #: Decimals that each kind of column is stored with.
 DECIMALS = {"ax": 4, "ay": 4, "az": 4, "gx": 4, "gy": 4, "gz": 4, "mx": 2, "my": 2, "mz": 2, "depth": 2, "temp": 2, "pitch": 2, "roll": 2, "heading": 2, "vedba": 4, "odba": 4, "vertical_velocity": 3, "turning_angle": 2, "paddle_freq": 4, "paddle_speed": 3, "accel": 4, "surge": 4, "sway": 4, "heave": 4, "jerk": 4}
@@ -176,10 +177,23 @@ def attitude(data: DataFrame, beta: float = 0.1) -> DataFrame:
     return over_sorted_groups(data, ["ID"], ["datetime"], kernel, schema)
 
 
+def vertical_velocity(data: DataFrame, smoothing: Smoothing | dict | None = None) -> DataFrame:
+    """`data` with `vertical_velocity` (positive down): the central difference of depth averaged over `depth_s`, itself
+    averaged over `velocity_s`. Depth stays as it is."""
+    s, had = Smoothing.of(smoothing), "__us" in data.columns
+    df = data if had else with_rate(data)
+    df = df.withColumn("__z", mean_over_seconds(F.col("depth"), s.depth_s))
+    df = df.withColumn("vertical_velocity", 1e6 * central_rate(F.col("__z"), F.col("__us"), spec(order=("__us",))))
+    df = df.withColumn("vertical_velocity", mean_over_seconds(F.col("vertical_velocity"), s.velocity_s)).drop("__z")
+    return df if had else df.drop("__us", "__rate")
+
+
 def mount_offsets(data: DataFrame, control: Calibration | dict | None = None) -> DataFrame:
     """Per ID the pitch offset (intercept of pitch on vertical velocity) and the roll offset (median roll while the
-    animal hardly moves vertically); 0 where the evidence is too thin."""
+    animal hardly moves vertically), both on the velocity averaged over `velocity_s`; 0 where the evidence is too thin."""
     c = Calibration.of(control)
+    df = data if "__us" in data.columns else with_rate(data)
+    data = df.withColumn("vertical_velocity", mean_over_seconds(F.col("vertical_velocity"), c.velocity_s)).select("ID", "pitch", "roll", "vertical_velocity")
     both = F.col("pitch").isNotNull() & F.col("vertical_velocity").isNotNull()
     p, v = F.when(both, F.col("pitch")), F.when(both, F.col("vertical_velocity"))
     fit = data.groupBy("ID").agg(F.count(p).alias("n"), F.stddev_samp(v).alias("sd"), F.regr_intercept(p, v).alias("b"), F.regr_r2(p, v).alias("r2"), F.percentile(F.abs("vertical_velocity"), 0.5).alias("still"))
@@ -195,7 +209,7 @@ def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict
     IDs without accelerometer or depth values are skipped, not errors. Heading is NULL without magnetometer.
     """
     s, o = Smoothing.of(smoothing), Orientation.of(orientation)
-    w, t = spec(), seconds()
+    w, t = spec(order=("__us",)), seconds()
     usable = data.groupBy("ID").agg(F.count("ax").alias("a"), F.count("depth").alias("d")).where("a > 0 and d > 0").select("ID")
     raw = data.join(usable, "ID", "left_semi")
     if o.algorithm == "madgwick":
@@ -205,16 +219,17 @@ def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict
         pitch, roll = tilt(F.col("sx"), F.col("sy"), F.col("sz"))
         df = df.withColumn("pitch", pitch).withColumn("roll", roll)
         df = df.withColumn("heading", heading(F.col("pitch"), F.col("roll"), F.col("mx"), F.col("my"), F.col("mz"), declination, o.max_pitch))
-    limit = df.groupBy("ID").agg(F.percentile("vedba", burst_quantile).alias("__b"))
+    df = vertical_velocity(with_rate(df), s)
+    # Two tables of one row per ID come from these few columns; without the cut each would work out the record anew.
+    few = cut(df.select("ID", "__us", "__rate", "pitch", "roll", "vertical_velocity", "vedba"))
+    limit = few.groupBy("ID").agg(F.percentile("vedba", burst_quantile).alias("__b")).join(mount_offsets(few, calibration), "ID")
     df = df.join(limit, "ID").withColumn("accel", magnitude()).withColumn("burst", F.coalesce(F.col("vedba") >= F.col("__b"), F.lit(False))).drop("__b")
     dt = t - F.lag(t).over(w)
     df = df.withColumn("jerk", F.try_divide(F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("ax", "ay", "az")), F.lit(0.0))), F.nullif(dt, F.lit(0.0))))
-    df = df.withColumn("vertical_velocity", central_rate(F.col("depth"), t, w))
-    df = df.withColumn("vertical_velocity", edge_mean(F.col("vertical_velocity"), w, 3))
-    off = mount_offsets(df, calibration)
-    df = df.join(off, "ID").withColumn("pitch", F.col("pitch") - F.col("pitch_offset")).withColumn("roll", wrap180(F.col("roll") - F.col("roll_offset"))).drop("pitch_offset", "roll_offset")
-    near = w.rowsBetween(-1, 1)
-    df = df.withColumn("roll", over_frame(F.col("roll"), near, -180.0)).withColumn("heading", over_frame(F.col("heading"), near)).withColumn("pitch", F.avg("pitch").over(near))
+    df = df.withColumn("pitch", F.col("pitch") - F.col("pitch_offset")).withColumn("roll", wrap180(F.col("roll") - F.col("roll_offset"))).drop("pitch_offset", "roll_offset")
+    if s.orientation_s:
+        near = seconds_frame(s.orientation_s)
+        df = df.withColumn("roll", over_frame(F.col("roll"), near, -180.0)).withColumn("heading", over_frame(F.col("heading"), near)).withColumn("pitch", mean_over_seconds(F.col("pitch"), s.orientation_s))
     df = df.withColumn("turning_angle", turning(F.col("heading"), w))
     linear = ["ax", "ay", "az", "depth", "temp", "accel", "surge", "sway", "heave", "vedba", "odba", "jerk", "vertical_velocity", "pitch", "turning_angle"]
     if downsample_hz is not None:

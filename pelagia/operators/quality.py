@@ -130,7 +130,8 @@ def anomalies(data: DataFrame, channel: str, control: Anomaly | dict | None = No
 
     A reading is suspect if it changed faster than `max_rate` (and more than the resolution) against the reading
     before, or lies in a run of equal values above 0 of at least `stall_s` seconds. Suspects closer than the
-    outlier window form groups: of a group of two the one of larger size falls, larger groups fall whole.
+    outlier window form groups: of a group of two the one of larger size falls, larger groups fall whole. Of
+    what is left, runs of at most `isolated` readings between missing ones fall as well.
     """
     c = Anomaly.of(control)
     w = spec()
@@ -148,7 +149,11 @@ def anomalies(data: DataFrame, channel: str, control: Anomaly | dict | None = No
     group = Window.partitionBy("ID", "__g", "__s")
     size, top = F.count(F.lit(1)).over(group), F.max(F.abs(x)).over(group)
     falls = F.col("__s") & ((size != 2) | (F.abs(x) == top))
-    return df.withColumn("anomaly", F.coalesce(falls, F.lit(False))).withColumn("checked", F.when(~F.col("anomaly"), x)).drop("__t", "__run", "__s", "__g")
+    out = df.withColumn("anomaly", F.coalesce(falls, F.lit(False))).withColumn("checked", F.when(~F.col("anomaly"), x)).drop("__t", "__run", "__s", "__g")
+    if c.isolated:
+        out = isolated(out, "checked", c.isolated)
+        out = out.withColumn("anomaly", F.col("anomaly") | F.col("island")).withColumn("checked", F.when(~F.col("island"), F.col("checked"))).drop("island")
+    return out
 
 
 def isolated(data: DataFrame, channel: str, most: int) -> DataFrame:

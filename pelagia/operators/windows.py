@@ -56,6 +56,34 @@ def edge_mean(x: Column, w, k: int) -> Column:
     return F.when(many > 0, total / many)
 
 
+def with_rate(df: DataFrame) -> DataFrame:
+    """`df` with `__us` (microseconds) and `__rate` (rows a second: one over the record's median step)."""
+    df = df.withColumn("__us", F.unix_micros("datetime"))
+    df = df.withColumn("__dt", F.col("__us") - F.lag("__us").over(spec(order=("__us",))))
+    return df.withColumn("__rate", 1e6 / F.percentile(F.when(F.col("__dt") > 0, F.col("__dt")), 0.5).over(Window.partitionBy("ID"))).drop("__dt")
+
+
+def seconds_frame(s: float):
+    """The frame of the `s` seconds around a row of `with_rate`; at a steady rate those of `centred`."""
+    half = round(s * 500_000)
+    return spec(order=("__us",)).rangeBetween(1 - half, half)
+
+
+def mean_over_seconds(x: Column, s: float | None) -> Column:
+    """Mean of `x` over `s` seconds in a frame `with_rate`; without `s` it is `x`.
+
+    NULL where a value is missing in the frame, and at the record's ends as far as the frame reaches beyond them;
+    where `s` seconds hold one row, it is that row's value.
+    """
+    if not s:
+        return x
+    w, f = spec(order=("__us",)), seconds_frame(s)
+    k = F.greatest(F.coalesce(F.round(F.col("__rate") * s), F.lit(1.0)), F.lit(1.0))
+    i, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("ID"))
+    inside = (i - 1 >= F.floor((k - 1) / 2)) & (n - i >= F.floor(k / 2))
+    return F.when(inside & (F.count(x).over(f) == F.count(F.lit(1)).over(f)), F.avg(x).over(f))
+
+
 def locf(x: Column, w) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 

@@ -368,9 +368,7 @@ def k10_attitude(spark, sf_dir):
 
 @query()
 def k12_mount_offsets(spark, sf_dir):
-    from pelagia.operators.aggregates import vertical_speed
-
-    return process.mount_offsets(vertical_speed(with_heading(units_record(spark, sf_dir))))
+    return process.mount_offsets(process.vertical_velocity(with_heading(units_record(spark, sf_dir))))
 
 
 @query()

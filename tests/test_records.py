@@ -213,6 +213,26 @@ def test_orientation_and_pivot(spark):
     assert np.array_equal(rotations.proper_rotations()[scored.candidate][2], [0, 0, 1])
 
 
+def test_smoothing_windows_are_seconds(spark):
+    def depth(k):
+        return 0.01 * k + 3 * (k % 7 == 0)
+
+    steps = {"A": 0.02, "B": 30.0}
+    rows = [(i, at(k * dt), depth(k), 5.0, 1.0) for i, dt in steps.items() for k in range(1200)]
+    df = frame(spark, rows, "depth double, pitch double, roll double")
+    got = {i: [r.vertical_velocity for r in process.vertical_velocity(df, {"depth_s": 10.0, "velocity_s": 1.0}).where(F.col("ID") == i).orderBy("datetime").collect()] for i in steps}
+    z = np.array([depth(k) for k in range(1200)])
+    smooth = np.convolve(z, np.ones(500) / 500, "valid")  # 500 rows are 10 s: 249 before, 250 behind
+    rate = np.convolve((smooth[2:] - smooth[:-2]) / 0.04, np.ones(50) / 50, "valid")
+    assert got["A"][600] == pytest.approx(rate[600 - 249 - 1 - 24], abs=1e-9) and got["A"][0] is None
+    assert got["B"][600] == pytest.approx((z[601] - z[599]) / 60) and got["B"][0] == pytest.approx((z[1] - z[0]) / 30)  # 10 s hold one row
+    # The offset is the intercept on the velocity averaged over 10 s: what alternates from row to row is no velocity.
+    swim = frame(spark, [("A", at(k), 7.0 + 20 * math.sin(k / 60), 0.0, math.sin(k / 60) + 5 * (-1) ** k) for k in range(1200)], "pitch double, roll double, vertical_velocity double")
+    assert process.mount_offsets(swim).first().pitch_offset == pytest.approx(7.0, abs=0.3)
+    island = frame(spark, [("A", at(k), None if k in (3, 5) else 10.0 + 0.1 * k) for k in range(9)], "depth double")
+    assert [r.datetime.second for r in quality.anomalies(island, "depth", {"isolated": 1}).where("anomaly").collect()] == [4]
+
+
 def test_queries_keep_the_rate_of_the_record(spark, tmp_path):
     from pelagia.plans import domain
 
