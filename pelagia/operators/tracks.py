@@ -258,13 +258,31 @@ def export_for_ssm(track: DataFrame, minutes: int = 5, lon: str = "pseudo_lon",
     return first.select(F.col("ID").alias("id"), F.col("datetime").alias("date"), F.when(e.isNotNull(), "GL").otherwise("G").alias("lc"), F.col(lon).alias("lon"), F.col(lat).alias("lat"), e.alias("x_sd"), e.alias("y_sd"))
 
 
-def speed_calibration(track: DataFrame, anchor_rows: DataFrame, least_legs: int = 4) -> DataFrame:
-    """Slope and intercept of leg speed on mean vedba over straight legs between anchors (all records together)."""
+def speed_calibration(track: DataFrame, anchor_rows: DataFrame, least_legs: int = 4, least_straightness: float = 0.9, least_s: float = 60.0, least_m: float = 100.0, max_speed: float | None = None) -> DataFrame:
+    """Slope and intercept of leg speed on mean vedba over straight legs between anchors (all records together).
+
+    A leg's straightness is net over path length of its headings at unit speed along the body. Legs under `least_s`,
+    `least_m` between their anchors, or `least_straightness` do not take part, nor those that would need more than
+    `max_speed` (by default that of `Reckoning`). Speed is along the body: metres between the anchors over the
+    horizontal path at unit speed.
+    """
+    fastest = Reckoning().max_speed if max_speed is None else max_speed
     w = Window.partitionBy("ID").orderBy("datetime")
-    spans = anchor_rows.withColumn("t", F.unix_micros("datetime")).withColumn("t2", F.lead("t").over(w)).withColumn("e2", F.lead("a_east").over(w)).withColumn("n2", F.lead("a_north").over(w)).where("t2 - t >= 60000000")
-    rows = track.select("ID", F.unix_micros("datetime").alias("t"), "vedba", F.lit(1).alias("kind")).unionByName(spans.select("ID", "t", F.lit(None).cast("double").alias("vedba"), F.lit(0).alias("kind")))
+    spans = anchor_rows.withColumn("t", F.unix_micros("datetime")).withColumn("t2", F.lead("t").over(w)).withColumn("e2", F.lead("a_east").over(w)).withColumn("n2", F.lead("a_north").over(w)).where(F.col("t2") - F.col("t") >= least_s * 1e6)
+    spans = spans.withColumn("metres", F.sqrt((F.col("e2") - F.col("a_east")) ** 2 + (F.col("n2") - F.col("a_north")) ** 2)).where(F.col("metres") >= least_m)
+    # A row's step leads to it, so a row at an anchor's time ends the leg before.
+    steps = track.withColumn("__dt", seconds() - F.lag(seconds()).over(w))
+    flat = F.cos(F.radians("pitch")) * F.col("__dt")
+    steps = steps.select("ID", F.unix_micros("datetime").alias("t"), "vedba", F.lag("vedba").over(w).alias("v0"), flat.alias("s"), (flat * F.sin(F.radians("heading"))).alias("e"), (flat * F.cos(F.radians("heading"))).alias("n"), F.lit(0).alias("kind"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("vedba", "v0", "s", "e", "n")]
+    rows = steps.unionByName(spans.select("ID", "t", "t2", *none, F.lit(1).alias("kind")), allowMissingColumns=True)
     o = Window.partitionBy("ID").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    legged = rows.withColumn("leg", F.max(F.when(F.col("kind") == 0, F.col("t"))).over(o)).where("kind = 1 and leg is not null").groupBy("ID", "leg").agg(F.avg("vedba").alias("v"))
-    s = spans.select("ID", F.col("t").alias("leg"), (F.sqrt((F.col("e2") - F.col("a_east")) ** 2 + (F.col("n2") - F.col("a_north")) ** 2) / ((F.col("t2") - F.col("t")) / 1e6)).alias("speed"))
-    fit = legged.join(s, ["ID", "leg"]).agg(F.count(F.lit(1)).alias("legs"), F.regr_slope("speed", "v").alias("slope"), F.regr_intercept("speed", "v").alias("intercept"))
-    return fit.select("legs", F.when((F.col("legs") >= least_legs) & (F.col("slope") > 0), F.col("slope")).alias("slope"), F.when((F.col("legs") >= least_legs) & (F.col("slope") > 0), F.col("intercept")).alias("intercept"))
+    x = F.last(F.when(F.col("kind") == 1, F.struct("t", "t2")), True).over(o)
+    legged = rows.withColumn("x", x).where("kind = 0 and t <= x.t2").withColumn("leg", F.col("x.t"))
+    first = F.min_by("v0", "t")  # the row at or before the anchor counts in the mean
+    each = legged.groupBy("ID", "leg").agg(((F.sum("vedba") + F.coalesce(first, F.lit(0.0))) / (F.count("vedba") + first.isNotNull().cast("int"))).alias("v"), F.sum("s").alias("path"), F.sqrt(F.sum("e") ** 2 + F.sum("n") ** 2).alias("net"))
+    straight = each.where(F.col("net") >= least_straightness * F.col("path")).join(spans.select("ID", F.col("t").alias("leg"), "metres"), ["ID", "leg"])
+    used = straight.withColumn("speed", F.try_divide("metres", F.nullif(F.col("path"), F.lit(0.0)))).where((F.col("speed") <= fastest) & F.col("v").isNotNull())
+    fit = used.agg(F.count(F.lit(1)).alias("legs"), F.regr_slope("speed", "v").alias("slope"), F.regr_intercept("speed", "v").alias("intercept"))
+    good = (F.col("legs") >= least_legs) & (F.col("slope") > 0)
+    return fit.select("legs", F.when(good, F.col("slope")).alias("slope"), F.when(good, F.col("intercept")).alias("intercept"))

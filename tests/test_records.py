@@ -270,6 +270,17 @@ def test_tracks(spark):
     assert tracks.export_for_ssm(tracks.reconstruct(east, home, seen), 1).count() == 10
 
 
+def test_speed_calibration_takes_straight_legs(spark):
+    # Legs of 200 s: straight ones at 1, 1.5, 2, 2.5 m/s along a pitch of 60 degrees, then a winding one and a short one.
+    speed = [1.0, 1.5, 2.0, 2.5, 1.2, 0.2]
+    rows = [("A", at(k), 90.0 if (k - 1) // 200 != 4 or k % 2 else 220.0, 60.0, speed[max(k - 1, 0) // 200] * 2) for k in range(1201)]
+    track = frame(spark, rows, "heading double, pitch double, vedba double")
+    east = np.cumsum([0.0, *(200 * 0.5 * v for v in speed)])
+    marks = spark.createDataFrame([("A", at(200 * k), float(east[k]), 0.0, 10.0) for k in range(7)], "ID string, datetime timestamp, a_east double, a_north double, radius_m double")
+    fit = tracks.speed_calibration(track, marks).first()
+    assert fit.legs == 4 and fit.slope == pytest.approx(0.5, abs=0.01) and fit.intercept == pytest.approx(0, abs=0.02)
+
+
 def test_features_and_aggregates(spark):
     df = frame(spark, [("A", at(k), 0.7 * k % 360, 20 + 15 * math.sin(k / 60)) for k in range(600)], "heading double, depth double")
     f = features.features(df, [("heading", "mean", 5.0), ("heading", "sd", 5.0), ("heading", "range", 5.0), ("depth", "rate", 5.0)])
