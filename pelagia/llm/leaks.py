@@ -91,10 +91,12 @@ def follow(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, i
 class Index:
     """The postings of a shard of documents, for the terms of the test items."""
 
-    def __init__(self, documents: list[list[int]]):
+    def __init__(self, documents: list[list[int]], longest: int):
+        """`longest`: words of the longest test item."""
         lengths = np.array([len(d) for d in documents], np.int64)
         # Documents lie behind each other with room between them, so an offset never leads into another one.
-        room = 4096
+        self.longest = longest
+        room = 2 * longest + 1
         self.begin = np.r_[0, np.cumsum(lengths + room)][:-1] + room
         self.words = np.fromiter((w for d in documents for w in d), np.int64, int(lengths.sum()))
         self.first = np.r_[0, np.cumsum(lengths)]
@@ -136,7 +138,7 @@ class Index:
                 same = (at < len(place)) & (place[np.minimum(at, len(place) - 1)] == place + sign)
                 near += np.where(same, many[np.minimum(at, len(place) - 1)], 0)
         place = place[near >= 2]
-        of = np.searchsorted(self.begin, place + 2048, "right") - 1
+        of = np.searchsorted(self.begin, place + self.longest, "right") - 1
         return list(zip(of.tolist(), (place - self.begin[of]).tolist()))
 
     def document(self, n: int) -> np.ndarray:
@@ -147,8 +149,10 @@ def _search(items: list[tuple[int, list[str]]], least: int, block: int, altered:
     terms: dict[str, int] = {}
     coded = [(n, [terms.setdefault(w, len(terms)) for w in words]) for n, words in items]
 
+    longest = max((len(item) for _, item in coded), default=0)
+
     def find(keys: list[int], documents: list[list[int]]) -> pa.RecordBatch:
-        index, out = Index(documents), []
+        index, out = Index(documents, longest), []
         for item_id, item in coded:
             best: dict[int, tuple[int, int, int]] = {}
             done: set[tuple[int, int]] = set()

@@ -144,6 +144,13 @@ def test_leaks(spark):
     assert leaks.leaked_passages(df, asked.where("false")).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    item = [f"w{k}" for k in range(5000)]
+    docs = spark.createDataFrame([(1, "x y z"), (2, " ".join(f"o{k}" for k in range(60))), (3, " ".join(item[4000:4060]))], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in leaks.leaked_passages(docs, items).collect()] == [(1, 3, 60, 4000, 0)]
+
+
 def test_words_of():
     assert leaks.words_of("Crème-brûlée (Lachen\nlinks) déjà-\nvu, 20.8 ｆｕｌｌ") == ["cremebrulee", "dejavu", "20", "8", "full"]
     assert leaks.words_of(None) == [] and leaks.words_of("((a) b) c") == ["c"]
