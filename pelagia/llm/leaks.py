@@ -58,26 +58,28 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def follow(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, int]:
-    """First and last item position of the match through ``item[i] == doc[j]``, and how many words are altered.
+def follow(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """First and last item position of the match through ``item[i] == doc[j]``, and the altered words between: where
+    each begins and the next matching word stands in the item.
 
     A single altered word may stand between two matching ones; it may also be missing, doubled, split in
     two or joined with its neighbour.
     """
 
-    def walk(a, b) -> tuple[int, int]:
-        x = y = reach = altered = 0
-        pending = 0
+    def walk(a, b) -> tuple[int, list[tuple[int, int]]]:
+        x = y = reach = 0
+        altered: list[tuple[int, int]] = []
+        pending: list[tuple[int, int]] = []
         while x < len(a) and y < len(b):
             if a[x] == b[y] and a[x] >= 0:
                 x, y = x + 1, y + 1
-                reach, altered, pending = x, altered + pending, 0
+                reach, altered, pending = x, altered + pending, []
                 continue
             if pending:
                 break
             for dx, dy in ((1, 1), (1, 2), (2, 1), (1, 0), (0, 1)):
                 if x + dx < len(a) and y + dy < len(b) and a[x + dx] == b[y + dy] >= 0:
-                    x, y, pending = x + dx, y + dy, 1
+                    x, y, pending = x + dx, y + dy, [(x, x + dx)]
                     break
             else:
                 break
@@ -85,7 +87,23 @@ def follow(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, i
 
     right, more = walk(item[i:], doc[j:])
     left, fewer = walk(item[:i][::-1], doc[:j][::-1])
-    return i - left, i + right - 1, more + fewer
+    return i - left, i + right - 1, [(i - b, i - a) for a, b in reversed(fewer)] + [(i + a, i + b) for a, b in more]
+
+
+def longest_part(lo: int, hi: int, changed: list[tuple[int, int]], least: int, altered: float) -> tuple[int, int, int] | None:
+    """Length, first item position and altered words of the longest part of a match that has at least `least` words and
+    at most the share `altered` of altered ones. A part begins and ends at an altered word's neighbour or the match's end."""
+    begins, ends = [lo, *(b for _, b in changed)], [*(a - 1 for a, _ in changed), hi]
+    best = None
+    for k, a in enumerate(begins):
+        for m in range(len(ends) - 1, k - 1, -1):
+            length = ends[m] - a + 1
+            if length < least or (best and length <= best[0]):
+                break
+            if m - k <= altered * length:
+                best = (length, a, m - k)
+                break
+    return best
 
 
 class Index:
@@ -175,9 +193,9 @@ def _search(items: list[tuple[int, list[str]]], least: int, block: int, altered:
                         continue
                     lo, hi, changed = follow(item, words, i, place + i)
                     done.update((n, place + k) for k in range(lo, hi + 1))
-                    length = hi - lo + 1
-                    if length >= least and changed <= altered * length and length > best.get(n, (0,))[0]:
-                        best[n] = (length, lo, changed)
+                    part = longest_part(lo, hi, changed, least, altered)
+                    if part and part[0] > best.get(n, (0,))[0]:
+                        best[n] = part
             out += [(item_id, keys[n], *found) for n, found in best.items()]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], ["item_id", "doc_id", "words", "item_from", "altered"])
 

@@ -151,6 +151,17 @@ def test_leaks_of_long_items(spark):
     assert [tuple(r) for r in leaks.leaked_passages(docs, items).collect()] == [(1, 3, 60, 4000, 0)]
 
 
+def test_leaks_in_part_of_a_stretch():
+    item = list(range(60))
+    doc = [-1 if k >= 30 and k % 4 == 1 else k for k in item]  # 30 exact words, then every fourth is altered
+    for i in (10, 58):
+        lo, hi, changed = leaks.follow(item, doc, i, i)
+        assert (lo, hi, len(changed)) == (0, 59, 7)
+        length, begin, n = leaks.longest_part(lo, hi, changed, 24, 0.1)
+        assert (length, begin, n) == (53, 0, 5) and n == sum(doc[k] < 0 for k in range(begin, begin + length))
+    assert leaks.longest_part(0, 59, [(k, k + 1) for k in range(5, 55, 5)], 24, 0.115) is None
+
+
 def test_words_of():
     assert leaks.words_of("Crème-brûlée (Lachen\nlinks) déjà-\nvu, 20.8 ｆｕｌｌ") == ["cremebrulee", "dejavu", "20", "8", "full"]
     assert leaks.words_of(None) == [] and leaks.words_of("((a) b) c") == ["c"]
