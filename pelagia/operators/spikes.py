@@ -12,12 +12,16 @@ ones and without repeated rows. Three kinds of readings are flagged:
 ``impossible``
     The value is outside the physical limits of the channel.
 ``stuck``
-    Run-length counters: the reading repeats the one before it in a run of equal values that is long
-    in itself and much longer than the source's other runs.
+    Run-length counters: the reading repeats the one before it in a run of equal values that is far
+    longer than the source's other runs. What is ordinary comes from the source's own run lengths: the
+    histograms of the shards add up, and where the sorted lengths leap from `a` to more than
+    ``stuck_ratio * a + stuck_more``, the few runs (at most the share `stuck_share`, but always one) above
+    the leap are stuck. A sensor that holds every value for a while has no such leap.
 
 Sources are cut into shards by time (`cell_s` seconds, with `margin_s` seconds of the neighbours on both
 sides), so a source that holds a third of all rows is spread over many tasks. Only candidates and one
-row of statistics per shard leave the kernel; the statistics are combined by max and sum per source.
+row of statistics (and a histogram of run lengths) per shard leave the kernel; they are combined by max and sum
+per source.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.grouped import numbers, over_sorted_groups
+from pelagia.operators import unit_texts
 from pelagia.runtime import cut
 
 
@@ -47,15 +52,12 @@ class SpikeControl:
     beyond: float = 2.8
     odd_steps: float = 0.001
     gap_factor: float = 5.0
-    stuck_run: int = 15
     stuck_ratio: float = 1.7
+    stuck_more: int = 4
+    stuck_share: float = 0.02
     limits: dict = field(default_factory=lambda: {"depth": (-10.0, 11_000.0), "ax": (-60.0, 60.0), "mx": (-1_500.0, 1_500.0)})
 
 
-#: What one unit of the recorded scale is in the common unit, by the typical size of a vector.
-NORM_SCALES = {"ax": ((3.0, 1.0), (99.0, 9.80665), (float("inf"), 1000.0)), "mx": ((130.0, 1.0), (4000.0, 10.0), (float("inf"), 1000.0))}
-
-
 def chart(x: np.ndarray, t: np.ndarray, floor: float, gap: float, c: SpikeControl) -> tuple[list[tuple[int, int]], list[int]]:
     """Runs (begin, end) of suspects from which the series came back, and where its level shifted for good."""
     found: list[tuple[int, int]] = []
@@ -96,6 +98,16 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(x)])
 
 
+def longest_ordinary(lengths: np.ndarray, c: SpikeControl) -> float:
+    """The longest ordinary run among run lengths; infinite if none is far longer than the others."""
+    size, many = np.unique(lengths, return_counts=True)
+    if len(size) == 1:
+        return 0.0 if many[0] == 1 and size[0] > c.stuck_more else np.inf
+    above = np.cumsum(many[::-1])[::-1][1:]
+    leap = (size[1:] > c.stuck_ratio * size[:-1] + c.stuck_more) & (above <= max(1.0, c.stuck_share * many.sum()))
+    return float(size[np.argmax(leap)]) if leap.any() else np.inf
+
+
 SCHEMA = "ID string, file_no bigint, channel string, kind string, record_id bigint, size double, run bigint"
 
 
@@ -117,14 +129,19 @@ def _kernel(channels: list[str], c: SpikeControl):
                 x, tx = v[new], tt[new]
                 n = len(x)
                 begin, length = _runs(x)
-                long = length >= c.stuck_run
-                ordinary = length[~long]
+                # No run of fewer readings can be far longer than another. In the chart only what stands out here is left out.
+                long = length > c.stuck_more
+                odd = long & (length > longest_ordinary(length, c))
+                here = core[ok][new][begin]  # a run counts where it begins, so not twice
+                lengths, counts = np.unique(length[here], return_counts=True)
                 stuck, run = np.zeros(n, bool), np.zeros(n, np.int64)
-                for p, k in zip(begin[long].tolist(), length[long].tolist()):
+                frozen = np.zeros(n, bool)
+                for p, k, o in zip(begin[long].tolist(), length[long].tolist(), odd[long].tolist()):
                     stuck[p : p + k] = True
                     run[p : p + k] = k
+                    frozen[p : p + k] = o
                 # The chart starts anew after a stuck run, as after a gap in time.
-                live = np.flatnonzero(~stuck)
+                live = np.flatnonzero(~frozen)
                 size, widest = np.zeros(n), 0.0
                 if len(live) > 2:
                     y, ty = x[live], tx[live]
@@ -149,7 +166,8 @@ def _kernel(channels: list[str], c: SpikeControl):
                         widest = float(moves[max(0, len(moves) - 1 - math.ceil(c.odd_steps * len(moves)))])
                 stuck[begin[long]] = False  # the first reading of a run is no case
                 kinds = {"spike": size > 0, "stuck": stuck}
-                rows.append((np.array([ok[0]]), channel, "stats", np.array([-1]), np.array([widest]), np.array([int(ordinary.max()) if len(ordinary) else 1])))
+                rows.append((np.array([ok[0]]), channel, "stats", np.array([-1]), np.array([widest]), np.array([0])))
+                rows.append((np.full(len(lengths), ok[0]), channel, "runs", np.full(len(lengths), -1), counts.astype(float), lengths))
                 for kind, flag in kinds.items():
                     if flag.any():
                         hit = flag[of] & core[ok]
@@ -184,36 +202,38 @@ def flag_implausible(data: DataFrame, channels: tuple[str, ...] = ("depth", "ax"
     cells = F.when(into < margin, F.array(home, home - 1)).when(into >= cell - margin, F.array(home, home + 1)).otherwise(F.array(home))
     shards = base.select("*", F.posexplode(cells).alias("nth", "cell")).withColumn("core", F.col("nth") == 0).drop("nth")
     marked = cut(over_sorted_groups(shards, ["ID", "file_no", "cell"], ["t_us", "record_id"], _kernel(list(channels), c), SCHEMA))
-    stats = marked.where("kind = 'stats'").groupBy("ID", "file_no", "channel").agg(F.max("size").alias("widest"), F.max("run").alias("other"))
-    held = (
-        marked.where("kind <> 'stats'").join(stats, ["ID", "file_no", "channel"])
-        .where(F.when(F.col("kind") == "spike", F.col("size") > c.beyond * F.col("widest")).otherwise(F.col("run") > c.stuck_ratio * F.col("other")))
-        .select("record_id", "channel", "kind")
-    )
+    source = ["ID", "file_no", "channel"]
+    stats = marked.where("kind = 'stats'").groupBy(*source).agg(F.max("size").alias("widest"))
+    # Run lengths of a source: few different ones (n readings have less than sqrt(2 n)), each with its number.
+    lengths = marked.where("kind = 'runs'").groupBy(*source, "run").agg(F.sum("size").alias("many"))
+    up, down = Window.partitionBy(*source).orderBy("run"), Window.partitionBy(*source).orderBy(F.desc("run"))
+    all_runs = Window.partitionBy(*source)
+    leaps = lengths.select(*source, "run", "many", F.lead("run").over(up).alias("next"), (F.sum("many").over(down) - F.col("many")).alias("above"), F.sum("many").over(all_runs).alias("runs"))
+    leap = (F.col("next") > c.stuck_ratio * F.col("run") + c.stuck_more) & (F.col("above") <= F.greatest(F.lit(1.0), c.stuck_share * F.col("runs")))
+    only = (F.col("runs") == 1) & (F.col("run") > c.stuck_more)
+    ordinary = leaps.groupBy(*source).agg(F.min(F.when(leap, F.col("run")).when(only, 0)).alias("ordinary")).where("ordinary is not null")
+    spike = marked.where("kind = 'spike'").join(stats, source).where(F.col("size") > c.beyond * F.col("widest"))
+    stuck = marked.where("kind = 'stuck'").join(ordinary, source).where(F.col("run") > F.col("ordinary"))
+    held = spike.select("record_id", "channel", "kind").unionByName(stuck.select("record_id", "channel", "kind"))
     return held.unionByName(impossible(base, channels, data, c)).distinct()
 
 
 def impossible(base: DataFrame, channels: tuple[str, ...], data: DataFrame, c: SpikeControl) -> DataFrame:
     """Readings outside the physical limits, in the unit that the source's own vectors show."""
-    scaled = [x for x in channels if x in NORM_SCALES and {x, x[0] + "y", x[0] + "z"} <= set(data.columns)]
-    norm = {x: F.sqrt(sum((F.col(x[0] + a).cast("double") ** 2 for a in "xyz"), F.lit(0.0))) for x in scaled}
-    out = base
+    wide = [x for x in channels if x in c.limits]
+    scaled = [x for x in wide if x in unit_texts.FELT and {x, x[0] + "y", x[0] + "z"} <= set(data.columns)]
+    out, factor = base, {x: F.lit(1.0) for x in wide}
     if scaled:
-        sizes = data.groupBy("ID", F.col("file_no").cast("bigint").alias("file_no")).agg(*[F.percentile_approx(F.when(~F.isnan(norm[x]), norm[x]), 0.5, 200).alias(f"{x}_size") for x in scaled])
-        wide = [x for x in channels if x in c.limits]
-        least = {x: max(abs(v) for v in c.limits[x]) for x in wide}
-        # No unit makes a smaller value impossible, so only few rows take part in the join.
-        out = base.where(" or ".join(f"(not isnan({x}) and abs({x}) > {min(least[x], abs(c.limits[x][0]))})" for x in wide)).join(sizes, ["ID", "file_no"], "left")
+        norm = {x: F.sqrt(sum((F.col(x[0] + a).cast("double") ** 2 for a in "xyz"), F.lit(0.0))) for x in scaled}
+        sizes = data.groupBy("ID", F.col("file_no").cast("bigint").alias("file_no")).agg(*[F.percentile_approx(F.when(~F.isnan(norm[x]), norm[x]), F.array(F.lit(0.5), F.lit(0.9)), 100).alias(f"{x}_size") for x in scaled])
+        # No unit is smaller than the common one, so what is possible in that one takes no part in the join.
+        least = {x: min(abs(v) for v in c.limits[x]) for x in wide}
+        sizes = sizes.select("ID", "file_no", *[unit_texts.factor_by_size(x, [F.get(f"{x}_size", F.lit(n)) for n in (0, 1)]).alias(f"{x}_factor") for x in scaled])
+        out = base.where(" or ".join(f"(not isnan({x}) and abs({x}) > {least[x]})" for x in wide)).join(sizes, ["ID", "file_no"], "left")
+        factor |= {x: F.coalesce(F.col(f"{x}_factor"), F.lit(1.0)) for x in scaled}
     parts = []
-    for x in channels:
-        if x not in c.limits:
-            continue
+    for x in wide:
         lo, hi = c.limits[x]
-        factor = F.lit(1.0)
-        if x in scaled:
-            factor = F.lit(1.0)
-            for top, value in reversed(NORM_SCALES[x]):
-                factor = F.when(F.col(f"{x}_size") < top, F.lit(value)).otherwise(factor)
-        value = F.when(~F.isnan(x), F.col(x) / factor)
+        value = F.when(~F.isnan(x), F.col(x) * factor[x])
         parts.append(F.when((value < lo) | (value > hi), F.lit(x)))
     return out.select("record_id", F.explode(F.array_compact(F.array(*parts))).alias("channel")).select("record_id", "channel", F.lit("impossible").alias("kind"))

@@ -2,13 +2,17 @@
 
 A multi-pattern automaton finds all aliases of units in a file's header and note; the longest match at a
 place wins and the field in front of it (accelerometer, gyroscope, magnetometer) resolves what an alias
-alone leaves open ("mG" is milli-g behind an accelerometer and milligauss behind a magnetometer). Texts can
-be silent or wrong, so the size of the recorded vectors decides: gravity, the Earth's field and an animal's
-turning rate keep the units at least a factor of nine apart. The text decides where no vector is there.
+alone leaves open ("mG" is milli-g behind an accelerometer and milligauss behind a magnetometer). The claimed
+unit is the hypothesis. Texts can be silent or wrong, so the readings confirm or refute it: each unit's
+likelihood is taken from the median and the upper decile of the size of the recorded vectors, converted to the
+common unit and held against what a tag feels (gravity, the Earth's field, an animal's turning). The claim
+enters as prior odds (`TRUST`), so it stands unless the readings speak clearly against it, and decides where
+they are ambiguous or absent. `decided_by` tells which route a file took.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,8 +46,12 @@ FIELDS = {
 }
 #: One unit in the common unit of its family (g, rad/s, µT).
 FACTORS = {("ax", "g"): 1.0, ("ax", "mg"): 1e-3, ("ax", "m/s2"): 1 / 9.80665, ("gx", "rad/s"): 1.0, ("gx", "mrad/s"): 1e-3, ("gx", "deg/s"): 0.017453292519943295, ("mx", "uT"): 1.0, ("mx", "nT"): 1e-3, ("mx", "mG"): 0.1}
-#: Upper end of the size of a vector in each unit, from the smallest unit value to the largest.
-SIZES = {"ax": (("g", 3.1), ("m/s2", 99.0), ("mg", float("inf"))), "gx": (("rad/s", 3.0), ("deg/s", 100.0), ("mrad/s", float("inf"))), "mx": (("uT", 130.0), ("mG", 4_000.0), ("nT", float("inf")))}
+#: What a tag feels, in common units, as log-normal laws (centre, spread of the logarithm) of the vectors' median and upper decile.
+FELT = {"ax": ((1.0, 0.35), (1.2, 0.5)), "gx": ((0.4, 0.6), (0.7, 0.7)), "mx": ((45.0, 0.4), (48.0, 0.5))}
+#: The same for the largest single axis, where no whole vector is recorded: it says less.
+FELT_AXIS = {"ax": ((0.6, 0.9), (0.9, 1.0)), "gx": ((0.25, 1.0), (0.5, 1.1)), "mx": ((30.0, 0.9), (35.0, 1.0))}
+#: The share of texts that are taken to be right before the readings are looked at, and the log-odds from which the readings alone are clear.
+TRUST, CLEAR = 0.95, 3.0
 COMMON = {"ax": "g", "gx": "rad/s", "mx": "uT"}
 
 
@@ -117,35 +125,70 @@ def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("ID"), batch.column("file_no"), *[pa.array(cols[f], pa.string()) for f in ALIASES]], ["ID", "file_no", *[f"said_{f}" for f in ALIASES]])
 
 
+def factor_by_size(family: str, sizes):
+    """The factor to the common unit that the readings alone suggest, from columns of median and upper decile (1 without
+    sizes). Squared distances on a log scale are compared; their difference between two units is linear in the sizes."""
+    laws = FELT[family]
+    weight = sum(1 / spread**2 for _, spread in laws)
+    lean = sum((F.log(F.greatest(size, F.lit(1e-12))) - math.log(centre)) / spread**2 for size, (centre, spread) in zip(sizes, laws)) / weight
+    # The best factor x makes log(x) + lean nearest to zero, so the borders lie half-way between the logarithms of the factors.
+    factors = sorted((x for (f, _), x in FACTORS.items() if f == family), reverse=True)
+    out = F.lit(factors[-1])
+    for low, high in reversed(list(zip(factors[1:], factors[:-1]))):
+        out = F.when(lean < -(math.log(low) + math.log(high)) / 2, F.lit(high)).otherwise(out)
+    return F.when(sizes[0].isNotNull(), out).otherwise(F.lit(1.0))
+
+
 def file_units(data: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows ``ID, file_no, channel, unit, said`` for every channel of every file that has values.
+    """Rows ``ID, file_no, channel, unit, said, decided_by`` for every channel of every file that has values.
 
-    The three axes of a family stand together. `said` is the unit that the texts claim (NULL if none).
-    NaN is no value. Files without a row in `files` are judged by their readings alone. Repeated rows of
-    `files` count once (the first claim in text order). Empty tables give an empty result.
+    The three axes of a family stand together. `said` is the unit that the texts claim (NULL if none); `decided_by`
+    is ``both`` (the readings alone clearly confirm the claim), ``text`` (the readings are not clear or absent, the
+    claim holds), ``readings`` (no claim, or the claim is refuted) or ``none`` (neither: the common unit). NaN is no
+    value. Files without a row in `files` are judged by their readings alone. Repeated rows of `files` count once
+    (the first claim in text order). Empty tables give an empty result.
     """
     value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for f in ALIASES for c in (f[0] + "x", f[0] + "y", f[0] + "z")}
+    ends = F.array(F.lit(0.5), F.lit(0.9))
     aggregates = []
     for f in ALIASES:
         axes = [value[f[0] + a] for a in "xyz"]
         aggregates += [
-            F.percentile_approx(F.sqrt(axes[0] ** 2 + axes[1] ** 2 + axes[2] ** 2), 0.5, 100).alias(f"norm_{f}"),
-            F.percentile_approx(F.greatest(*[F.abs(a) for a in axes]), 0.5, 100).alias(f"axis_{f}"),
+            F.percentile_approx(F.sqrt(axes[0] ** 2 + axes[1] ** 2 + axes[2] ** 2), ends, 100).alias(f"norm_{f}"),
+            F.percentile_approx(F.greatest(*[F.abs(a) for a in axes]), ends, 100).alias(f"axis_{f}"),
             F.count(F.coalesce(*axes)).alias(f"n_{f}"),
         ]
     seen = data.where("ID is not null and file_no is not null").groupBy("ID", F.col("file_no").cast("bigint").alias("file_no")).agg(*aggregates)
     claims = files.select("ID", F.col("file_no").cast("bigint").alias("file_no"), "header", "note").where("ID is not null and file_no is not null").mapInArrow(_claims, "ID string, file_no bigint, " + ", ".join(f"said_{f} string" for f in ALIASES)).groupBy("ID", "file_no").agg(*[F.min(f"said_{f}").alias(f"said_{f}") for f in ALIASES])
     both = seen.join(claims, ["ID", "file_no"], "left")
-    parts = []
-    for f in ALIASES:
-        shown = F.lit(None).cast("string")
-        for unit, top in reversed(SIZES[f]):
-            # Without whole vectors the largest single axis is measured, which is at most the vector.
-            size = F.coalesce(F.col(f"norm_{f}"), F.col(f"axis_{f}") * 1.2)
-            shown = F.when(size.isNull(), None).when(size < top, F.lit(unit)).otherwise(shown)
-        unit = F.coalesce(shown, F.col(f"said_{f}"))
-        parts.append(F.struct(F.lit(f).alias("channel"), unit.alias("unit"), F.col(f"said_{f}").alias("said"), F.col(f"n_{f}").alias("n")))
-    return both.select("ID", "file_no", F.explode(F.array(*parts)).alias("x")).select("ID", "file_no", "x.*").where("n > 0").drop("n")
+    rows = [F.struct(F.lit(f).alias("channel"), F.col(f"said_{f}").alias("said"), F.col(f"n_{f}").alias("n"), *[F.get(F.coalesce(F.col(f"norm_{f}"), F.col(f"axis_{f}")), F.lit(k)).alias(f"size{k}") for k in (0, 1)], F.col(f"norm_{f}").isNull().alias("axis")) for f in ALIASES]
+    asked = both.select("ID", "file_no", F.explode(F.array(*rows)).alias("x")).select("ID", "file_no", "x.*").where("n > 0").drop("n")
+    return asked.mapInArrow(_decide, "ID string, file_no bigint, channel string, unit string, said string, decided_by string")
+
+
+def decide(family: str, said: str | None, sizes: tuple[float | None, float | None], axis: bool) -> tuple[str, str]:
+    """The unit of a channel and how it was decided, from the claimed unit and the recorded sizes (median, upper decile)."""
+    units = [u for f, u in FACTORS if f == family]
+    seen = sizes[0] is not None
+    if not seen and said is None:
+        return COMMON[family], "none"
+    shown = dict.fromkeys(units, 0.0)
+    for size, (centre, spread) in zip(sizes, (FELT_AXIS if axis else FELT)[family]) if seen else ():
+        for u in units:
+            shown[u] -= 0.25 * ((math.log(max(size, 1e-12)) + math.log(FACTORS[family, u] / centre)) / spread) ** 2
+    held = {u: shown[u] + (0.0 if said is None else math.log(TRUST if u == said else (1 - TRUST) / (len(units) - 1))) for u in units}
+    best = max(units, key=held.get)
+    if said is None or best != said:
+        return best, "readings"
+    first, second = sorted(shown.values(), reverse=True)[:2]
+    return best, "both" if shown[best] == first and first - second >= CLEAR else "text"
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        family, said, low, high, axis = (batch.column(c).to_pylist() for c in ("channel", "said", "size0", "size1", "axis"))
+        found = [decide(*row) for row in zip(family, said, zip(low, high), axis)]
+        yield pa.RecordBatch.from_arrays([batch.column("ID"), batch.column("file_no"), batch.column("channel"), pa.array([u for u, _ in found], pa.string()), batch.column("said"), pa.array([d for _, d in found], pa.string())], ["ID", "file_no", "channel", "unit", "said", "decided_by"])
 
 
 def units_to_convert(data: DataFrame, files: DataFrame) -> DataFrame:
