@@ -1,11 +1,13 @@
 """Timestamps as text, of many forms, precisions and zones, to UTC instants.
 
-Texts are read in Arrow batches (as expressions of the planner the many patterns outgrow generated code);
-everything behind that is built-in. What a text leaves open is settled in this order:
+Texts are read once, in Arrow batches (as expressions of the planner the many patterns outgrow generated code),
+and what they state is kept in the shared folder; everything behind that is built-in. What a text leaves open is settled in this order:
 
 * day or month first: per (ID, log_file), by any part above 12, else by the order that gives the shorter
   record, else by the one nearer to the deployment;
-* the zone: in the text, else the line's zone column, else the deployment's zone;
+* the zone: in the text, else the line's zone column, else the deployment's zone, else an estimate for the log: of
+  all constant offsets and all offset histories of named zones the one that puts the fewest lines before their
+  predecessor, behind their successor or behind their time of ingestion, then the one that fits these closest;
 * local times that occur twice (clocks set back): candidate offset histories of the log are compared along
   the line numbers. A history is the line at which the offset changes; the one with the fewest steps back in
   time wins, then the one with the most even steps. Only the lines around such an hour take part,
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.grouped import numbers, over_sorted_groups
+from pelagia.runtime import cut
 
 # Month names by their first letters, in the languages that loggers are set to.
 MONTHS = {
@@ -131,11 +134,11 @@ def _parser(known: frozenset[str]):
             epoch, dmy, mdy, minutes, name = [], [], [], [], []
             for text, tz, home in zip(*(batch.column(c).to_pylist() for c in ("text", "tz", "home"))):
                 e, first, second, rest = read_time(text)
-                m, n = next((z for z in map(zone, (rest, tz, home)) if z != (None, None)), (0, None)) if e is None and (first is not None or second is not None) else (0, None)
+                m, n = next((z for z in map(zone, (rest, tz, home)) if z != (None, None)), (None, None)) if e is None and (first is not None or second is not None) else (None, None)
                 for column, value in ((epoch, e), (dmy, first), (mdy, second), (minutes, m), (name, n)):
                     column.append(value)
-            kept = [batch.column(c) for c in ("raw_id", "ID", "log_file", "line_no", "dt")]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in (epoch, dmy, mdy, minutes)), pa.array(name, pa.string())], ["raw_id", "ID", "log_file", "line_no", "dt", "epoch", "dmy", "mdy", "minutes", "name"])
+            kept = [batch.column(c) for c in ("raw_id", "ID", "log_file", "line_no", "dt", "received")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in (epoch, dmy, mdy, minutes)), pa.array(name, pa.string())], ["raw_id", "ID", "log_file", "line_no", "dt", "received", "epoch", "dmy", "mdy", "minutes", "name"])
 
     return run
 
@@ -172,20 +175,74 @@ def _settle(data: pa.Table, starts: np.ndarray) -> pa.Table:
     return pa.table({"raw_id": pa.array(rid[hit].astype(np.int64)), "utc_us": pa.array((base + np.where(late, shift, 0))[hit])})
 
 
-def to_instants(lines: DataFrame, deployments: DataFrame) -> DataFrame:
+def _histories(zones: list[str]):
+    """A kernel that chooses, per log, the offset history that violates the fewest bounds of its quarter days."""
+    import zoneinfo
+
+    constants = np.arange(-12 * 60, 14 * 60 + 1, 15)
+
+    def kernel(data: pa.Table, starts: np.ndarray) -> pa.Table:
+        day, lo, hi, n = (numbers(data, c).astype(float) for c in ("day", "lo", "hi", "n"))
+        tables = [zoneinfo.ZoneInfo(z) for z in zones]
+        minutes: list[int | None] = []
+        names: list[str | None] = []
+        for a, b in zip(starts.tolist(), np.r_[starts[1:], len(day)].tolist()):
+            times = [datetime.datetime(1970, 1, 1) + datetime.timedelta(hours=6 * int(d)) for d in day[a:b]]
+            times = [*times, *(t + datetime.timedelta(hours=6) for t in times)]  # begin and end of each quarter
+            seen: dict[tuple, str | None] = {}
+            for z, table in zip(zones, tables):
+                history = tuple(table.utcoffset(t).total_seconds() / 60 for t in times)
+                if len(set(history)) > 1:  # a zone that does not change in these days is a constant offset
+                    seen.setdefault(history, z)
+            ways = np.array([[c] * len(times) for c in constants.tolist()] + [list(h) for h in seen], float)
+            early, late = ways[:, : b - a], ways[:, b - a :]
+            low, high = lo[a:b] / 60e6, hi[a:b] / 60e6
+            bad = (n[a:b] * ((np.maximum(early, late) < low - 1) | (np.minimum(early, late) > high + 1))).sum(axis=1)
+            middle = np.where(np.isnan(low), high, np.where(np.isnan(high), low, (low + high) / 2))
+            far = (n[a:b] * np.minimum(np.abs(early - middle), np.abs(late - middle))).sum(axis=1) / n[a:b].sum()
+            best = int(np.lexsort((np.arange(len(ways)), np.round(far, 1), bad))[0])
+            minutes.append(int(ways[best][0]) if best < len(constants) else None)
+            names.append(None if best < len(constants) else list(seen.values())[best - len(constants)])
+        return pa.table({"ID": data.column("ID").take(pa.array(starts)), "log_file": data.column("log_file").take(pa.array(starts)), "est_minutes": pa.array(minutes, pa.int64()), "est_name": pa.array(names, pa.string())})
+
+    return kernel
+
+
+def estimated_zones(timed: DataFrame, zones: list[str], block: int = 4096) -> DataFrame:
+    """``ID, log_file, est_minutes, est_name`` for logs with lines without any zone, from bounds on their instants.
+
+    `timed` has ID, log_file, line_no, local, received and `u` (NULL: unknown). A line comes behind the last known instant
+    before it in line order and not behind the next one, nor behind its time of ingestion. Neighbours are looked for in
+    blocks of `block` lines, so no log is sorted in one task; bounds are kept per log and quarter of a day (the tightest ones).
+    Logs without any bound have no row.
+    """
+    logs = timed.where("u is null and local is not null").select("ID", "log_file").distinct()
+    near = timed.join(logs.select(F.col("ID").alias("i"), F.col("log_file").alias("f")), F.col("ID").eqNullSafe(F.col("i")) & F.col("log_file").eqNullSafe(F.col("f")), "left_semi")
+    near = near.withColumn("block", F.expr(f"line_no div {block}"))
+    w = Window.partitionBy("ID", "log_file", "block")
+    known = F.when(F.col("line_no").isNotNull(), F.col("u"))
+    before = F.last(known, True).over(w.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.last(known, True).over(w.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1))
+    bounds = near.withColumn("after", before).withColumn("until", F.least(behind, F.col("received"))).where("u is null and local is not null and (after is not null or until is not null)")
+    days = bounds.groupBy("ID", "log_file", F.expr(f"floor(local / {_DAY // 4})").cast("bigint").alias("day")).agg(F.max(F.col("local") - F.col("until")).alias("lo"), F.min(F.col("local") - F.col("after")).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return over_sorted_groups(days, ["ID", "log_file"], ["day"], _histories(zones), "ID string, log_file string, est_minutes bigint, est_name string")
+
+
+def to_instants(lines: DataFrame, deployments: DataFrame, received: str | None = None) -> DataFrame:
     """Rows ``raw_id, utc_us`` for every line whose text states a time.
 
     `lines` has raw_id, ID, log_file, line_no, datetime, tz; `deployments` has ID, dt, timezone. Texts that
     are NULL, blank, no time or an impossible date (``0000-00-00``, 31 June) have no row. Missing seconds
     and parts of a second are zero, digits beyond a microsecond are cut. Numbers alone are seconds,
     milliseconds or microseconds since the epoch by their length. A local time that the clock skips is
-    taken with the offset before the skip. An unknown zone name counts as none; without any zone the line
-    is UTC. Repeated lines get the same instant. Extra columns are ignored.
+    taken with the offset before the skip. An unknown zone name counts as none. Lines without any zone get the
+    log's estimated one (see `estimated_zones`; `received` names a timestamp column of ingestion times, if there is
+    one); where nothing bounds it the line is UTC. Repeated lines get the same instant. Extra columns are ignored.
     """
     known = frozenset(lines.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
     own = deployments.where("ID is not null").groupBy("ID").agg(F.min("timezone").alias("home"), F.unix_micros(F.min("dt")).alias("dt"))
-    base = lines.select(F.col("raw_id").cast("bigint"), "ID", "log_file", F.col("line_no").cast("bigint").alias("line_no"), F.col("datetime").cast("string").alias("text"), "tz").join(own, "ID", "left")
-    read = base.mapInArrow(_parser(known), "raw_id bigint, ID string, log_file string, line_no bigint, dt bigint, epoch bigint, dmy bigint, mdy bigint, minutes bigint, name string").where("coalesce(epoch, dmy, mdy) is not null")
+    base = lines.select(F.col("raw_id").cast("bigint"), "ID", "log_file", F.col("line_no").cast("bigint").alias("line_no"), F.col("datetime").cast("string").alias("text"), "tz", (F.lit(None).cast("bigint") if received is None else F.unix_micros(received)).alias("received")).join(own, "ID", "left")
+    read = cut(base.mapInArrow(_parser(known), "raw_id bigint, ID string, log_file string, line_no bigint, dt bigint, received bigint, epoch bigint, dmy bigint, mdy bigint, minutes bigint, name string").where("coalesce(epoch, dmy, mdy) is not null"))
     unclear = read.where("epoch is null and not (dmy <=> mdy)")
     order = unclear.groupBy("ID", "log_file").agg(
         F.count_if(F.col("mdy").isNull()).alias("only_dmy"), F.count_if(F.col("dmy").isNull()).alias("only_mdy"),
@@ -196,7 +253,14 @@ def to_instants(lines: DataFrame, deployments: DataFrame) -> DataFrame:
     order = order.select(F.col("ID").alias("i"), F.col("log_file").alias("f"), day_first.alias("day_first"))
     timed = read.join(order, F.col("ID").eqNullSafe(F.col("i")) & F.col("log_file").eqNullSafe(F.col("f")), "left").drop("i", "f")
     timed = timed.withColumn("local", F.when(F.coalesce(F.col("day_first"), F.lit(True)), F.col("dmy")).otherwise(F.col("mdy")))
-    early = F.when(F.col("epoch").isNotNull(), F.col("epoch")).when(F.col("name").isNull(), F.col("local") - F.col("minutes") * 60_000_000).otherwise(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local"), F.col("name"))))
+    if not read.where("epoch is null and minutes is null and name is null").isEmpty():
+        placed = F.when(F.col("epoch").isNotNull(), F.col("epoch")).when(F.col("minutes").isNotNull(), F.col("local") - F.col("minutes") * 60_000_000).when(F.col("name").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local"), F.col("name"))))
+        zones = sorted(z for z in known if "/" in z and not z.startswith(("Etc/", "SystemV/")))
+        est = estimated_zones(timed.withColumn("u", placed), zones).withColumnsRenamed({"ID": "i", "log_file": "f"})
+        lost = F.col("minutes").isNull() & F.col("name").isNull() & F.col("epoch").isNull()
+        timed = timed.join(est, F.col("ID").eqNullSafe(F.col("i")) & F.col("log_file").eqNullSafe(F.col("f")), "left")
+        timed = timed.withColumn("name", F.when(lost, F.col("est_name")).otherwise(F.col("name"))).withColumn("minutes", F.when(lost, F.col("est_minutes")).otherwise(F.col("minutes"))).drop("i", "f", "est_name", "est_minutes")
+    early = F.when(F.col("epoch").isNotNull(), F.col("epoch")).when(F.col("name").isNull(), F.col("local") - F.coalesce(F.col("minutes"), F.lit(0)) * 60_000_000).otherwise(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local"), F.col("name"))))
     timed = timed.withColumn("u", early).where("u is not null")
     shift = F.lit(0).cast("bigint")
     for minutes_back in (120, 30, 60):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -19,16 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one named by ``spark.checkpoint.dir``.
 
-    Only where the session names none and runs on one machine (tests) it is a temporary folder.
+    A session on a cluster has to name one. Where none is named and all runs in this process (master ``local``, as in
+    tests) it is a folder of the process, which is deleted when the process ends.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "pelagia-checkpoints")
+        named = per_process("own checkpoint folder", _own_folder)
     return named
 
 
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="pelagia-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the cluster's shared checkpoint folder and forget its lineage. It survives the loss of
     executors."""
@@ -45,6 +53,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def unfold(df: DataFrame, first: str, last: str, name: str, width: int = 4096) -> DataFrame:
+    """`df` with one row per whole number `name` from `first` to `last` (SQL expressions; none if first > last). It is done
+    in stretches of `width`, so no array grows with the distance."""
+    first, last = f"({first})", f"({last})"
+    stretches = df.where(f"{first} <= {last}").withColumn("__stretch", F.explode(F.expr(f"sequence(floor({first} / {width}), floor({last} / {width}))")))
+    return stretches.withColumn(name, F.explode(F.expr(f"sequence(greatest({first}, __stretch * {width}), least({last}, __stretch * {width} + {width - 1}))"))).drop("__stretch")
+
+
 def micros(column) -> "F.Column":
     """Microseconds since the epoch of a timestamp column."""
     return F.unix_micros(column)
