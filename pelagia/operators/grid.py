@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelagia.runtime import unfold
+
 KEYS = ["ID", "file_no", "channel"]
 
 
@@ -53,13 +55,10 @@ def regular_grid(data: DataFrame, files: DataFrame, channels: tuple[str, ...] =
     length = F.col("k2") - F.col("k")
     state = F.when(length - 1 <= max_fill, F.lit("filled")).otherwise(F.lit("gap"))
     lerp = F.when(length - 1 <= max_fill, F.col("value") + (F.col("value2") - F.col("value")) * (F.col("g") - F.col("k")) / length)
-    filled = between_inside.unionByName(spans).withColumn("g", F.explode(F.sequence(F.col("k") + 1, F.col("k2") - 1))).select(*KEYS, "i", F.col("g").alias("k"), lerp.alias("value"), state.alias("state"))
+    filled = unfold(between_inside.unionByName(spans), "k + 1", "k2 - 1", "g", cell).select(*KEYS, "i", F.col("g").alias("k"), lerp.alias("value"), state.alias("state"))
     total = ends.groupBy(*KEYS, "i").agg(F.min("row_lo").alias("a"), F.max("row_hi").alias("z"), F.min("lo.k").alias("first"), F.max("hi.k").alias("last"))
-    edges = (
-        total.withColumn("runs", F.when(F.col("first").isNull(), F.array(F.struct(F.col("a").alias("p"), F.col("z").alias("q")))).otherwise(F.array(F.struct(F.col("a").alias("p"), (F.col("first") - 1).alias("q")), F.struct((F.col("last") + 1).alias("p"), F.col("z").alias("q")))))
-        .select(*KEYS, "i", F.explode("runs").alias("r")).where("r.p <= r.q")
-        .select(*KEYS, "i", F.explode(F.sequence("r.p", "r.q")).alias("k"), F.lit(None).cast("double").alias("value"), F.lit("edge").alias("state"))
-    )
+    runs = F.when(F.col("first").isNull(), F.array(F.struct(F.col("a").alias("p"), F.col("z").alias("q")))).otherwise(F.array(F.struct(F.col("a").alias("p"), (F.col("first") - 1).alias("q")), F.struct((F.col("last") + 1).alias("p"), F.col("z").alias("q"))))
+    edges = unfold(total.select(*KEYS, "i", F.inline(runs)), "p", "q", "k", cell).select(*KEYS, "i", "k", F.lit(None).cast("double").alias("value"), F.lit("edge").alias("state"))
     observed = valid.select(*KEYS, "i", "k", "value", F.lit("observed").alias("state"))
     return observed.unionByName(filled).unionByName(edges).select(*KEYS, (F.col("k") * F.col("i")).alias("period_epoch"), "value", "state")
 

@@ -57,6 +57,18 @@ def test_spikes_of_split_sources_and_empty(spark):
     assert spikes.flag_implausible(df.where("false")).count() == 0
 
 
+def test_stuck_is_relative_to_the_source(spark):
+    random.seed(7)
+    held = [v for _ in range(60) for v in [round(random.random() * 50, 1)] * random.randint(20, 30)]  # every value held
+    calm = [5 + 0.001 * k + random.random() / 100 for k in range(600)]  # never the same value twice
+    calm[200:212] = [calm[200]] * 12
+    rows = sensor([("A", 1, 2 * k, d, None) for k, d in enumerate(held)]) + sensor([("B", 1, 2 * k, d, None) for k, d in enumerate(calm)], 10_000)
+    df = spark.createDataFrame(rows, SENSOR)
+    for control in (spikes.SpikeControl(), spikes.SpikeControl(cell_s=600, margin_s=120)):
+        got = {r.record_id for r in spikes.flag_implausible(df, ("depth",), control).collect() if r.kind == "stuck"}
+        assert got == {10_000 + k for k in range(201, 212)}
+
+
 def files(spark, rows):
     return spark.createDataFrame(rows, "ID string, file_no bigint, header string, note string, interval_s bigint")
 
@@ -105,6 +117,27 @@ def test_units_follow_the_readings(spark):
     assert unit_texts.units_to_convert(df.where("false"), f).count() == 0
 
 
+@pytest.mark.parametrize(("family", "said", "sizes", "axis", "want"), [
+    ("gx", "rad/s", (4.0, 6.0), False, ("rad/s", "text")),  # a fast turner: the readings alone would say deg/s
+    ("gx", None, (4.0, 6.0), False, ("deg/s", "readings")),
+    ("ax", "m/s2", (2.0, 4.0), True, ("m/s2", "text")), ("ax", "g", (2.0, 4.0), True, ("g", "text")),  # one axis: ambiguous
+    ("ax", "g", (9.8, 11.0), False, ("m/s2", "readings")), ("mx", "uT", (450.0, 470.0), False, ("mG", "readings")),  # wrong texts
+    ("mx", "nT", (45_000.0, 47_000.0), False, ("nT", "both")), ("gx", "deg/s", (None, None), False, ("deg/s", "text")),
+    ("ax", None, (None, None), False, ("g", "none")), ("ax", None, (0.0, 0.0), False, ("mg", "readings")),
+])
+def test_readings_confirm_or_refute_the_claim(family, said, sizes, axis, want):
+    got = unit_texts.decide(family, said, sizes, axis)
+    assert got == want or sizes == (0.0, 0.0)
+
+
+def test_text_decides_where_readings_are_ambiguous(spark):
+    rows = [(k, "A", 1, T0 + dt.timedelta(seconds=k), 1.0, 2.0, None, None, 4.0, 0.0, 0.0, 5.0, None, None, "x") for k in range(20)]
+    df = spark.createDataFrame(rows, SENSOR)
+    for text, ax, gx in (("Ax (m/s2), Gx (rad/s)", "m/s2", "rad/s"), ("Ax (g), Gx (deg/s)", "g", "deg/s")):
+        got = {r.channel: (r.unit, r.decided_by) for r in unit_texts.file_units(df, files(spark, [("A", 1, text, None, 1)])).collect()}
+        assert got["ax"] == (ax, "text") and got["gx"][0] == gx
+
+
 def merged(rows):
     out = {}
     for key, s, e in rows:
@@ -178,6 +211,27 @@ def test_timestamps_day_order_and_clock_set_back(spark):
     assert {r.raw_id: r.utc_us for r in timestamps.to_instants(df, dep).collect()} == truth
 
 
+def test_zones_of_lines_that_state_none(spark):
+    start, rows, truth = dt.datetime(2023, 10, 25, tzinfo=dt.timezone.utc), [], {}
+    from zoneinfo import ZoneInfo
+
+    for n in range(400):  # ten days across the end of summer time; ingested within a minute
+        t = start + dt.timedelta(minutes=36 * n + n % 7)
+        truth[n] = int(t.timestamp() * 1e6)
+        rows.append((n, "A", "log", n, t.astimezone(ZoneInfo("Europe/Berlin")).strftime("%Y-%m-%d %H:%M:%S"), None, t + dt.timedelta(seconds=10 + n % 40)))
+    for n in range(100):  # no ingestion times, but every third line has an offset
+        t = start + dt.timedelta(minutes=2 * n)
+        truth[1000 + n] = int(t.timestamp() * 1e6)
+        local = t + dt.timedelta(hours=5, minutes=30)
+        rows.append((1000 + n, "A", "order", n, local.strftime("%Y-%m-%d %H:%M:%S") + ("+05:30" if n % 3 == 0 else ""), None, None))
+    truth[2000] = instant("2023-05-05T10:00:00+00:00")
+    rows.append((2000, "B", "alone", 1, "2023-05-05 10:00:00", "nowhere", None))
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "raw_id bigint, ID string, log_file string, line_no int, datetime string, tz string, got timestamp")
+    dep = spark.createDataFrame([("A", T0, None)], "ID string, dt timestamp, timezone string")
+    assert {r.raw_id: r.utc_us for r in timestamps.to_instants(df, dep, "got").collect()} == truth
+
+
 def test_sorted_groups_over_batch_borders():
     import pyarrow as pa
 
