@@ -7,8 +7,9 @@ other summaries know about the values next to it. After a merge a summary is com
 
 1. Each task summarises its own rows per group, without a shuffle: values are buffered per group, sorted and
    reduced to a summary with exact ranks.
-2. Summaries are merged in a tree: at most `fan_in` partial results per task and level, so a group that holds a
-   third of all rows is never gathered as rows, nor as an unbounded number of summaries.
+2. Summaries are merged in a tree: a group's summaries are first spread over `salt` tasks, which read them one by
+   one and keep at most `fan_in` of a level; then one task merges what the `salt` tasks made. So a group that holds
+   a third of all rows is never gathered as rows, nor as an unbounded number of summaries.
 3. The rank error is accumulated in the column `err` (in ranks) and reported next to each percentile.
 
 Summaries of files or days can be stored and merged later in the same way.
@@ -16,7 +17,6 @@ Summaries of files or days can be stored and merged later in the same way.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.grouped import numbers, over_sorted_groups
+from pelagia.grouped import numbers
 
 #: value, lowest rank, highest rank (from 1), number of values, accumulated error in ranks
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int, float]
@@ -48,24 +48,29 @@ def compress(s: Summary, size: int) -> Summary:
     return v[at], lo[at], hi[at], n, err + n / (2 * size)
 
 
+def _two(a: Summary, b: Summary) -> Summary:
+    """The summary of the values of both; no rank gets less certain than the sum of what was uncertain before."""
+    av, al, ah, an, ae = a
+    bv, bl, bh, bn, be = b
+    low_a, high_a, low_b, high_b = np.r_[0, al], np.r_[ah, an + 1], np.r_[0, bl], np.r_[bh, bn + 1]
+    in_b = np.searchsorted(bv, av, "left")  # ties: those of `a` come first
+    in_a = np.searchsorted(av, bv, "right")
+    at_a, at_b = np.arange(len(av)) + in_b, np.arange(len(bv)) + in_a
+    v, lo, hi = np.empty(len(av) + len(bv)), np.empty(len(av) + len(bv), np.int64), np.empty(len(av) + len(bv), np.int64)
+    v[at_a], v[at_b] = av, bv
+    lo[at_a], lo[at_b] = al + low_b[in_b], bl + low_a[in_a]
+    hi[at_a], hi[at_b] = ah + high_b[in_b] - 1, bh + high_a[in_a] - 1
+    return v, lo, hi, an + bn, ae + be
+
+
 def merge(parts: list[Summary], size: int) -> Summary:
-    """The summary of all values of `parts`."""
+    """The summary of all values of `parts`: in pairs, in pairs of pairs and so on, compressed once at the end."""
     parts = [p for p in parts if p[3]]
     if not parts:
         return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0.0
-    if len(parts) == 1:
-        return compress(parts[0], size)
-    v = np.concatenate([p[0] for p in parts])
-    of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((of, v))  # ties in order of the parts
-    v, of = v[order], of[order]
-    lo, hi = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
-    for k, p in enumerate(parts):
-        upto = np.cumsum(of == k)  # tuples of part k at or before each tuple
-        low, high = np.r_[0, p[1]], np.r_[p[2], p[3] + 1]
-        lo += low[upto]
-        hi += np.where(of == k, high[np.maximum(upto - 1, 0)], high[upto] - 1)
-    return compress((v, lo, hi, sum(p[3] for p in parts), sum(p[4] for p in parts)), size)
+    while len(parts) > 1:
+        parts = [_two(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return compress(parts[0], size)
 
 
 def quantile(s: Summary, p: float) -> tuple[float, float]:
@@ -77,10 +82,6 @@ def quantile(s: Summary, p: float) -> tuple[float, float]:
     return float(v[at]), float(max(far[at], 0.0))
 
 
-def _row(key: list, s: Summary) -> dict:
-    return dict(key) | {"v": s[0].tolist(), "lo": s[1].tolist(), "hi": s[2].tolist(), "n": s[3], "err": s[4]}
-
-
 _FIELDS = [("v", pa.list_(pa.float64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64())), ("n", pa.int64()), ("err", pa.float64())]
 _DDL = "v array<double>, lo array<bigint>, hi array<bigint>, n bigint, err double"
 
@@ -112,10 +113,10 @@ def summarise(df: DataFrame, keys: list[str], value: str, size: int = 1000, buff
             rows = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            out = [{**dict(zip(keys, key)), "part": part, **_row([], merge(parts, size))} for key, parts in done.items()]
+            names, made = list(done), [merge(parts, size) for parts in done.values()]
             done.clear()
-            for i in range(0, len(out), 500):
-                yield pa.RecordBatch.from_pylist(out[i : i + 500], schema)
+            for i in range(0, len(made), 500):
+                yield _batch([[k[j] for k in names[i : i + 500]] for j in range(len(keys))], [part] * len(made[i : i + 500]), made[i : i + 500], schema)
 
         for batch in batches:
             data = pa.Table.from_batches([batch])
@@ -145,30 +146,77 @@ def summarise(df: DataFrame, keys: list[str], value: str, size: int = 1000, buff
     return df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(value).cast("double").alias(value)).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", part bigint, " + _DDL)
 
 
-def _merging(keys: list[str], size: int):
-    def kernel(data: pa.Table, starts: np.ndarray) -> pa.Table:
-        ends = np.r_[starts[1:], len(data)]
-        columns = [data.column(c).to_pylist() for c in ("v", "lo", "hi", "n", "err")]
-        names = {k: data.column(k).to_pylist() for k in [*keys, "part"]}
-        out = []
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            parts = [(np.array(columns[0][i], float), np.array(columns[1][i], np.int64), np.array(columns[2][i], np.int64), columns[3][i], columns[4][i]) for i in range(a, b)]
-            out.append({k: names[k][a] for k in names} | _row([], merge(parts, size)))
-        return pa.Table.from_pylist(out, pa.schema([*[(k, pa.string()) for k in keys], ("part", pa.int64()), *_FIELDS]))
+def _batch(keys: list[list], part: list[int], made: list[Summary], schema: pa.Schema) -> pa.RecordBatch:
+    ends = pa.array(np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m[k] for m in made] or [np.zeros(0)]).astype(float if k == 0 else np.int64))) for k in range(3)]
+    return pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], pa.array(part, pa.int64()), *lists, pa.array([m[3] for m in made], pa.int64()), pa.array([m[4] for m in made], pa.float64())], schema=schema)
 
-    return kernel
 
+def _summaries(batch: pa.RecordBatch) -> list[Summary]:
+    """The summaries of a batch's rows, read from the flat values of its lists."""
+    ends = batch.column("v").offsets.to_numpy()
+    flat = [batch.column(c).values.to_numpy() for c in ("v", "lo", "hi")]
+    n, err = batch.column("n").to_pylist(), batch.column("err").to_pylist()
+    return [(*[f[a:b] for f in flat], n[i], err[i]) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
 
-def combine(summaries: DataFrame, keys: list[str], size: int = 1000, fan_in: int = 64, parts: int | None = None) -> DataFrame:
-    """One summary per group of `keys`, merged in a tree with at most about `fan_in` children a node.
 
-    `parts` is how many different values `part` has at most; by default the number of partitions.
-    """
-    parts = parts or summaries.rdd.getNumPartitions()
-    level = summaries.select(*keys, "part", "v", "lo", "hi", "n", "err")
-    for _ in range(max(1, math.ceil(math.log(max(parts, 2), fan_in)))):
-        level = level.withColumn("part", F.expr(f"part div {fan_in}"))
-        level = over_sorted_groups(level, [*keys, "part"], ["n"], _merging(keys, size), ", ".join(f"{k} string" for k in keys) + ", part bigint, " + _DDL)
+class _Tower:
+    """Summaries of one group, at most `fan_in` - 1 of each level: so many of a level make one of the next."""
+
+    def __init__(self, size: int, fan_in: int):
+        self.size, self.fan_in, self.levels = size, fan_in, []
+
+    def add(self, s: Summary) -> None:
+        for level in self.levels:
+            level.append(s)
+            if len(level) < self.fan_in:
+                return
+            s = merge(level, self.size)
+            level.clear()
+        self.levels.append([s])
+
+    def top(self) -> Summary:
+        return merge([s for level in self.levels for s in level], self.size)
+
+
+def _merging(keys: list[str], size: int, fan_in: int):
+    """The ``mapInArrow`` function that merges the summaries of each group of `keys` and `part`, which come one behind another."""
+    schema = pa.schema([*[(k, pa.string()) for k in keys], ("part", pa.int64()), *_FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tower = None, _Tower(size, fan_in)
+        done: list[tuple[tuple, Summary]] = []
+
+        def send() -> pa.RecordBatch:
+            rows = _batch([[k[j] for k, _ in done] for j in range(len(keys))], [k[-1] for k, _ in done], [m for _, m in done], schema)
+            done.clear()
+            return rows
+
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "part"])))
+            for key, s in zip(names, _summaries(batch)):
+                if key != now:
+                    if now is not None:
+                        done.append((now, tower.top()))
+                        if len(done) >= 500:
+                            yield send()
+                    now, tower = key, _Tower(size, fan_in)
+                tower.add(s)
+        if now is not None:
+            done.append((now, tower.top()))
+        if done:
+            yield send()
+
+    return run
+
+
+def combine(summaries: DataFrame, keys: list[str], size: int = 1000, fan_in: int = 64, salt: int = 16) -> DataFrame:
+    """One summary per group of `keys` (some of the summaries' own keys), however many a group has."""
+    schema = ", ".join(f"{k} string" for k in keys) + ", part bigint, " + _DDL
+    others = [c for c in summaries.columns if c not in {*keys, "v", "lo", "hi", "n", "err"}]
+    level = summaries.select(*keys, F.pmod(F.xxhash64(*others), F.lit(salt)).alias("part"), "v", "lo", "hi", "n", "err")
+    for part in (F.col("part"), F.lit(0).cast("bigint")):
+        level = level.withColumn("part", part).repartition(*keys, "part").sortWithinPartitions(*keys, "part", "n", "err").mapInArrow(_merging(keys, size, fan_in), schema)
     return level
 
 
@@ -179,10 +227,9 @@ def percentiles(summaries: DataFrame, keys: list[str], probabilities: dict[str,
         schema = pa.schema([*[(k, pa.string()) for k in keys], ("n", pa.int64()), *[(name, pa.float64()) for name in probabilities], ("rank_error", pa.float64())])
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                s = (np.array(row["v"], float), np.array(row["lo"], np.int64), np.array(row["hi"], np.int64), row["n"], row["err"])
+            for k, s in enumerate(_summaries(batch)):
                 found = {name: quantile(s, p) for name, p in probabilities.items()}
-                out.append({k: row[k] for k in keys} | {"n": row["n"], "rank_error": max(f[1] for f in found.values())} | {name: f[0] for name, f in found.items()})
+                out.append({key: batch.column(key)[k].as_py() for key in keys} | {"n": s[3], "rank_error": max(f[1] for f in found.values())} | {name: f[0] for name, f in found.items()})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return summaries.mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", n bigint, " + ", ".join(f"{name} double" for name in probabilities) + ", rank_error double")
