@@ -44,8 +44,8 @@ def vocabulary(path: str) -> dict[bytes, int]:
 class Automaton:
     """The tokenization automaton of a vocabulary whose ids of merged tokens are in order of rank."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ids = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int = 2_000_000):
+        self.ids, self.most = ranks, most
         self.label = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int]] = {}
@@ -72,9 +72,11 @@ class Automaton:
         return self.ids[parts[0]], self.ids[parts[1]]
 
     def follows(self, p: int, t: int) -> bool:
-        """Whether token `t` may stand behind token `p`: the table's entry, worked out at first use."""
+        """Whether token `t` may stand behind token `p`: the table's entry, worked out at first use. The table is bounded by itself."""
         found = self.table.get((p, t))
         if found is None:
+            if len(self.table) >= self.most:
+                self.table.clear()
             found = self.table[p, t] = self._unwind(p, t)
         return found
 
@@ -144,7 +146,6 @@ class Encoder:
                 ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
                 if len(self.words) >= self.most:
                     self.words.clear()
-                    self.automaton.table.clear()
                 if len(word) <= 64:
                     self.words[word] = ids
             out += ids
