@@ -44,7 +44,7 @@ class LanguageControl:
     """Parameters. `sample` bounds the labelled rows on which the trees are trained (chosen by a hash of the
     id over the whole table); everything else covers all rows."""
 
-    sample: int = 1_200
+    sample: int = 2_000
     order: int = 4
     least_words: int = 8
     paragraph_words: int = 4
