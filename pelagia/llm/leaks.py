@@ -1,16 +1,22 @@
-"""Evaluation passages inside a corpus: a positional inverted index per shard of documents.
+"""Evaluation passages inside a corpus: a positional inverted index, stored by shards of documents.
 
 Both sides are normalised alike (case, accents, punctuation, hyphens at line breaks, bracketed interruptions)
-and cut into words. The corpus is indexed where it lies: each task takes its documents in shards of about
-`shard_words` words and stores the postings (document, position) of every term that occurs in test items.
-For a test item, blocks of `block` words are looked up: from a block's rarest terms in the shard, the
-offset-adjusted postings lists are intersected, the rarest ones first; two of three must agree on where the
-item would begin. Blocks that agree on a place (a word may have been split or joined between them) make a
-candidate, which is followed word by word in both directions: exact matches, and single altered words
-between matching ones. No posting leaves its task; only the matches do.
-
-Test items are a stated query set. They are gathered in blocks of at most `items_per_pass` by a hash of their
-id, each block against all documents.
+and cut into words, which are coded by a 32-bit hash.
+
+1. The corpus is normalised once: each document's codes are kept in the shared folder, together with how often
+   each code occurs. The frequencies of the items' terms over the whole corpus are summed from these.
+2. Each task reads its documents in shards of about `shard_words` words and makes the postings (document,
+   position) of every term that occurs in test items. For a test item, blocks of `block` words are looked up: from
+   a block's rarest terms in the corpus, the offset-adjusted postings lists are intersected, the rarest ones first;
+   two of three must agree on where the item would begin. As rarity is the corpus's, the rows do not depend on
+   how the table is split.
+3. Blocks that agree on a place (a word may have been split or joined between them) make a candidate, which is
+   followed word by word in both directions: exact matches, and single altered words between matching ones. No
+   posting leaves its task; only the matches do.
+
+Test items are a stated query set. They are gathered in blocks of at most about `items_per_pass` items and
+`chars_per_pass` characters, by a hash of their id; the driver holds one block at a time. Each block is held against
+all documents, whose codes are not made again.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.runtime import spread
+from pelagia.runtime import cut, per_process, spread
 
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­](?:[ \t\r]*\n\s*)?(?=\w)")
@@ -58,6 +65,55 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+class _Codes(dict):
+    """Words to their codes, with bounded memory."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        code = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) - (1 << 31)
+        return code
+
+
+def code_documents(documents: DataFrame, least: int, words_at_once: int = 2_000_000) -> DataFrame:
+    """Rows ``doc_id, codes`` of the documents that may hold a passage of `least` words, and rows with NULL doc_id, `codes` and
+    their `many` occurrences in part of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = per_process(("leak codes",), _Codes)
+        seen: list[np.ndarray] = []
+        size = 0
+
+        def counts() -> pa.RecordBatch:
+            terms, many = np.unique(np.concatenate(seen), return_counts=True)
+            seen.clear()
+            at = pa.array([0, len(terms)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.ListArray.from_arrays(at, pa.array(terms)), pa.ListArray.from_arrays(at, pa.array(many.astype(np.int64)))], ["doc_id", "codes", "many"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                keys, lists = [], []
+                for key, text in zip(batch.column(0).slice(a, 500).to_pylist(), batch.column(1).slice(a, 500).to_pylist()):
+                    words = words_of(text)
+                    if len(words) >= least - 8:
+                        keys.append(key)
+                        lists.append([codes[w] for w in words])
+                if not keys:
+                    continue
+                ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+                flat = np.fromiter((c for x in lists for c in x), np.int32, int(ends[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.nulls(len(keys), pa.list_(pa.int64()))], ["doc_id", "codes", "many"])
+                seen.append(flat)
+                size += len(flat)
+                if size >= words_at_once:
+                    yield counts()
+                    size = 0
+        if seen:
+            yield counts()
+
+    return documents.mapInArrow(run, "doc_id bigint, codes array<int>, many array<bigint>")
+
+
 def follow(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, list[tuple[int, int]]]:
     """First and last item position of the match through ``item[i] == doc[j]``, and the altered words between: where
     each begins and the next matching word stands in the item.
@@ -109,14 +165,14 @@ def longest_part(lo: int, hi: int, changed: list[tuple[int, int]], least: int, a
 class Index:
     """The postings of a shard of documents, for the terms of the test items."""
 
-    def __init__(self, documents: list[list[int]], longest: int):
-        """`longest`: words of the longest test item."""
-        lengths = np.array([len(d) for d in documents], np.int64)
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, longest: int, rank: np.ndarray):
+        """`words`: term numbers (-1: no term of an item) of all documents behind each other; `longest`: words of the longest
+        test item; `rank`: of each term, the rarest in the corpus first."""
         # Documents lie behind each other with room between them, so an offset never leads into another one.
         self.longest = longest
         room = 2 * longest + 1
         self.begin = np.r_[0, np.cumsum(lengths + room)][:-1] + room
-        self.words = np.fromiter((w for d in documents for w in d), np.int64, int(lengths.sum()))
+        self.words, self.rank = words, rank
         self.first = np.r_[0, np.cumsum(lengths)]
         place = np.repeat(self.begin - self.first[:-1], lengths) + np.arange(len(self.words))
         known = np.flatnonzero(self.words >= 0)
@@ -130,7 +186,7 @@ class Index:
         hits = []
         lists = [self.lists.get(w, self.none) for w in item]
         for a in range(0, len(item) - block + 1, block):
-            rare = sorted(range(a, a + block), key=lambda k: len(lists[k]))
+            rare = sorted(range(a, a + block), key=lambda k: self.rank[item[k]])
             chosen: list[int] = []
             for k in rare:  # three different terms
                 if item[k] not in [item[c] for c in chosen]:
@@ -163,21 +219,25 @@ class Index:
         return self.words[self.first[n] : self.first[n + 1]]
 
 
-def _search(items: list[tuple[int, list[str]]], least: int, block: int, altered: float, shard_words: int):
-    terms: dict[str, int] = {}
-    coded = [(n, [terms.setdefault(w, len(terms)) for w in words]) for n, words in items]
-
+def _search(items: list[tuple[int, list[int]]], frequency: dict[int, int], least: int, block: int, altered: float, shard_words: int):
+    """The ``mapInArrow`` function that finds `items` (id, codes) in documents, given how often each code occurs in the corpus."""
+    terms = np.unique(np.array([c for _, codes in items for c in codes], np.int32))
+    number = {c: k for k, c in enumerate(terms.tolist())}
+    coded = [(n, [number[c] for c in codes]) for n, codes in items]
+    rank = np.empty(len(terms), np.int64)
+    rank[sorted(range(len(terms)), key=lambda k: (frequency.get(int(terms[k]), 0), int(terms[k])))] = np.arange(len(terms))
     longest = max((len(item) for _, item in coded), default=0)
 
-    def find(keys: list[int], documents: list[list[int]]) -> pa.RecordBatch:
-        index, out = Index(documents, longest), []
+    def find(keys: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        at = np.minimum(np.searchsorted(terms, codes), len(terms) - 1)
+        index, out = Index(np.where(terms[at] == codes, at, -1), lengths, longest, rank), []
+        texts: dict[int, list[int]] = {}
         for item_id, item in coded:
             best: dict[int, tuple[int, int, int]] = {}
             done: set[tuple[int, int]] = set()
             array, dense = np.array(item, np.int64), math.ceil(least * 0.45)
             for n, place in index.places(item, block):
-                words = documents[n]
-                a, b = max(0, -place), min(len(item), len(words) - place)
+                a, b = max(0, -place), min(len(item), int(lengths[n]) - place)
                 if b - a < 2:
                     continue
                 same = array[a:b] == index.document(n)[a + place : b + place]
@@ -188,6 +248,9 @@ def _search(items: list[tuple[int, list[str]]], least: int, block: int, altered:
                 total = np.concatenate(([0], np.cumsum(same)))
                 if int(np.max(total[least:] - total[:-least], initial=0 if b - a >= least else total[-1])) < dense:
                     continue
+                words = texts.get(n)
+                if words is None:
+                    words = texts[n] = index.document(n).tolist()
                 for i in (np.flatnonzero(same[:-1] & same[1:]) + a).tolist():
                     if (n, place + i) in done:
                         continue
@@ -196,32 +259,33 @@ def _search(items: list[tuple[int, list[str]]], least: int, block: int, altered:
                     part = longest_part(lo, hi, changed, least, altered)
                     if part and part[0] > best.get(n, (0,))[0]:
                         best[n] = part
-            out += [(item_id, keys[n], *found) for n, found in best.items()]
+            out += [(item_id, int(keys[n]), *found) for n, found in best.items()]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], ["item_id", "doc_id", "words", "item_from", "altered"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        documents: list[list[int]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        get = terms.get
+
+        def settle() -> pa.RecordBatch:
+            lists = pa.concat_arrays([b.column(1) for b in held])
+            keys = pa.concat_arrays([b.column(0) for b in held]).to_numpy()
+            held.clear()
+            return find(keys, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64))
+
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) < least - 8:
-                    continue
-                keys.append(key)
-                documents.append([get(w, -1) for w in words])
-                size += len(words)
-                if size >= shard_words:
-                    yield find(keys, documents)
-                    keys, documents, size = [], [], 0
-        if documents:
-            yield find(keys, documents)
+            if len(terms) and batch.num_rows:
+                held.append(batch)
+                size += len(batch.column(1).flatten())
+            if size >= shard_words:
+                yield settle()
+                size = 0
+        if held:
+            yield settle()
 
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 24, block: int = 6, altered: float = 0.115, shard_words: int = 2_000_000, items_per_pass: int = 4_000) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 24, block: int = 6, altered: float = 0.115, shard_words: int = 2_000_000, items_per_pass: int = 4_000, chars_per_pass: int = 20_000_000) -> DataFrame:
     """Rows ``item_id, doc_id, words, item_from, altered``: each document with a passage of an item.
 
     A passage is at least `least` words in a row of the item's text, single altered words included; of
@@ -230,12 +294,18 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 24, blo
     row. Extra columns are ignored; empty tables give an empty result.
     """
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    passes = max(1, -(-asked.count() // items_per_pass))
-    corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null"))
+    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-sizes["n"] // items_per_pass), -(-sizes["chars"] // chars_per_pass))
+    corpus = cut(code_documents(spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")), least))
+    counted = corpus.where("doc_id is null").select(F.inline(F.arrays_zip("codes", "many"))).groupBy("codes").agg(F.sum("many").alias("many"))
     schema = "item_id bigint, doc_id bigint, words bigint, item_from bigint, altered bigint"
-    found = None
+    codes, found = _Codes(), None
     for n in range(passes):
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).collect()
-        part = corpus.mapInArrow(_search([(r.item_id, words_of(r.text)) for r in rows], least, block, altered, shard_words), schema)
+        block_of = [(r.item_id, [codes[w] for w in words_of(r.text)]) for r in asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).collect()]
+        terms = documents.sparkSession.createDataFrame([(c,) for c in sorted({c for _, cs in block_of for c in cs})], "codes int")
+        frequency = {r.codes: r.many for r in counted.join(terms, "codes", "left_semi").collect()}  # of the terms of this block of items
+        part = corpus.where("doc_id is not null").select("doc_id", "codes").mapInArrow(_search(block_of, frequency, least, block, altered, shard_words), schema)
+        if passes > 1:
+            part = cut(part)  # so that the next block takes this one's place in the driver
         found = part if found is None else found.unionByName(part)
     return found
