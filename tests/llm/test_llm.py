@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pelagia.llm import languages, leaks, nearest, quantiles, tokens
@@ -214,3 +215,74 @@ def test_queries_are_registered():
     from pelagia.llm import queries
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.SQL) <= set(entry.oracle_sql())
+
+
+def _found(items, documents, **more):
+    """Pairs that the search finds among lists of words, without a session."""
+    from collections import Counter
+
+    codes = leaks._Codes()
+    coded = [(k, [codes[w] for w in ws]) for k, ws in items]
+    frequency = Counter(codes[w] for ws in documents for w in ws)
+    lists = pa.array([[codes[w] for w in ws] for ws in documents], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(documents)), pa.int64()), lists], ["doc_id", "codes"])
+    run = leaks._search(coded, frequency, 24, 6, more.get("altered", 0.115), 2_000_000)
+    return {(r["item_id"], r["doc_id"]) for b in run(iter([batch])) for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize(("length", "changes"), [(24, 0), (24, 1), (24, 2), (30, 2), (30, 3)])
+def test_leak_recall_on_short_passages(length, changes):
+    rng = np.random.default_rng(length * 10 + changes)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    weights = 1 / np.arange(1, 20_001)
+    draw = lambda n: list(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    items = [(k, draw(120)) for k in range(200)]
+    documents, truth = [], set()
+    for d in range(200):
+        at = int(rng.integers(0, 120 - length))
+        part = list(items[d][1][at : at + length])
+        inner = rng.choice(np.arange(1, (length - 2) // 2), changes, replace=False) * 2  # single: never two side by side, nor at an end
+        for j in inner:
+            part[j] = f"changed{d}x{j}"
+        documents.append([*draw(150), *part, *draw(150)])
+        truth.add((d, d))
+    got = _found(items, documents)
+    assert len(got & truth) >= 0.99 * len(truth) and got <= truth
+
+
+def test_leaks_anywhere_in_a_very_long_item():
+    item = [f"w{k}" for k in range(10_000)]
+    documents = [[*(f"o{k}" for k in range(d)), *item[at : at + 40]] for d, at in enumerate(range(0, 9_960, 498))]
+    assert len(documents) == 20 and _found([(1, item)], documents) == {(1, d) for d in range(20)}
+
+
+def test_leaks_do_not_depend_on_the_split(spark):
+    random.seed(12)
+    items = [(k, " ".join(passage(90))) for k in range(10)]
+    documents = [(d, " ".join([*passage(80), *items[d % 10][1].split()[20 : 20 + 20 + d % 30], *passage(40)])) for d in range(150)]
+    df, asked = spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [{tuple(r) for r in leaks.leaked_passages(df.repartition(n), asked, shard_words=w).collect()} for n, w in ((1, 2_000_000), (7, 2_000_000), (16, 500))]
+    assert rows[0] and rows[0] == rows[1] == rows[2]
+
+
+def test_summaries_merge_in_a_tower_and_in_linear_time():
+    rng = np.random.default_rng(1)
+    values = [rng.normal(size=500) for _ in range(700)]
+    tower = quantiles._Tower(200, 8)
+    for v in values:
+        tower.add(quantiles.from_values(v, 200))
+    top, everything = tower.top(), np.sort(np.concatenate(values))
+    assert top[3] == len(everything) and len(top[0]) <= 203
+    for p in (0.01, 0.25, 0.5, 0.99):
+        value, off = quantiles.quantile(top, p)
+        rank = np.searchsorted(everything, value, "right")
+        assert abs(rank - (1 + p * (len(everything) - 1))) <= off + 1 and off < 0.03 * len(everything)
+    ties = quantiles.merge([quantiles.from_values(np.array([1.0, 2.0, 2.0]), 10), quantiles.from_values(np.array([2.0, 3.0]), 10)], 10)
+    assert ties[1].tolist() == ties[2].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_token_table_is_bounded():
+    a = tokens.Automaton({bytes([k]): k for k in range(256)} | {b"ab": 256, b"abc": 257}, most=50)
+    for n in range(40):
+        word = bytes((n * 7 + k * k) % 256 for k in range(90))
+        assert a.decode(a.encode(word)) == word and len(a.table) <= 50
