@@ -129,13 +129,13 @@ def enhanced(data: DataFrame, k: int = 5, heading: str = "heading", variable: st
     first, last = F.first(h, True).over(f), F.last(h, True).over(f)
     cum = F.sum(F.abs("__dh")).over(f)
     sign = F.collect_list(x).over(f)
-    crossings = F.aggregate(F.transform(sign, lambda v: F.signum(v - F.col("__m"))), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("p")), lambda a, v: F.struct((a["n"] + F.when((v != 0) & (a["p"] != 0) & (v != a["p"]), 1).otherwise(0)).alias("n"), F.when(v != 0, v).otherwise(a["p"]).alias("p")), lambda a: a["n"])
+    crossings = F.aggregate(F.transform(sign, lambda v: F.signum(F.round(v - F.col("__m"), 9))), F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("p")), lambda a, v: F.struct((a["n"] + F.when((v != 0) & (a["p"] != 0) & (v != a["p"]), 1).otherwise(0)).alias("n"), F.when(v != 0, v).otherwise(a["p"]).alias("p")), lambda a: a["n"])
     values = F.collect_list(x).over(f)
     size = F.size(values)
     away = F.transform(values, lambda v: v - F.col("__m"))
     products = F.zip_with(F.slice(away, 1, F.greatest(size - 1, F.lit(0))), F.slice(away, 2, F.greatest(size - 1, F.lit(0))), lambda p, q: p * q)
     squares = F.aggregate(away, F.lit(0.0), lambda acc, v: acc + v * v)
-    lag_one = F.try_divide(F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v), F.nullif(squares, F.lit(0.0)))
+    lag_one = F.when(squares > 1e-12, F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) / squares)
     turn_mean, turn_sd = F.avg(F.abs("__dh")).over(f), F.stddev_samp(F.abs("__dh")).over(f)
     return df.select(
         "ID", "datetime",

@@ -10,12 +10,14 @@ from pelagia.control import Dives
 from pelagia.functions import solar
 from pelagia.operators import alignment, dives, features, joins, magnetometer, mapping, process, quality, regularize, tailbeats, tracks, trim, unit_texts
 from pelagia.operators import tag as tags
+from pelagia.plans import domain_sql
+from pelagia.plans.domain_sql import DIVE_TABLE
 from pelagia.plans.records import TAG, q, r6, record, rounded, with_heading
 from pelagia.runtime import cut, shared_folder, table
 from pelagia.sources.sinks import load_records, save_records
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(domain_sql.SQL)
 
 
 def query(sql: str | None = None):
@@ -52,9 +54,9 @@ def int1_integrity(spark, sf_dir):
 
 
 @query()
-def int5_drop_failed(spark, sf_dir):
+def flt6_drop_failed(spark, sf_dir):
     df = units_record(spark, sf_dir)
-    return quality.drop_failed(df, quality.check_integrity(df)).select("record_id", "ax", "gx", "mx", "temp")
+    return rounded(quality.drop_failed(df, quality.check_integrity(df)).select("record_id", "ax", "gx", "mx", "temp"))
 
 
 @query(f"""with {TAG}, f as (select "ID", floor(us / 600000000)::bigint b, median(sqrt(mx*mx + my*my + mz*mz)) f from tag where mx is not null and my is not null and mz is not null group by all),
@@ -68,8 +70,8 @@ def int6_mag_breaks(spark, sf_dir):
 
 
 @query()
-def int8_coregistration(spark, sf_dir):
-    return quality.coregistration(units_record(spark, sf_dir))
+def sig8_coregistration(spark, sf_dir):
+    return rounded(quality.coregistration(units_record(spark, sf_dir)))
 
 
 @query()
@@ -134,7 +136,7 @@ def agg21_report(spark, sf_dir):
 
 @query()
 def sup12_coverage(spark, sf_dir):
-    return regularize.coverage(regularize.regularize(record(spark, sf_dir), ["depth", "temp"]), 100)
+    return rounded(regularize.coverage(regularize.regularize(record(spark, sf_dir), ["depth", "temp"]), 100))
 
 
 # Dives
@@ -188,17 +190,24 @@ def agg15_dive_plot(spark, sf_dir):
     return rounded(dives.plot_summary(dives.metrics(df, s), "max_depth"))
 
 
+SQL["agg15_dive_plot"] = f"""with {_DIVE}, {DIVE_TABLE} select "ID", count(*) n_dives, count(*) filter (complete) n_used, count(*) filter (not complete) n_censored, 0::bigint n_unsupported, {q('median(max_depth) filter (complete)')} median,
+{q('quantile_cont(max_depth, 0.25) filter (complete)')} q25, {q('quantile_cont(max_depth, 0.75) filter (complete)')} q75, {q('min(max_depth) filter (complete)')} "min", {q('max(max_depth) filter (complete)')} "max" from dt1 group by "ID" """
+
+
 @query()
 def flt9_usable_dives(spark, sf_dir):
     df, s = _dives(spark, sf_dir)
-    return dives.metrics(df, s).select("ID", "dive_id", dives.usable("inter_dive_s").alias("kind"))
+    return dives.metrics(df, s).select("ID", F.col("dive_id").cast("bigint").alias("dive_id"), dives.usable("inter_dive_s").alias("kind"))
+
+
+SQL["flt9_usable_dives"] = f"""with {_DIVE}, {DIVE_TABLE} select "ID", dive_id, case when inter_dive_s is null then 'unsupported' when not inter_dive_censored then 'used' else 'censored' end kind from dt1"""
 
 
 @query()
 def div3_settings(spark, sf_dir):
     scanned = dives.scan(record(spark, sf_dir))
     s = dives.settings(scanned, Dives())
-    return spark.createDataFrame([(s.threshold, s.band, s.min_amplitude, s.min_duration_s, s.max_gap_s, s.wiggle)], "threshold double, band double, min_amplitude double, min_duration_s double, max_gap_s double, wiggle double")
+    return rounded(spark.createDataFrame([(s.threshold, s.band, s.min_amplitude, s.min_duration_s, s.max_gap_s, s.wiggle)], "threshold double, band double, min_amplitude double, min_duration_s double, max_gap_s double, wiggle double"))
 
 
 _HEIGHTS = (5.0, 10.0, 20.0)
@@ -235,7 +244,7 @@ def flt4_screened_fixes(spark, sf_dir):
 @query()
 def agg16_track_metrics(spark, sf_dir):
     p = table(spark, sf_dir, "positions").where("datetime is not null and not isnan(lon)").groupBy("ID", "datetime").agg(F.min_by(F.struct("lon", "lat"), "pos_id").alias("x")).select("ID", "datetime", "x.lon", "x.lat")
-    return tracks.track_metrics(p)
+    return rounded(tracks.track_metrics(p))
 
 
 def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,12 +263,14 @@ def trk1_reconstruct(spark, sf_dir):
 
 @query()
 def trk3_reckoned(spark, sf_dir):
-    return rounded(tracks.reckon(_moving(spark, sf_dir), table(spark, sf_dir, "deployments")).select("ID", "datetime", "speed_dr", "east_m", "north_m"))
+    out = tracks.reckon(_moving(spark, sf_dir), table(spark, sf_dir, "deployments")).select("ID", "datetime", "speed_dr", "east_m", "north_m")
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("east_m", "north_m")}))
 
 
 @query()
 def trk9_directedness(spark, sf_dir):
-    return tracks.reconstructable(tracks.reckon(_moving(spark, sf_dir), table(spark, sf_dir, "deployments")))
+    out = tracks.reconstructable(tracks.reckon(_moving(spark, sf_dir), table(spark, sf_dir, "deployments")))
+    return rounded(out.withColumns({c: F.round(c, 2) for c in ("path_m", "net_m")}))
 
 
 @query()
@@ -311,22 +322,23 @@ def fea2_tumbling(spark, sf_dir):
 @query()
 def fea3_circular(spark, sf_dir):
     df = with_heading(record(spark, sf_dir)).where("heading is not null")
-    return features.features(df, [("heading", m, 5.0) for m in ("mean", "median", "sd", "range", "iqr")]).select("ID", "datetime", *[F.round(f"heading_{m}_5s", 4).alias(m) for m in ("mean", "median", "sd", "range", "iqr")])
+    return features.features(df, [("heading", m, 5.0) for m in ("mean", "median", "sd", "range", "iqr")]).select("ID", F.unix_micros("datetime").alias("datetime"), *[(F.round(f"heading_{m}_5s", 4) + 0.0).alias(m) for m in ("mean", "median", "sd", "range", "iqr")])
 
 
 @query()
 def fea4_enhanced(spark, sf_dir):
-    return features.enhanced(with_heading(record(spark, sf_dir)).where("depth is not null and heading is not null"))
+    return rounded(features.enhanced(with_heading(record(spark, sf_dir)).where("depth is not null and heading is not null")))
 
 
 @query()
 def fea5_stability(spark, sf_dir):
-    return features.stability(with_heading(record(spark, sf_dir)))
+    return rounded(features.stability(with_heading(record(spark, sf_dir))))
 
 
 @query()
 def fea6_distribution_shape(spark, sf_dir):
-    return features.features(record(spark, sf_dir).where("temp is not null"), [("temp", m, 10.0) for m in ("mad", "entropy", "skewness", "kurtosis", "range")])
+    out = features.features(record(spark, sf_dir).where("temp is not null"), [("temp", m, 10.0) for m in ("mad", "entropy", "skewness", "kurtosis", "range")])
+    return out.select("ID", F.unix_micros("datetime").alias("datetime"), *[(F.round(c, 8 if c == "temp_kurtosis_10s" else 6) + 0.0).alias(c) for c in out.columns if c not in ("ID", "datetime")])
 
 
 @query(f"""with {TAG}, f as (select "ID", us, case when depth > 20 then 1 else 0 end y from tag where depth is not null), o as (select "ID", min(us) u from f group by "ID")
@@ -368,7 +380,7 @@ def k10_attitude(spark, sf_dir):
 
 @query()
 def k12_mount_offsets(spark, sf_dir):
-    return process.mount_offsets(process.vertical_velocity(with_heading(units_record(spark, sf_dir))))
+    return rounded(process.mount_offsets(process.vertical_velocity(with_heading(units_record(spark, sf_dir)))))
 
 
 @query()
@@ -411,14 +423,15 @@ def mag2_ellipsoids(spark, sf_dir):
 @query()
 def mag4_coverage(spark, sf_dir):
     df = units_record(spark, sf_dir)
-    return magnetometer.coverage(df, magnetometer.hard_iron(df).where("cx is not null"))
+    return rounded(magnetometer.coverage(df, magnetometer.hard_iron(df).where("cx is not null")))
 
 
 @query()
 def prj9_calibrated(spark, sf_dir):
     df = units_record(spark, sf_dir)
-    fits = magnetometer.ellipsoids(df).where("status = 'fitted'").drop("radius", "n", "status")
-    return magnetometer.spread_of_radius(process.apply_mag_calibration(df, fits))
+    # Hard iron alone: centres, and no turning or stretching of the axes.
+    fits = magnetometer.hard_iron(df).where("cx is not null").select("ID", "cx", "cy", "cz", *[F.lit(float(i == j)).alias(f"s{i}{j}") for i in (1, 2, 3) for j in (1, 2, 3)])
+    return rounded(magnetometer.spread_of_radius(process.apply_mag_calibration(df, fits)))
 
 
 @query()
@@ -438,7 +451,7 @@ def fun_diel_phase(spark, sf_dir):
 
 
 @query()
-def join18_speed_calibration(spark, sf_dir):
+def trk8_speed_calibration(spark, sf_dir):
     track = tracks.reckon(_moving(spark, sf_dir), table(spark, sf_dir, "deployments")).withColumn("vedba", F.abs("pitch"))
     return tracks.speed_calibration(track, tracks.anchors(track, table(spark, sf_dir, "positions").where("datetime is not null and type <> 'User'")))
 
@@ -474,9 +487,9 @@ SQL["his1_history"] = """select distinct "ID", seq::bigint seq, step, key, value
 
 
 @query()
-def join16_interval_carry(spark, sf_dir):
+def join7_interval_carry(spark, sf_dir):
     """Readings with the annotation that covers them."""
     return joins.in_intervals(record(spark, sf_dir).select("record_id", "ID", "datetime"), table(spark, sf_dir, "annotations"), ["ID"], "start", "end", carry=["ann_id"]).select("record_id", "ann_id")
 
 
-SQL["join16_interval_carry"] = f"""with {TAG} select t.record_id, a.ann_id from tag t join annotations a on t."ID" = a."ID" and t.datetime between a."start" and a."end" """
+SQL["join7_interval_carry"] = f"""with {TAG} select t.record_id, a.ann_id from tag t join annotations a on t."ID" = a."ID" and t.datetime between a."start" and a."end" """

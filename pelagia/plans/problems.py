@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.operators import grid, intervals, spikes, timestamps, unit_texts
+from pelagia.plans import domain_sql
 from pelagia.runtime import table
 
 
@@ -55,17 +56,6 @@ e as (select "ID", file_no, i, channel, unnest(range(min(k), max(k) + 1)) k from
 g as (select e.*, o.v from e left join o on e."ID" = o."ID" and e.file_no = o.file_no and e.channel = o.channel and e.k = o.k)
 """
 
-_UNITS = """
-with n as (select "ID", file_no,
-    median(case when not isnan(sqrt(ax*ax + ay*ay + az*az)) then sqrt(ax*ax + ay*ay + az*az) end) a,
-    median(case when not isnan(sqrt(gx*gx + gy*gy + gz*gz)) then sqrt(gx*gx + gy*gy + gz*gz) end) g,
-    median(case when not isnan(sqrt(mx*mx + my*my + mz*mz)) then sqrt(mx*mx + my*my + mz*mz) end) m
-  from sensor_data group by "ID", file_no),
-u as (select "ID", file_no, case when a < 3.1 then 'g' when a < 99 then 'm/s2' when a is not null then 'mg' end ua,
-    case when g < 3 then 'rad/s' when g < 100 then 'deg/s' when g is not null then 'mrad/s' end ug,
-    case when m < 130 then 'uT' when m < 4000 then 'mG' when m is not null then 'nT' end um from n)
-"""
-
 SQL = {
     "p2_found": _GRID + 'select "ID", file_no, channel, k * i period_epoch from g where v is null',
     "p2_series": _GRID + """,
@@ -77,10 +67,8 @@ select "ID", file_no, channel, k * i period_epoch,
   round(case when v is not null then v when k0 is null or k1 is null or k1 - k0 - 1 > 3 then null else v0 + (v1 - v0) * (k - k0) / (k1 - k0) end, 6) + 0.0 "value",
   case when v is not null then 'observed' when k0 is null or k1 is null then 'edge' when k1 - k0 - 1 <= 3 then 'filled' else 'gap' end state
 from w""",
-    "p4_found": _UNITS + """select "ID", file_no, 'ax' channel, ua unit from u where ua <> 'g'
-union all select "ID", file_no, 'gx', ug from u where ug <> 'rad/s' union all select "ID", file_no, 'mx', um from u where um <> 'uT'""",
-    "p4_converted": _UNITS + """select s.record_id, s."ID", s.file_no, """ + ", ".join(f"round(case when not isnan({p}{a}) then {p}{a} end * {f}, 6) + 0.0 {p}{a}" for p, f in (("a", "case ua when 'mg' then 0.001 when 'm/s2' then 1 / 9.80665 else 1 end"), ("g", "case ug when 'mrad/s' then 0.001 when 'deg/s' then 0.017453292519943295 else 1 end"), ("m", "case um when 'nT' then 0.001 when 'mG' then 0.1 else 1 end")) for a in "xyz") + """
-from sensor_data s left join u on s."ID" = u."ID" and s.file_no = u.file_no""",
+    "p4_found": domain_sql.SQL["p4_found"],
+    "p4_converted": domain_sql.SQL["p4_converted"],
     "p5_found": """
 with i as (select 'video_segments' tbl, "ID", 'video' event, epoch_us("start") s, epoch_us("end") e from video_segments
   union all select 'annotations', "ID", event, epoch_us("start"), epoch_us("end") from annotations),
