@@ -157,10 +157,14 @@ class Dives(Control):
     prominence: float | None = None
     reference: str = "auto"
     direction: str = "down"
+    phase_method: str = "vertical_rate"
+    rate_quantile: float = 0.9
+    rate_share: float = 0.25
     bottom_share: float = 0.8
-    baseline_hours: float = 1.0
+    baseline_hours: float = 3.0
 
     def __post_init__(self):
+        _check(self.phase_method in ("vertical_rate", "prop_depth"), "unknown phase method")
         _check(self.reference in ("auto", "surface", "baseline"), "unknown reference")
         _check(self.direction in ("down", "up", "both"), "unknown direction")
 

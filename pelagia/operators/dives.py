@@ -17,9 +17,9 @@ from pelagia.control import Dives
 from pelagia.functions.angles import guarded_mean, resultant_length
 from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.tag import seconds
-from pelagia.operators.windows import hysteresis, lookup, nocb, reverse, spec
+from pelagia.operators.windows import hysteresis, lookup, nocb, reverse, spec, with_runs
 
-METRICS = ["start", "end", "duration_s", "max_depth", "mean_depth", "baseline", "amplitude", "n", "coverage", "descent_s", "bottom_s", "ascent_s", "descent_rate", "ascent_rate", "bottom_mean", "bottom_sd", "vertical_m", "reversals", "truncated_start", "truncated_end", "gap_s", "censored", "complete", "phase_structure", "inter_dive_s", "inter_dive_censored"]
+METRICS = ["start", "end", "duration_s", "max_depth", "mean_depth", "sd_depth", "baseline", "amplitude", "prominence", "n", "coverage", "descent_s", "bottom_s", "ascent_s", "descent_rate", "descent_rate_q90", "ascent_rate", "ascent_rate_q90", "bottom_mean", "bottom_sd", "vertical_m", "reversals", "truncated_start", "truncated_end", "n_gaps", "gap_s", "censored", "complete", "phase_structure", "shape_supported", "inter_dive_s", "inter_dive_censored"]
 
 
 def scan(data: DataFrame) -> DataFrame:
@@ -107,13 +107,46 @@ def detect(data: DataFrame, control: Dives | dict | None = None, bin_s: float =
     df = df.withColumn("__dive", F.coalesce(keep, F.lit(False)))
     begins = F.col("__dive") & ((F.row_number().over(w) == 1) | (F.col("__run") != F.lag("__run").over(w)))
     df = df.withColumn("dive_id", F.when(F.col("__dive"), F.sum(begins.cast("int")).over(w)).otherwise(0).cast("int"))
-    dive = Window.partitionBy("ID", "dive_id")
-    deep = F.abs(F.col("__r")) >= s.bottom_share * F.max(F.abs("__r")).over(dive)
-    first, last = F.min(F.when(deep, F.col("__t"))).over(dive), F.max(F.when(deep, F.col("__t"))).over(dive)
-    df = df.withColumn("dive_phase", F.when(F.col("dive_id") == 0, "inter_dive").when(F.col("__t") < first, "descent").when(F.col("__t") > last, "ascent").otherwise("bottom"))
+    if s.phase_method == "vertical_rate":
+        df = rate_phases(df, s)
+    else:
+        dive = Window.partitionBy("ID", "dive_id")
+        deep = F.abs(F.col("__r")) >= s.bottom_share * F.max(F.abs("__r")).over(dive)
+        first, last = F.min(F.when(deep, F.col("__t"))).over(dive), F.max(F.when(deep, F.col("__t"))).over(dive)
+        df = df.withColumn("dive_phase", F.when(F.col("dive_id") == 0, "inter_dive").when(F.col("__t") < first, "descent").when(F.col("__t") > last, "ascent").otherwise("bottom"))
     return df.select(*data.columns, "depth_baseline", "dive_id", "dive_phase"), s
 
 
+def rate_phases(df: DataFrame, s: Dives) -> DataFrame:
+    """`df` (with ``dive_id, __r, __t``) with `dive_phase` by the vertical rate.
+
+    A rate counts as moving if it is over `rate_share` of the dive's own `rate_quantile` quantile of absolute rates.
+    Descent ends where, after it has begun and before the deepest row, the animal first does not descend for a
+    sustained run (a twentieth of the dive's rows, three at least), else before the deepest row; ascent begins with the
+    first sustained run of ascending rows behind it. Dives of fewer than three rows, and without any rate, are bottom.
+    """
+    dive = Window.partitionBy("ID", "dive_id")
+    w = dive.orderBy("__t")
+    inside = F.col("dive_id") > 0
+    z, dt = F.abs("__r"), F.col("__t") - F.lag("__t").over(w)
+    df = df.withColumn("__v", F.when(inside & (dt > 0), (z - F.lag(z).over(w)) / dt)).withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(dive))
+    df = df.withColumn("__crit", s.rate_share * F.percentile(F.when(inside, F.abs("__v")), s.rate_quantile).over(dive))
+    df = df.withColumn("__peak", F.min_by("__i", F.struct(-z, F.col("__i"))).over(dive)).withColumn("__long", F.greatest(F.lit(3), F.ceil(0.05 * F.col("__n"))))
+    df = df.withColumn("__began", F.min(F.when((F.col("__i") < F.col("__peak")) & (F.col("__v") > F.col("__crit")), F.col("__i"))).over(dive))
+    side = F.when((F.col("__i") < F.col("__peak")) & (F.col("__i") > F.col("__began")), 1).when(F.col("__i") > F.col("__peak"), 2).otherwise(0)
+    holds = F.when(side == 1, F.col("__v") <= F.col("__crit")).when(side == 2, F.col("__v") < -F.col("__crit"))
+    df = df.withColumn("__key", side * 2 + F.coalesce(holds, F.lit(False)).cast("int"))
+    df = df.withColumn("__stretch", F.sum(F.when(F.col("__key") == F.lag("__key").over(w), 0).otherwise(1)).over(w))
+    run = Window.partitionBy("ID", "dive_id", "__stretch")
+    df = df.withColumn("__held", (F.count(F.lit(1)).over(run) >= F.col("__long")) & F.col("__key").isin(3, 5))
+    slow, up = (F.min(F.when(F.col("__held") & (F.col("__key") == k), F.col("__i"))).over(dive) for k in (3, 5))
+    down_to = F.when(F.col("__began").isNotNull() & (F.col("__peak") - 1 >= F.col("__long")), F.coalesce(slow, F.col("__peak")) - 1)
+    up_from = F.when(F.col("__n") - F.col("__peak") >= F.col("__long"), up)
+    moving = (F.col("__n") >= 3) & (F.col("__crit") > 0)
+    df = df.withColumn("dive_phase", F.when(F.col("dive_id") == 0, "inter_dive").when(moving & (F.col("__i") <= down_to), "descent").when(moving & (F.col("__i") >= up_from), "ascent").otherwise("bottom"))
+    return df.drop("__v", "__i", "__n", "__crit", "__peak", "__long", "__began", "__key", "__stretch", "__held")
+
+
 def cols(z: np.ndarray, prominence: float, most: int = 64) -> list[int]:
     """Where a run is divided: at the lowest point between two peaks that both rise at least `prominence` above it, the most
     prominent first, and so on in the parts."""
@@ -155,22 +188,39 @@ def split_at_cols(df: DataFrame, prominence: float) -> DataFrame:
 def metrics(dives: DataFrame, s: Dives, variables: tuple[str, ...] = (), circular: tuple[str, ...] = ()) -> DataFrame:
     """One row per dive: ``ID, dive_id`` and the columns of `METRICS`, plus mean and sd of each variable.
 
-    Durations of phases are 0 with fewer than two rows. A dive is censored at a boundary of the record, or
-    by gaps in time or depth inside it or at its edges; the interval to the next dive is censored if a gap
-    lies in it. The schema does not depend on whether there are dives.
+    A phase counts if it has two rows at different times; with fewer than two phases that count, durations and rates of
+    phases, bottom figures and reversals are NULL (the structure then is the one letter, or X). Reversals are changes of
+    direction by moves of at least the wiggle. A dive is censored at a boundary of the record, or by interruptions:
+    time steps over `max_gap_s`, and runs without depth that last longer, inside it or at its edges. Each edge is
+    charged the longer of the two. The interval to the next dive is censored if an interruption lies in it. The schema
+    does not depend on whether there are dives.
     """
     w = spec()
     t = seconds()
-    df = dives.withColumn("__t", t).withColumn("__dt", t - F.lag(t).over(w)).withColumn("__dz", F.col("depth") - F.lag("depth").over(w))
-    df = df.withColumn("__next", F.lead(t).over(w) - t).withColumn("__gap", F.coalesce((F.col("__dt") > s.max_gap_s).cast("int"), F.lit(0))).withColumn("__gaps", F.sum("__gap").over(w))
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("__first", F.first("__t").over(everything)).withColumn("__last", F.last("__t").over(everything))
     same = F.lag("dive_id").over(w) == F.col("dive_id")
-    df = df.withColumn("__dz", F.when(same, F.col("__dz"))).withColumn("__inner", F.when(same, F.col("__dt")))
-    sign = F.when(F.abs("__dz") >= s.wiggle / 4, F.signum("__dz"))
-    df = df.withColumn("__sign", sign)
-    df = df.withColumn("__turn", F.when(F.col("__sign") != F.last("__sign", True).over(Window.partitionBy("ID", "dive_id").orderBy("datetime").rowsBetween(Window.unboundedPreceding, -1)), 1))
-    r = F.col("depth") - F.col("depth_baseline")
+    df = dives.withColumn("__t", t).withColumn("__dark", F.col("depth").isNull())
+    df = with_runs(df, ["__dark"], name="__run")
+    per = Window.partitionBy("ID", "__run")
+    length = F.max("__t").over(per) - F.min("__t").over(per)
+    df = df.withColumn("__span", F.when(F.col("__dark") & (length > s.max_gap_s), length).otherwise(0.0))
+    everything = Window.partitionBy("ID")
+    step, ahead = F.col("__t") - F.lag("__t").over(w), F.lead("__t").over(w) - F.col("__t")
+    df = df.select("*", step.alias("__dt"), F.when(same, F.col("depth") - F.lag("depth").over(w)).alias("__dz"), F.when(same, step).alias("__inner"), ahead.alias("__ahead"), F.lag("__span").over(w).alias("__span0"), F.lead("__span").over(w).alias("__span1"), F.min("__t").over(everything).alias("__first"), F.max("__t").over(everything).alias("__last"))
+    broken = (F.coalesce(F.col("__dt") > s.max_gap_s, F.lit(False)) | ((F.col("__span") > 0) & (F.coalesce(F.col("__span0"), F.lit(0.0)) == 0))).cast("int")
+    df = df.withColumn("__gaps", F.sum(broken).over(w))
+    rate = F.try_divide("__dz", F.nullif(F.col("__inner"), F.lit(0.0)))
+    df = df.withColumn("__v", rate).withColumn("__opens", F.col("__inner").isNull())
+    closes = ~F.coalesce(F.lead("dive_id").over(w) == F.col("dive_id"), F.lit(False))
+    df = df.withColumn("__closes", closes)
+
+    def over_limit(x):
+        return F.when(x > s.max_gap_s, x).otherwise(0.0)
+
+    edge0, edge1 = F.greatest(over_limit(F.col("__dt")), F.coalesce(F.col("__span0"), F.lit(0.0))), F.greatest(over_limit(F.col("__ahead")), F.coalesce(F.col("__span1"), F.lit(0.0)))
+    inner = over_limit(F.col("__inner"))
+    dark_run = F.when(F.col("__span") > 0, F.struct("__run", "__span"))
+    r = F.abs(F.col("depth") - F.col("depth_baseline"))
+    at = F.struct(F.col("__t").alias("t"), F.col("depth").alias("z"))
 
     def phase(name: str, x):
         return F.when(F.col("dive_phase") == name, x)
@@ -178,32 +228,55 @@ def metrics(dives: DataFrame, s: Dives, variables: tuple[str, ...] = (), circula
     def span(name: str):
         return F.when(F.count(phase(name, F.col("__t"))) >= 2, F.max(phase(name, F.col("__t"))) - F.min(phase(name, F.col("__t")))).otherwise(0.0)
 
+    def q90(name: str):
+        return F.percentile(phase(name, F.abs("__v")), 0.9)
+
     extra = [a for v in variables for a in (F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_sd"))] + [a for v in circular for a in (guarded_mean(F.col(v)).alias(f"{v}_mean"), resultant_length(F.col(v)).alias(f"{v}_mrl"))]
+    known = F.when(F.col("depth").isNotNull(), F.col("__t"))
     out = df.where("dive_id > 0").groupBy("ID", "dive_id").agg(
-        F.min("__t").alias("start"), F.max("__t").alias("end"), (F.max("__t") - F.min("__t")).alias("duration_s"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"),
-        F.min_by("depth_baseline", "__t").alias("baseline"), F.max(F.abs(r)).alias("amplitude"), F.count(F.lit(1)).alias("n"), F.avg(F.col("depth").isNotNull().cast("double")).alias("coverage"),
+        F.min("__t").alias("start"), F.max("__t").alias("end"), (F.max("__t") - F.min("__t")).alias("duration_s"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"), F.stddev_samp("depth").alias("sd_depth"),
+        F.min_by("depth_baseline", "__t").alias("baseline"), F.max(r).alias("amplitude"), (F.max(r) - F.greatest(F.min_by(r, known), F.max_by(r, known))).alias("prominence"), F.count(F.lit(1)).alias("n"), F.avg(F.col("depth").isNotNull().cast("double")).alias("coverage"),
         span("descent").alias("descent_s"), span("bottom").alias("bottom_s"), span("ascent").alias("ascent_s"),
-        F.avg(phase("descent", F.try_divide("__dz", F.nullif(F.col("__inner"), F.lit(0.0))))).alias("descent_rate"), F.avg(phase("ascent", F.try_divide("__dz", F.nullif(F.col("__inner"), F.lit(0.0))))).alias("ascent_rate"),
+        F.avg(phase("descent", F.col("__v"))).alias("descent_rate"), q90("descent").alias("descent_rate_q90"), F.avg(phase("ascent", F.col("__v"))).alias("ascent_rate"), q90("ascent").alias("ascent_rate_q90"),
         F.avg(phase("bottom", F.col("depth"))).alias("bottom_mean"), F.stddev_samp(phase("bottom", F.col("depth"))).alias("bottom_sd"),
-        F.coalesce(F.sum(F.abs("__dz")), F.lit(0.0)).alias("vertical_m"), F.coalesce(F.sum("__turn"), F.lit(0)).alias("reversals"),
-        F.max((F.col("__t") == F.col("__first")).cast("int")).cast("boolean").alias("truncated_start"), F.max((F.col("__t") == F.col("__last")).cast("int")).cast("boolean").alias("truncated_end"),
-        F.coalesce(F.sum(F.when(F.col("__inner") > s.max_gap_s, F.col("__inner"))), F.lit(0.0)).alias("gap_s"),
-        F.max(F.when(~F.coalesce(same_start(), F.lit(False)), F.col("__gap"))).alias("__edge"), F.count(F.when(F.col("depth").isNull(), 1)).alias("__dark"),
-        F.max_by("__next", "__t").alias("__behind"), F.max("__gaps").alias("__gaps"),
-        F.concat(F.when(F.count(phase("descent", F.lit(1))) > 0, "D").otherwise(""), F.when(F.count(phase("bottom", F.lit(1))) > 0, "B").otherwise(""), F.when(F.count(phase("ascent", F.lit(1))) > 0, "A").otherwise("")).alias("phase_structure"), *extra,
+        F.coalesce(F.sum(F.abs("__dz")), F.lit(0.0)).alias("vertical_m"), reversals(F.array_sort(F.collect_list(F.when(F.col("depth").isNotNull(), at))), s.wiggle or 0.5).alias("reversals"),
+        F.bool_or(F.col("__t") == F.col("__first")).alias("truncated_start"), F.bool_or(F.col("__t") == F.col("__last")).alias("truncated_end"),
+        F.sum(inner).alias("__in"), F.count_if(inner > 0).alias("__in_n"), F.collect_set(dark_run).alias("__darks"),
+        F.max(F.when(F.col("__opens"), edge0)).alias("__e0"), F.max(F.when(F.col("__closes"), edge1)).alias("__e1"),
+        F.bool_or((inner > 0) | F.coalesce(F.col("__opens") & (F.col("__dt") > s.max_gap_s), F.lit(False)) | F.coalesce(F.col("__closes") & (F.col("__ahead") > s.max_gap_s), F.lit(False))).alias("__time"),
+        F.bool_or((F.col("__span") > 0) | F.coalesce(F.col("__opens") & (F.col("__span0") > 0), F.lit(False)) | F.coalesce(F.col("__closes") & (F.col("__span1") > 0), F.lit(False))).alias("__lost"),
+        F.bool_or(F.col("__closes") & F.coalesce(F.col("__ahead") > s.max_gap_s, F.lit(False))).alias("__behind"), F.max("__gaps").alias("__gaps"), F.min("__gaps").alias("__gaps0"), *extra,
     )
-    time_gap = (F.col("gap_s") > 0) | (F.col("__edge") > 0) | F.coalesce(F.col("__behind") > s.max_gap_s, F.lit(False))
-    edge, dark = F.col("truncated_start") | F.col("truncated_end"), F.col("__dark") > 0
-    kinds = edge.cast("int") + time_gap.cast("int") + dark.cast("int")
-    out = out.withColumn("censored", F.when(kinds > 1, "mixed").when(edge, "boundary").when(time_gap, "time_gap").when(dark, "depth_gap").otherwise("none")).withColumn("complete", F.col("censored") == "none")
+    # A gap of zero rows is no interruption; of those inside, each run without depth is charged once.
+    dark = F.aggregate("__darks", F.lit(0.0), lambda a, x: a + x["__span"])
+    out = out.withColumn("gap_s", F.col("__in") + dark + F.coalesce("__e0", F.lit(0.0)) + F.coalesce("__e1", F.lit(0.0))).withColumn("n_gaps", F.col("__in_n") + F.size("__darks") + (F.coalesce("__e0", F.lit(0.0)) > 0).cast("int") + (F.coalesce("__e1", F.lit(0.0)) > 0).cast("int"))
+    edge = F.col("truncated_start") | F.col("truncated_end")
+    kinds = edge.cast("int") + F.col("__time").cast("int") + F.col("__lost").cast("int")
+    out = out.withColumn("censored", F.when(kinds > 1, "mixed").when(edge, "boundary").when(F.col("__time"), "time_gap").when(F.col("__lost"), "depth_gap").otherwise("none")).withColumn("complete", F.col("censored") == "none")
+    shape = (F.col("descent_s") > 0).cast("int") + (F.col("bottom_s") > 0).cast("int") + (F.col("ascent_s") > 0).cast("int")
+    letters = F.concat(*[F.when(F.col(f"{p}_s") > 0, c).otherwise("") for p, c in (("descent", "D"), ("bottom", "B"), ("ascent", "A"))])
+    out = out.withColumn("phase_structure", F.when(letters == "", "X").otherwise(letters)).withColumn("shape_supported", shape >= 2)
+    only = ["descent_rate", "descent_rate_q90", "ascent_rate", "ascent_rate_q90", "reversals"]
+    out = out.withColumns({c: F.when(F.col("shape_supported") & (F.col("bottom_s") > 0), F.col(c)) for c in ("bottom_mean", "bottom_sd")})
+    out = out.withColumns({c: F.when(F.col("shape_supported"), F.col(c)) for c in [*only, "descent_s", "bottom_s", "ascent_s"]})
     nxt = Window.partitionBy("ID").orderBy("dive_id")
-    out = out.withColumn("inter_dive_s", F.lead("start").over(nxt) - F.col("end")).withColumn("inter_dive_censored", F.when(F.lead("start").over(nxt).isNotNull(), (F.lead("__gaps").over(nxt) > F.col("__gaps")) | F.coalesce(F.col("__behind") > s.max_gap_s, F.lit(False))))
+    out = out.withColumn("inter_dive_s", F.lead("start").over(nxt) - F.col("end")).withColumn("inter_dive_censored", F.when(F.lead("start").over(nxt).isNotNull(), (F.lead("__gaps0").over(nxt) > F.col("__gaps"))))
     more = [f"{v}_{m}" for v in variables for m in ("mean", "sd")] + [f"{v}_{m}" for v in circular for m in ("mean", "mrl")]
     return out.select("ID", "dive_id", *METRICS, *more)
 
 
-def same_start():
-    return F.col("__inner").isNotNull()
+def reversals(points, least: float):
+    """Changes of direction in an array of ``(t, z)`` in time order: a turning point counts once the move away from it is at
+    least `least`. The array is one dive's."""
+    start = F.struct(F.lit(0).alias("n"), F.get(points, F.lit(0))["z"].alias("last"), F.lit(0).alias("way"))
+
+    def walk(a, p):
+        way = F.signum(p["z"] - a["last"]).cast("int")
+        moved = F.abs(p["z"] - a["last"]) >= least
+        turned = moved & (a["way"] != 0) & (way != a["way"])
+        return F.struct((a["n"] + turned.cast("int")).alias("n"), F.when(moved, p["z"]).otherwise(a["last"]).alias("last"), F.when(moved, way).otherwise(a["way"]).alias("way"))
+
+    return F.aggregate(points, start, walk, lambda a: a["n"])
 
 
 def per_deployment(dive_table: DataFrame) -> DataFrame:

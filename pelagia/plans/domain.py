@@ -3,6 +3,8 @@ tail beats, orientation, calibration, diel phase. Where SQL can say them, with S
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from pelagia.functions import solar
 from pelagia.operators import alignment, dives, features, joins, magnetometer, mapping, process, quality, regularize, tailbeats, tracks, trim, unit_texts
 from pelagia.operators import tag as tags
 from pelagia.plans import domain_sql
-from pelagia.plans.domain_sql import DIVE_TABLE
+from pelagia.plans.domain_sql import DIVE_METRICS, DIVE_TABLE, RATE_PHASES
 from pelagia.plans.records import TAG, q, r6, record, rounded, with_heading
 from pelagia.runtime import cut, shared_folder, table
 from pelagia.sources.sinks import load_records, save_records
@@ -141,11 +143,11 @@ def sup12_coverage(spark, sf_dir):
 
 # Dives
 
-_SURFACE = Dives(threshold=10.0, band=2.0, min_amplitude=5.0, min_duration_s=30.0, max_gap_s=600.0, wiggle=0.5, reference="surface")
+_SURFACE = Dives(threshold=10.0, band=2.0, min_amplitude=5.0, min_duration_s=30.0, max_gap_s=600.0, wiggle=0.5, reference="surface", phase_method="prop_depth")
 
 
-def _dives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dives]:
-    return dives.detect(record(spark, sf_dir).where("depth is not null").select("record_id", "ID", "datetime", "depth", "temp"), _SURFACE)
+def _dives(spark: SparkSession, sf_dir: str, phases: str = "prop_depth") -> tuple[DataFrame, Dives]:
+    return dives.detect(record(spark, sf_dir).where("depth is not null").select("record_id", "ID", "datetime", "depth", "temp"), replace(_SURFACE, phase_method=phases))
 
 
 _DIVE = f"""{TAG}, d as (select record_id, "ID", us, t, depth, temp, depth >= 2 o, t - lag(t) over (partition by "ID" order by us) dt from tag where depth is not null),
@@ -163,11 +165,18 @@ def div9_detect(spark, sf_dir):
     return df.select("record_id", F.col("dive_id").cast("bigint").alias("dive_id"), "dive_phase")
 
 
-@query(f"""with {_DIVE} select "ID", dive_id, {q('max(t) - min(t)')} duration_s, {q('max(depth)')} max_depth, {q('avg(depth)')} mean_depth, count(*) n, {q('avg(temp)')} temp_mean from p where dive_id > 0 group by "ID", dive_id""")
+@query(f"""with {_DIVE}, {RATE_PHASES} select record_id, dive_id, dive_phase from ph""")
+def div9_phases(spark, sf_dir):
+    """The same dives with phases by the vertical rate, the default."""
+    df, _ = _dives(spark, sf_dir, "vertical_rate")
+    return df.select("record_id", F.col("dive_id").cast("bigint").alias("dive_id"), "dive_phase")
+
+
+@query(f"""with {_DIVE}, {RATE_PHASES}, {DIVE_TABLE}, {DIVE_METRICS}""")
 def div10_metrics(spark, sf_dir):
-    df, s = _dives(spark, sf_dir)
-    m = dives.metrics(df, s, ("temp",))
-    return rounded(m.select("ID", "dive_id", "duration_s", "max_depth", "mean_depth", "n", "temp_mean"))
+    """All columns of the dive table, with phases by the vertical rate."""
+    df, s = _dives(spark, sf_dir, "vertical_rate")
+    return rounded(dives.metrics(df, s, ("temp",)))
 
 
 @query()
@@ -177,11 +186,12 @@ def agg8_dive_table(spark, sf_dir):
     return dives.metrics(df, s, ("temp",))
 
 
-@query(f"""with {_DIVE}, m as (select "ID", dive_id, max(t) - min(t) s, max(depth) x from p where dive_id > 0 group by "ID", dive_id)
-select "ID", count(*) n_dives, {q('median(s) / 60')} duration_median_min, {q('max(s) / 60')} duration_max_min, {q('median(x)')} depth_median, {q('max(x)')} depth_max_dive from m group by "ID" """)
+@query(f"""with {_DIVE}, {DIVE_TABLE}
+select "ID", count(*) n_dives, {q('median(duration_s) / 60')} duration_median_min, {q('max(duration_s) / 60')} duration_max_min, {q('median(max_depth)')} depth_median, {q('max(max_depth)')} depth_max_dive,
+count(*) filter (not complete) n_incomplete, count(*) filter (ts or te) n_truncated, count(*) filter (edge > 0 or coalesce(behind > 600, false)) n_gapped from dt1 group by "ID" """)
 def agg6_dives_per_deployment(spark, sf_dir):
     df, s = _dives(spark, sf_dir)
-    return rounded(dives.per_deployment(dives.metrics(df, s)).drop("n_incomplete", "n_truncated", "n_gapped"))
+    return rounded(dives.per_deployment(dives.metrics(df, s)))
 
 
 @query()

@@ -111,6 +111,33 @@ DIVE_TABLE = """dv as (select p.*, sum(case when dt > 600 then 1 else 0 end) ove
 dt0 as (select "ID", dive_id, min(t) s, max(t) e, max(depth) max_depth, max(gaps) gaps, arg_max(nx, t) behind, bool_or(t = rec0) ts, bool_or(t = rec1) te, coalesce(max(case when pid is distinct from dive_id or dt is null then case when dt > 600 then 1 else 0 end end), 0) edge from dv where dive_id > 0 group by "ID", dive_id),
 dt1 as (select *, e - s duration_s, not (ts or te or edge > 0 or coalesce(behind > 600, false)) complete, lead(s) over w - e inter_dive_s, case when lead(s) over w is not null then lead(gaps) over w > gaps or coalesce(behind > 600, false) end inter_dive_censored from dt0 window w as (partition by "ID" order by dive_id))"""
 
+#: Phases by the vertical rate: a quarter of the 0.9 quantile of the dive's own rates, sustained over a twentieth of its rows.
+RATE_PHASES = """v0 as (select record_id, "ID", us, t, dive_id, abs(depth) z, row_number() over w i, count(*) over (partition by "ID", dive_id) m, (abs(depth) - lag(abs(depth)) over w) / nullif(t - lag(t) over w, 0) v from p where dive_id > 0 window w as (partition by "ID", dive_id order by us)),
+v1 as (select "ID", dive_id, 0.25 * quantile_cont(abs(v), 0.9) crit, arg_min(i, {'z': -z, 'i': i}) pk, greatest(3, ceil(0.05 * any_value(m))) len from v0 group by "ID", dive_id),
+v2 as (select v0.*, crit, pk, len from v0 join v1 on v0."ID" = v1."ID" and v0.dive_id = v1.dive_id),
+v3 as (select *, min(case when i < pk and v > crit then i end) over (partition by "ID", dive_id) began from v2),
+v4 as (select *, case when i < pk and i > began then 1 when i > pk then 2 else 0 end side from v3),
+v5 as (select *, side * 2 + coalesce(case side when 1 then v <= crit when 2 then v < -crit end, false)::int key from v4),
+v6 as (select *, sum(case when key = pkey then 0 else 1 end) over (partition by "ID", dive_id order by us) st from (select *, lag(key) over (partition by "ID", dive_id order by us) pkey from v5)),
+v7 as (select *, key in (3, 5) and count(*) over (partition by "ID", dive_id, st) >= len held from v6),
+v8 as (select *, case when began is not null and pk - 1 >= len then coalesce(min(case when held and key = 3 then i end) over (partition by "ID", dive_id), pk) - 1 end dto, case when m - pk >= len then min(case when held and key = 5 then i end) over (partition by "ID", dive_id) end ufr from v7),
+ph as (select p.record_id, p.dive_id, case when p.dive_id = 0 then 'inter_dive' when m >= 3 and crit > 0 and i <= dto then 'descent' when m >= 3 and crit > 0 and i >= ufr then 'ascent' else 'bottom' end dive_phase from p left join v8 on p.record_id = v8.record_id)"""
+
+_NO_SHAPE = "((ds > 0)::int + (bs > 0)::int + (as_ > 0)::int < 2)"
+#: The dive table (records here have a depth in every row, so only time steps interrupt).
+DIVE_METRICS = f"""x0 as (select dv.*, ph.dive_phase f, case when pid = dv.dive_id then dz0 end dz, case when pid = dv.dive_id then dt end ind, row_number() over (partition by "ID", dv.dive_id order by us) i from dv join ph on dv.record_id = ph.record_id where dv.dive_id > 0),
+x1 as (select *, dz / nullif(ind, 0) v from x0),
+tz as (select "ID", dive_id, list_reduce(list_transform(list(depth order by us), lambda d: {{'n': 0, 'l': d, 'w': 0}}), lambda a, b: case when abs(b.l - a.l) >= 0.5 then {{'n': a.n + case when a.w <> 0 and sign(b.l - a.l)::int <> a.w then 1 else 0 end, 'l': b.l, 'w': sign(b.l - a.l)::int}} else a end).n reversals from x1 group by "ID", dive_id),
+x2 as (select "ID", dive_id, avg(depth) mean_depth, stddev_samp(depth) sd_depth, max(abs(depth)) amplitude, max(abs(depth)) - greatest(arg_min(abs(depth), us), arg_max(abs(depth), us)) prominence, count(*) n,
+{", ".join(f"case when count(*) filter (f = '{f}') >= 2 then max(t) filter (f = '{f}') - min(t) filter (f = '{f}') else 0 end {a}" for f, a in (("descent", "ds"), ("bottom", "bs"), ("ascent", "as_")))},
+{", ".join(f"avg(v) filter (f = '{f}') {a}r, quantile_cont(abs(v), 0.9) filter (f = '{f}') {a}q" for f, a in (("descent", "d"), ("ascent", "a")))}, avg(depth) filter (f = 'bottom') bm, stddev_samp(depth) filter (f = 'bottom') bsd, coalesce(sum(abs(dz)), 0) vertical_m, avg(temp) temp_mean, stddev_samp(temp) temp_sd,
+coalesce(max(case when i = 1 and dt > 600 then dt end), 0) e0 from x1 group by "ID", dive_id),
+x3 as (select x2.*, tz.reversals, dt1.* exclude ("ID", dive_id), e0 + case when behind > 600 then behind else 0 end gap_s, (e0 > 0)::int + coalesce(behind > 600, false)::int n_gaps, (ts or te)::int + (e0 > 0 or coalesce(behind > 600, false))::int kinds from x2 join dt1 on x2."ID" = dt1."ID" and x2.dive_id = dt1.dive_id join tz on x2."ID" = tz."ID" and x2.dive_id = tz.dive_id)
+select "ID", dive_id, {q("s")} "start", {q("e")} "end", {q("duration_s")} duration_s, {q("max_depth")} max_depth, {q("mean_depth")} mean_depth, {q("sd_depth")} sd_depth, 0.0::double baseline, {q("amplitude")} amplitude, {q("prominence")} prominence, n, 1.0::double coverage,
+{", ".join(f"case when not {_NO_SHAPE} then {q(a)} end {b}" for a, b in (("ds", "descent_s"), ("bs", "bottom_s"), ("as_", "ascent_s"), ("dr", "descent_rate"), ("dq", "descent_rate_q90"), ("ar", "ascent_rate"), ("aq", "ascent_rate_q90")))}, {", ".join(f"case when not {_NO_SHAPE} and bs > 0 then {q(a)} end {b}" for a, b in (("bm", "bottom_mean"), ("bsd", "bottom_sd")))},
+{q("vertical_m")} vertical_m, case when not {_NO_SHAPE} then reversals end reversals, ts truncated_start, te truncated_end, n_gaps, {q("gap_s")} gap_s, case when kinds > 1 then 'mixed' when ts or te then 'boundary' when kinds = 1 then 'time_gap' else 'none' end censored, kinds = 0 complete,
+case when ds > 0 or bs > 0 or as_ > 0 then case when ds > 0 then 'D' else '' end || case when bs > 0 then 'B' else '' end || case when as_ > 0 then 'A' else '' end else 'X' end phase_structure, not {_NO_SHAPE} shape_supported, {q("inter_dive_s")} inter_dive_s, inter_dive_censored, {q("temp_mean")} temp_mean, {q("temp_sd")} temp_sd from x3"""
+
 SQL["div3_settings"] = f"""with {TAG}, s as (select "ID", depth, t - lag(t) over w dt, depth - 2 * lag(depth) over w + lag(depth, 2) over w bend from tag window w as (partition by "ID" order by us)),
 m as (select "ID", median(case when dt > 0 then dt end) dt, median(bend) mid, quantile_cont(case when depth < 2 then abs(depth) end, 0.95) residual from s group by "ID"),
 n as (select s."ID", 1.4826 * median(abs(bend - mid)) / sqrt(6) noise from s join m on s."ID" = m."ID" group by s."ID"),
