@@ -130,20 +130,23 @@ class FilterLocations(Control):
 @dataclass(frozen=True)
 class Reckoning(Control):
     speed: str = "constant"
-    constant: float = 1.0
-    max_speed: float = 5.0
+    constant: float = 0.5
+    max_speed: float = 2.5
     min_pitch: float = 45.0
     vedba_slope: float = 1.0
     vedba_intercept: float = 0.0
     rest_quantile: float | None = None
-    correction: str = "linear"
+    correction: str = "error_weighted"
+    weighting: str = "distance"
     default_radius_m: float = 1500.0
-    drift_rate: float = 0.2
-    diffusion: float = 1.0
+    drift_rate: float = 0.5
+    diffusion: float = 0.0
+    least_directedness: float = 0.1
 
     def __post_init__(self):
         _check(self.speed in ("constant", "paddle", "depth_rate", "vedba"), "unknown speed source")
         _check(self.correction in ("none", "linear", "error_weighted", "scale_rotate"), "unknown correction")
+        _check(self.weighting in ("distance", "time"), "unknown weighting")
 
 
 @dataclass(frozen=True)

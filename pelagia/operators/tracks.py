@@ -14,8 +14,9 @@ from pelagia.operators.tag import seconds
 from pelagia.operators.windows import first_per_bin, reverse, spec
 from pelagia.runtime import cut
 
-# Error radius in metres by location quality.
-RADII = {"3": 250.0, "2": 500.0, "1": 1500.0, "0": 5000.0, "A": 8000.0, "B": 12000.0, "4": 120.0, "5": 80.0, "6": 60.0, "7": 50.0, "8": 40.0, "9": 35.0, "10": 30.0, "11": 25.0}
+# Error radius in metres by location quality, and by kind of fix.
+RADII = {"3": 250.0, "2": 500.0, "1": 1500.0, "0": 3000.0, "A": 5000.0, "B": 10000.0, "Z": 50000.0}
+KINDS = {"FastGPS": 50.0, "User": 50.0, "Deploy": 50.0, "Popup": 50.0}
 
 
 def screen(fixes: DataFrame, deployments: DataFrame, control: FilterLocations | dict | None = None) -> DataFrame:
@@ -91,7 +92,8 @@ def speed_column(data: DataFrame, control: Reckoning) -> DataFrame:
 
 
 def reckon(data: DataFrame, deployments: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
-    """`data` with speed_dr and the uncorrected track `east_m`, `north_m`, `dr_lon`, `dr_lat` from the deployment's place.
+    """`data` with speed_dr and the uncorrected track `east_m`, `north_m`, `dr_lon`, `dr_lat` from the deployment's place,
+    and the length of its path so far, `path_m`.
 
     Time steps that are missing or not positive count as the record's median step; a missing heading or pitch
     adds no movement.
@@ -110,57 +112,147 @@ def reckon(data: DataFrame, deployments: DataFrame, control: Reckoning | dict |
     # Longitude uses the latitude that each step has reached.
     df = df.withColumn("dr_lon", F.col("lon0") + F.sum(F.degrees(F.col("__e") / (RADIUS_KM * 1000 * F.cos(F.radians("dr_lat"))))).over(upto))
     east, north = to_local(F.col("dr_lon"), F.col("dr_lat"), F.col("lon0"), F.col("lat0"))
-    return df.withColumn("east_m", east).withColumn("north_m", north).drop("__dt", "__u", "__e", "__n")
+    df = df.withColumn("east_m", east).withColumn("north_m", north)
+    step = F.sqrt((F.col("east_m") - F.lag("east_m").over(w)) ** 2 + (F.col("north_m") - F.lag("north_m").over(w)) ** 2)
+    return df.withColumn("__s", F.coalesce(step, F.lit(0.0))).withColumn("path_m", F.sum("__s").over(upto)).drop("__dt", "__u", "__e", "__n", "__s")
 
 
-def anchors(track: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
-    """``ID, datetime, a_east, a_north, radius_m``: the deployment's place at the first row, and the fixes in the record's
-    span (the best of one time)."""
+def anchors(track: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None, popups: DataFrame | None = None) -> DataFrame:
+    """``ID, datetime, a_east, a_north, radius_m, quality``: the deployment's place at the first row, the place of the
+    pop-up (``ID, datetime, lon, lat``) at the row nearest to its time, and the fixes in the record's span. Of several at
+    one time deployment goes before pop-up before fix, and of fixes the best. A fix's radius goes by its `type` where
+    that tells it, else by its `quality`."""
     c = Reckoning.of(control)
     own = track.groupBy("ID").agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"), F.min("lon0").alias("lon0"), F.min("lat0").alias("lat0"))
-    radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv]), F.col("quality")), F.lit(c.default_radius_m))
-    inside = fixes.where("lon is not null and lat is not null").join(own, "ID").where(F.col("datetime").between(F.col("first"), F.col("last")))
+
+    def of(table: dict, x):
+        return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), x)
+
+    kind = F.col("type") if "type" in fixes.columns else F.lit(None).cast("string")
     e, n = to_local(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
-    seen = inside.select("ID", "datetime", e.alias("e"), n.alias("n"), radius.alias("r")).groupBy("ID", "datetime").agg(F.min_by(F.struct("e", "n", "r"), F.struct("r", "e", "n")).alias("x")).select("ID", "datetime", F.col("x.e").alias("a_east"), F.col("x.n").alias("a_north"), F.col("x.r").alias("radius_m"))
-    start = own.select("ID", F.col("first").alias("datetime"), F.lit(0.0).alias("a_east"), F.lit(0.0).alias("a_north"), F.lit(10.0).alias("radius_m"))
-    return start.unionByName(seen.join(start.select("ID", "datetime"), ["ID", "datetime"], "left_anti"))
+    inside = fixes.where("lon is not null and lat is not null").join(own, "ID").where(F.col("datetime").between(F.col("first"), F.col("last")))
+    seen = inside.select("ID", "datetime", F.lit(3).alias("o"), F.coalesce(of(KINDS, kind), of(RADII, F.col("quality")), F.lit(c.default_radius_m)).alias("r"), e.alias("e"), n.alias("n"), F.when(kind.isin(*KINDS), kind).otherwise(F.col("quality")).alias("q"))
+    start = own.select("ID", F.col("first").alias("datetime"), F.lit(1).alias("o"), F.lit(KINDS["Deploy"]).alias("r"), F.lit(0.0).alias("e"), F.lit(0.0).alias("n"), F.lit("Deploy").alias("q"))
+    everything = start.unionByName(seen)
+    if popups is not None:
+        from pelagia.operators.joins import as_of
+
+        at = as_of(popups.where("datetime is not null and lon is not null and lat is not null"), track.select("ID", "datetime", F.col("datetime").alias("__at")), ["__at"]).where("__at is not null")
+        up = at.join(own, "ID").select("ID", F.col("__at").alias("datetime"), F.lit(2).alias("o"), F.lit(KINDS["Popup"]).alias("r"), e.alias("e"), n.alias("n"), F.lit("Popup").alias("q"))
+        everything = everything.unionByName(up)
+    best = everything.groupBy("ID", "datetime").agg(F.min_by(F.struct("e", "n", "r", "q"), F.struct("o", "r", "e", "n")).alias("x"))
+    return best.select("ID", "datetime", F.col("x.e").alias("a_east"), F.col("x.n").alias("a_north"), F.col("x.r").alias("radius_m"), F.col("x.q").alias("quality"))
+
+
+def _at_rows(track: DataFrame, anchor_rows: DataFrame) -> DataFrame:
+    """Anchors with the reckoned place and path of the row at or behind their time (else before)."""
+    w = Window.partitionBy("ID").orderBy("__t", "__kind")
+    ahead = reverse(("ID",), ("__t", "__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = track.select("ID", F.unix_micros("datetime").alias("__t"), F.lit(1).alias("__kind"), F.struct("east_m", "north_m", "path_m").alias("__p"), F.lit(None).alias("__a"))
+    marks = anchor_rows.select("ID", F.unix_micros("datetime").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).alias("__p"), F.struct("a_east", "a_north", "radius_m", "quality").alias("__a"))
+    here = F.coalesce(F.last("__p", True).over(ahead), F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.unionByName(marks).withColumn("__here", here).where("__kind = 0 and __here is not null").select("ID", F.col("__t").alias("t"), "__here.*", "__a.*")
+
+
+_LINES = "ID string, t bigint, ce double, cn double, radius double, path double, tight double, tail double, pe double, pn double, ae double, an double"
+_HELD = "ID string, t bigint, quality string, radius double, east double, north double, pe double, pn double, gap_h double, interpolated boolean, used bigint"
+
+
+def _gain(c: Reckoning, seconds_apart, radius):
+    if c.correction == "none":
+        return 0.0
+    if c.correction != "error_weighted":
+        return 1.0
+    drift2 = (c.drift_rate * seconds_apart) ** 2 + c.diffusion * seconds_apart
+    return drift2 / (drift2 + radius**2) if drift2 > 0 else 0.0
+
+
+def _folded(c: Reckoning, held: bool):
+    """Walks over a record's anchors in time order. The offset from the reckoned track is carried from anchor to anchor: at each
+    it moves by `gain` of what is left of the distance to the fix."""
+
+    def lines(a: dict[str, np.ndarray]) -> list[tuple]:
+        n, ce, cn, out = len(a["t"]), 0.0, 0.0, []
+        for k in range(n):
+            tight = tail = a["radius_m"][k]
+            if k:
+                s = (a["t"][k] - a["t"][k - 1]) / 1e6
+                g = _gain(c, s, a["radius_m"][k])
+                ce += g * (a["a_east"][k] - a["east_m"][k] - ce)
+                cn += g * (a["a_north"][k] - a["north_m"][k] - cn)
+                from_before = a["radius_m"][k - 1] ** 2 + (c.drift_rate * s) ** 2 + c.diffusion * s
+                tight = tail = (1 / (1 / from_before + 1 / a["radius_m"][k] ** 2)) ** 0.5
+            out.append((int(a["t"][k]), ce, cn, a["radius_m"][k], a["path_m"][k], tight, tail, a["east_m"][k], a["north_m"][k], a["a_east"][k], a["a_north"][k]))
+        return out
+
+    def left_out(a: dict[str, np.ndarray]) -> list[tuple]:
+        n, out = len(a["t"]), []
+        ce = cn = 0.0
+        for k in range(n):
+            if a["quality"][k] != "Deploy" and k:
+                east, north = a["east_m"][k] + ce, a["north_m"][k] + cn
+                if k + 1 < n:  # the leg from the anchor before to the one behind, as if this one were not there
+                    s = (a["t"][k + 1] - a["t"][k - 1]) / 1e6
+                    whole = a["path_m"][k + 1] - a["path_m"][k - 1]
+                    w = (a["path_m"][k] - a["path_m"][k - 1]) / whole if c.weighting == "distance" and whole > 1e-6 else (a["t"][k] - a["t"][k - 1]) / 1e6 / s if s > 0 else 0.0
+                    g = _gain(c, s, a["radius_m"][k + 1]) * w
+                    de, dn = g * (a["a_east"][k + 1] - a["east_m"][k + 1] - ce), g * (a["a_north"][k + 1] - a["north_m"][k + 1] - cn)
+                    east, north = east + de, north + dn
+                    if c.correction == "scale_rotate":
+                        leg = complex(a["east_m"][k + 1] - a["east_m"][k - 1], a["north_m"][k + 1] - a["north_m"][k - 1])
+                        want = complex(a["a_east"][k + 1] - a["a_east"][k - 1], a["a_north"][k + 1] - a["a_north"][k - 1])
+                        if abs(leg) > 10 and 0.2 < abs(want / leg) < 5:
+                            z = complex(a["a_east"][k - 1], a["a_north"][k - 1]) + want / leg * complex(a["east_m"][k] - a["east_m"][k - 1], a["north_m"][k] - a["north_m"][k - 1])
+                            east, north = z.real, z.imag
+                others = [abs(a["t"][j] - a["t"][k]) for j in (k - 1, k + 1) if 0 <= j < n]
+                out.append((int(a["t"][k]), a["quality"][k], a["radius_m"][k], east, north, a["a_east"][k], a["a_north"][k], min(others) / 3.6e9, k + 1 < n, n - 1))
+            if k:
+                g = _gain(c, (a["t"][k] - a["t"][k - 1]) / 1e6, a["radius_m"][k])
+                ce += g * (a["a_east"][k] - a["east_m"][k] - ce)
+                cn += g * (a["a_north"][k] - a["north_m"][k] - cn)
+        return out
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        columns = {n: numbers(table, n).astype(float) for n in ("a_east", "a_north", "radius_m", "east_m", "north_m", "path_m")} | {"t": numbers(table, "t"), "quality": np.array(table.column("quality").to_pylist(), object)}
+        ids = table.column("ID").take(pa.array(starts)).to_pylist()
+        rows = [(ids[k], *r) for k, (a, b) in enumerate(zip(starts.tolist(), np.r_[starts[1:], len(table)].tolist())) for r in (left_out if held else lines)({n: v[a:b] for n, v in columns.items()})]
+        types = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        fields = [f.split() for f in (_HELD if held else _LINES).split(", ")]
+        return pa.table({n: pa.array([r[k] for r in rows], types[t]) for k, (n, t) in enumerate(fields)})
+
+    return kernel
 
 
 def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
-    """`track` with `pseudo_lon`, `pseudo_lat`, `pseudo_error`: reckoned between anchors, closed at each of them.
-
-    At an anchor the residual is the anchor less the reckoned place; between two anchors it changes linearly in time
-    and stays beyond the last (``linear``: the whole residual; ``error_weighted``: the part that the reckoning's own
-    uncertainty since the last anchor warrants against the fix's radius). ``scale_rotate`` turns and stretches each leg
-    onto its anchors instead. ``none`` leaves the reckoned track.
-    Uncertainty grows from the last anchor and towards the next, ``drift^2 = (rate t)^2 + diffusion t``, and both are
-    fused by their inverse variances.
+    """`track` with `pseudo_lon`, `pseudo_lat`, `pseudo_error`: reckoned between anchors, drawn to each of them.
+
+    The offset from the reckoned track is carried from anchor to anchor: at each it takes up what is left of the
+    distance to the fix (``linear``: all of it; ``error_weighted``: the part that the reckoning's own uncertainty since
+    the last anchor warrants against the fix's radius), and on the way it changes with the distance travelled (or with
+    time, by `weighting`). It stays beyond the last anchor. ``scale_rotate`` turns and stretches each leg onto its anchors
+    instead. ``none`` leaves the reckoned track. Uncertainty grows from the last anchor and towards the next,
+    ``drift^2 = (rate t)^2 + diffusion t``, and both are fused by their inverse variances; behind the last anchor it grows
+    from what is left there.
     """
     c = Reckoning.of(control)
+    used = anchor_rows.where("quality = 'Deploy'") if c.correction == "none" else anchor_rows
+    folded = over_sorted_groups(_at_rows(track, used), ["ID"], ["t"], _folded(c, False), _LINES)
     w = Window.partitionBy("ID").orderBy("__t", "__kind")
     ahead = reverse(("ID",), ("__t", "__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    cols = [x for x in track.columns]
-    rows = track.select("ID", F.unix_micros("datetime").alias("__t"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__row"), F.struct("east_m", "north_m").alias("__p"), F.lit(None).alias("__a"))
-    marks = anchor_rows.select("ID", F.unix_micros("datetime").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).alias("__row"), F.lit(None).alias("__p"), F.struct("a_east", "a_north", "radius_m").alias("__a"))
-    both = rows.unionByName(marks)
-    here = F.last("__p", True).over(ahead)
-    last_p = F.last("__p", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = F.coalesce(here, last_p)
-    rate2 = c.drift_rate**2
-    res = both.withColumn("__here", p)
-    before_t = F.max(F.when(F.col("__a").isNotNull(), F.col("__t"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    since = F.coalesce((F.col("__t") - before_t) / 1e6, F.lit(0.0))
-    r_dr2 = since * since * rate2 + c.diffusion * since
-    gain = F.when(F.lit(c.correction == "error_weighted") & (since > 0), r_dr2 / (r_dr2 + F.col("__a.radius_m") ** 2)).otherwise(F.lit(0.0 if c.correction == "none" else 1.0))
-    res = res.withColumn("__d", F.when(F.col("__a").isNotNull(), F.struct(F.col("__t").alias("t"), ((F.col("__a.a_east") - F.col("__here.east_m")) * gain).alias("e"), ((F.col("__a.a_north") - F.col("__here.north_m")) * gain).alias("n"), F.col("__a.radius_m").alias("r"), F.col("__here.east_m").alias("pe"), F.col("__here.north_m").alias("pn"), F.col("__a.a_east").alias("ae"), F.col("__a.a_north").alias("an"))))
+    rows = track.select("ID", F.unix_micros("datetime").alias("__t"), F.lit(1).alias("__kind"), F.struct(*track.columns).alias("__row"), F.lit(None).alias("__d"))
+    marks = folded.select("ID", F.col("t").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).alias("__row"), F.struct(*[c for c in folded.columns if c != "ID"]).alias("__d"))
     a, b = F.last("__d", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("__d", True).over(ahead)
-    res = res.withColumn("__x", a).withColumn("__y", b).where("__kind = 1")
-    part = F.coalesce(F.try_divide(F.col("__t") - F.col("__x.t"), F.nullif(F.col("__y.t") - F.col("__x.t"), F.lit(0))), F.lit(0.0))
+    res = rows.unionByName(marks).withColumn("__x", a).withColumn("__y", b).where("__kind = 1")
+    in_time = F.coalesce(F.try_divide(F.col("__t") - F.col("__x.t"), F.nullif(F.col("__y.t") - F.col("__x.t"), F.lit(0))), F.lit(0.0))
+    part = in_time
+    if c.weighting == "distance":
+        whole = F.col("__y.path") - F.col("__x.path")
+        part = F.when(whole > 1e-6, (F.col("__row.path_m") - F.col("__x.path")) / whole).otherwise(in_time)
 
     def moved(k: str):
         return F.coalesce(F.col(f"__x.{k}"), F.lit(0.0)) + F.coalesce(part * (F.col(f"__y.{k}") - F.col(f"__x.{k}")), F.lit(0.0))
 
-    east, north = F.col("__row.east_m") + moved("e"), F.col("__row.north_m") + moved("n")
+    east, north = F.col("__row.east_m") + moved("ce"), F.col("__row.north_m") + moved("cn")
     if c.correction == "scale_rotate":
         # The leg turned and stretched onto its anchors; legs that hardly lead anywhere stay linear.
         dpe, dpn = F.col("__y.pe") - F.col("__x.pe"), F.col("__y.pn") - F.col("__x.pn")
@@ -173,40 +265,43 @@ def correct(track: DataFrame, anchor_rows: DataFrame, control: Reckoning | dict
         east, north = F.when(fits, F.col("__x.ae") + re * qe - im * qn).otherwise(east), F.when(fits, F.col("__x.an") + im * qe + re * qn).otherwise(north)
     lon, lat = from_local(east, north, F.col("__row.lon0"), F.col("__row.lat0"))
 
-    def variance(side: str, sign: int):
+    def variance(side: str, sign: int, size: str = "radius"):
         s = sign * (F.col("__t") - F.col(f"{side}.t")) / 1e6
-        return F.col(f"{side}.r") ** 2 + s * s * rate2 + c.diffusion * s
+        return F.col(f"{side}.{size}") ** 2 + s * s * c.drift_rate**2 + c.diffusion * s
 
-    va, vb = variance("__x", 1), variance("__y", -1)
-    error = F.sqrt(F.when(va.isNotNull() & vb.isNotNull(), 1 / (1 / va + 1 / vb)).otherwise(F.coalesce(va, vb)))
+    va, vb, tail = variance("__x", 1), variance("__y", -1), variance("__x", 1, "tail")
+    error = F.sqrt(F.when(va.isNotNull() & vb.isNotNull(), 1 / (1 / va + 1 / vb)).otherwise(F.coalesce(tail, vb)))
+    error = F.when(F.col("__t") == F.col("__x.t"), F.least(error, F.col("__x.tight"))).otherwise(error)
     return res.select("__row.*", lon.alias("pseudo_lon"), lat.alias("pseudo_lat"), error.alias("pseudo_error"))
 
 
+def _popups(deployments: DataFrame) -> DataFrame | None:
+    if not {"popup_datetime", "popup_lon", "popup_lat"} <= set(deployments.columns):
+        return None
+    return deployments.select("ID", F.col("popup_datetime").alias("datetime"), F.col("popup_lon").alias("lon"), F.col("popup_lat").alias("lat"))
+
+
 def reconstruct(data: DataFrame, deployments: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
+    """The corrected track. `deployments` may have popup_datetime, popup_lon and popup_lat."""
     track = cut(reckon(data, deployments, control))  # read twice below
-    return correct(track, anchors(track, fixes, control), control)
+    return correct(track, anchors(track, fixes, control, _popups(deployments)), control)
 
 
 def cross_validate(data: DataFrame, deployments: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None) -> DataFrame:
-    """Leave one fix out: ``ID, pos_id, error_m, gap_h, interpolated, fix_radius_m``.
+    """Leave one anchor out: ``ID, datetime, quality, error_m, gap_h, interpolated, fix_radius_m, n_anchors_used,
+    speed_method, vpc_method`` for each fix and pop-up (never the deployment's place).
 
-    Instead of one track per left-out fix, the place at its time is predicted from its neighbouring anchors only, which
-    gives the same correction: residuals are interpolated between the anchor before and the one behind.
+    The track without an anchor differs from the whole one only behind the anchor before, so its place at the left-out
+    time follows from that anchor's carried offset and the anchor behind: the result is that of a refit per anchor.
     """
     c = Reckoning.of(control)
     track = cut(reckon(data, deployments, c))
-    from pelagia.operators.joins import as_of
-
-    mark = anchors(track, fixes, c).withColumn("pos", F.monotonically_increasing_id())
-    at = as_of(mark, track.select("ID", "datetime", "east_m", "north_m"), ["east_m", "north_m"], "nearest")
-    w = Window.partitionBy("ID").orderBy("datetime")
-    res = at.withColumn("t", seconds()).withColumn("re", F.col("a_east") - F.col("east_m")).withColumn("rn", F.col("a_north") - F.col("north_m"))
-    for k in ("t", "re", "rn"):
-        res = res.withColumn(f"{k}0", F.lag(k).over(w)).withColumn(f"{k}1", F.lead(k).over(w))
-    part = F.coalesce(F.try_divide(F.col("t") - F.col("t0"), F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0))), F.lit(0.0))
-    off = {k: F.lit(0.0) if c.correction == "none" else F.col(f"{k}0") + F.coalesce(part * (F.col(f"{k}1") - F.col(f"{k}0")), F.lit(0.0)) for k in ("re", "rn")}
-    error = F.sqrt((F.col("re") - off["re"]) ** 2 + (F.col("rn") - off["rn"]) ** 2)
-    return res.where("t0 is not null").select("ID", "datetime", error.alias("error_m"), ((F.coalesce("t1", "t") - F.col("t0")) / 3600).alias("gap_h"), F.col("t1").isNotNull().alias("interpolated"), F.col("radius_m").alias("fix_radius_m"))
+    marks = _at_rows(track, anchors(track, fixes, c, _popups(deployments)))
+    held = over_sorted_groups(marks, ["ID"], ["t"], _folded(c, True), _HELD)
+    home = track.groupBy("ID").agg(F.min("lon0").alias("lon0"), F.min("lat0").alias("lat0"))
+    met = held.join(home, "ID")
+    (x, y), (u, v) = from_local(F.col("east"), F.col("north"), F.col("lon0"), F.col("lat0")), from_local(F.col("pe"), F.col("pn"), F.col("lon0"), F.col("lat0"))
+    return met.select("ID", F.timestamp_micros("t").alias("datetime"), "quality", (1000 * haversine_km(x, y, u, v)).alias("error_m"), "gap_h", "interpolated", F.col("radius").alias("fix_radius_m"), F.col("used").alias("n_anchors_used"), F.lit(c.speed).alias("speed_method"), F.lit(c.correction).alias("vpc_method"))
 
 
 def legs(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -239,13 +334,23 @@ def track_metrics(points: DataFrame, lon: str = "lon", lat: str = "lat", control
     return out.select("ID", "points", F.round("hours", 3).alias("hours"), F.round("path_km", 3).alias("path_km"), F.round("net_km", 3).alias("net_km"), F.round(F.when(enough, F.try_divide("net_km", F.nullif(F.col("path_km"), F.lit(0.0)))), 3).alias("straightness"), F.round(F.when(enough, 1.18 * F.try_divide("sd", F.nullif(F.sqrt("step"), F.lit(0.0)))), 3).alias("sinuosity"), F.round(F.when(enough, F.col("mean_turn")), 3).alias("mean_turn"), F.round("tortuosity_hourly", 3).alias("tortuosity_hourly"), F.round("tortuosity_daily", 3).alias("tortuosity_daily"))
 
 
-def reconstructable(track: DataFrame) -> DataFrame:
-    """Per ID how directed the reckoned track is: net over path length."""
-    w = spec()
-    s = track.withColumn("__s", F.sqrt((F.col("east_m") - F.lag("east_m").over(w)) ** 2 + (F.col("north_m") - F.lag("north_m").over(w)) ** 2))
-    e = s.groupBy("ID").agg(F.sum("__s").alias("path_m"), F.max_by(F.struct("east_m", "north_m"), "datetime").alias("z"), F.min_by(F.struct("east_m", "north_m"), "datetime").alias("a"))
+def reconstructable(track: DataFrame, anchor_rows: DataFrame | None = None, control: Reckoning | dict | None = None) -> DataFrame:
+    """Per ID how directed the track is: net over path length, ``path_m, net_m, directedness``, and `gate`.
+
+    With `anchor_rows` the gate only looks at records without a fix between their ends: net is the way from the
+    deployment to the pop-up, and a share under `least_directedness` gives ``warn``, else ``pass``; without a pop-up
+    it is ``unbounded``; records with fixes between have ``interior``. Without `anchor_rows` net is that of the reckoned track.
+    """
+    c = Reckoning.of(control)
+    e = track.groupBy("ID").agg(F.max("path_m").alias("path_m"), F.max_by(F.struct("east_m", "north_m"), "datetime").alias("z"), F.min_by(F.struct("east_m", "north_m"), "datetime").alias("a"))
     net = F.sqrt((F.col("z.east_m") - F.col("a.east_m")) ** 2 + (F.col("z.north_m") - F.col("a.north_m")) ** 2)
-    return e.select("ID", "path_m", net.alias("net_m"), F.try_divide(net, F.nullif(F.col("path_m"), F.lit(0.0))).alias("directedness"))
+    if anchor_rows is None:
+        return e.select("ID", "path_m", net.alias("net_m"), F.try_divide(net, F.nullif(F.col("path_m"), F.lit(0.0))).alias("directedness"))
+    up = anchor_rows.groupBy("ID").agg(F.count_if(~F.coalesce(F.col("quality").isin("Deploy", "Popup"), F.lit(False))).alias("inner"), F.max(F.when(F.col("quality") == "Popup", F.sqrt(F.col("a_east") ** 2 + F.col("a_north") ** 2))).alias("net_m"))
+    d = F.when(F.col("path_m") > 0, F.least(F.col("net_m") / F.col("path_m"), F.lit(1.0))).when(F.col("net_m") > 0, 1.0).otherwise(0.0)
+    d = F.when((F.col("inner") == 0) & F.col("net_m").isNotNull(), d)
+    gate = F.when(F.col("inner") > 0, "interior").when(F.col("net_m").isNull(), "unbounded").when(d < c.least_directedness, "warn").otherwise("pass")
+    return e.join(up, "ID").select("ID", "path_m", "net_m", d.alias("directedness"), gate.alias("gate"))
 
 
 def export_for_ssm(track: DataFrame, minutes: int = 5, lon: str = "pseudo_lon", lat: str = "pseudo_lat", error: str | None = None) -> DataFrame:

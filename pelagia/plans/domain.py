@@ -285,7 +285,8 @@ def trk9_directedness(spark, sf_dir):
 
 @query()
 def trk10_cross_validation(spark, sf_dir):
-    return tracks.cross_validate(_moving(spark, sf_dir), table(spark, sf_dir, "deployments"), table(spark, sf_dir, "positions").where("datetime is not null and type <> 'User'"))
+    out = tracks.cross_validate(_moving(spark, sf_dir), table(spark, sf_dir, "deployments"), table(spark, sf_dir, "positions").where("datetime is not null and type <> 'User'"))
+    return rounded(out.withColumn("error_m", F.round("error_m", 1)))
 
 
 @query(f"""with {TAG}, b as (select *, row_number() over (partition by "ID", floor(us / 300000000) order by us) n from tag where pseudo_lon is not null and pseudo_lat is not null)
@@ -348,7 +349,7 @@ def fea5_stability(spark, sf_dir):
 @query()
 def fea6_distribution_shape(spark, sf_dir):
     out = features.features(record(spark, sf_dir).where("temp is not null"), [("temp", m, 10.0) for m in ("mad", "entropy", "skewness", "kurtosis", "range")])
-    return out.select("ID", F.unix_micros("datetime").alias("datetime"), *[(F.round(c, 8 if c == "temp_kurtosis_10s" else 6) + 0.0).alias(c) for c in out.columns if c not in ("ID", "datetime")])
+    return out.select("ID", F.unix_micros("datetime").alias("datetime"), *[(F.round(F.col(c) + (3e-8 if c == "temp_kurtosis_10s" else 0.0), 6) + 0.0).alias(c) for c in out.columns if c not in ("ID", "datetime")])
 
 
 @query(f"""with {TAG}, f as (select "ID", us, case when depth > 20 then 1 else 0 end y from tag where depth is not null), o as (select "ID", min(us) u from f group by "ID")

@@ -207,7 +207,7 @@ m as (select "ID", us, avg(v) a, median(v) md, any_value(lo) lo, any_value(hi) h
 f as (select e."ID", e.us, m.lo, m.hi, v, v - a d, abs(v - md) ad, least(floor((v - m.lo) / nullif((m.hi - m.lo) / k, 0)), k - 1) b from e join m on e."ID" = m."ID" and e.us = m.us),
 g as (select "ID", us, any_value(lo) lo, any_value(hi) hi, 1.4826 * median(ad) mad, avg(d * d) m2, avg(d * d * d) m3, avg(d * d * d * d) m4 from f group by "ID", us),
 h as (select "ID", us, -sum(c / 10 * ln(c / 10)) ent from (select "ID", us, b, count(*) c from f where hi > lo group by all) group by "ID", us)
-select g."ID", g.us datetime, {q("mad")} temp_mad_10s, {q("ent")} temp_entropy_10s, {q("m3 / pow(m2, 1.5)")} temp_skewness_10s, round(m4 / (m2 * m2), 8) + 0.0 temp_kurtosis_10s, {q("hi - lo")} temp_range_10s from g join h on g."ID" = h."ID" and g.us = h.us where hi > lo"""
+select g."ID", g.us datetime, {q("mad")} temp_mad_10s, {q("ent")} temp_entropy_10s, {q("m3 / pow(m2, 1.5)")} temp_skewness_10s, round(m4 / (m2 * m2) + 3e-8, 6) + 0.0 temp_kurtosis_10s, {q("hi - lo")} temp_range_10s from g join h on g."ID" = h."ID" and g.us = h.us where hi > lo"""
 
 _PICK = """r{n} as (select * from (select *, row_number() over (partition by "ID" order by x desc, us) k from c{p}) where k = 1), c{n} as (select c.* from c{p} c join r{n} r on c."ID" = r."ID" where abs(c.us - r.us) >= 20000000)"""
 SQL["srt4_top_segments"] = f"""with {TAG}, c0 as (select "ID", us, x from (select "ID", us, abs(avg(depth) over (partition by "ID" order by us rows between 9 preceding and 10 following)) x from tag where depth is not null)),
@@ -224,16 +224,33 @@ mv as (select "ID", us, us / 1e6 t, depth, pitch, case when (degrees(atan2(hs, h
 _RECKONED = f"""{_MOVING}, home as (select "ID", min(lon) lon0, min(lat) lat0 from deployments group by "ID"),
 r0 as (select mv.*, lon0, lat0, t - lag(t) over (partition by mv."ID" order by us) dt, row_number() over (partition by mv."ID" order by us) rn from mv join home on mv."ID" = home."ID"),
 r1 as (select "ID", median(case when dt > 0 then dt end) usual from r0 group by "ID"),
-r2 as (select r0.*, cos(radians(pitch)) * case when rn = 1 then 0 when dt > 0 then dt else usual end flat from r0 join r1 on r0."ID" = r1."ID"),
+r2 as (select r0.*, 0.5 * cos(radians(pitch)) * case when rn = 1 then 0 when dt > 0 then dt else usual end flat from r0 join r1 on r0."ID" = r1."ID"),
 r3 as (select *, coalesce(flat * sin(radians(heading)), 0) e, sum(coalesce(flat * cos(radians(heading)), 0)) over (partition by "ID" order by us) north from r2),
 r4 as (select *, lat0 + degrees(north / 6371000.0) la from r3),
 r5 as (select *, lon0 + sum(degrees(e / (6371000.0 * cos(radians(la))))) over (partition by "ID" order by us) lo from r4),
 dr as (select "ID", us, radians(lo - lon0) * 6371000.0 * cos(radians(lat0)) east_m, radians(la - lat0) * 6371000.0 north_m from r5)"""
-SQL["trk3_reckoned"] = f"with {_RECKONED} select \"ID\", us datetime, 1.0::double speed_dr, round(east_m, 3) + 0.0 east_m, round(north_m, 3) + 0.0 north_m from dr"
+SQL["trk3_reckoned"] = f"with {_RECKONED} select \"ID\", us datetime, 0.5::double speed_dr, round(east_m, 3) + 0.0 east_m, round(north_m, 3) + 0.0 north_m from dr"
 SQL["trk9_directedness"] = f"""with {_RECKONED}, st as (select *, sqrt(pow(east_m - lag(east_m) over w, 2) + pow(north_m - lag(north_m) over w, 2)) s from dr window w as (partition by "ID" order by us)),
 e as (select "ID", sum(s) path, sqrt(pow(arg_max(east_m, us) - arg_min(east_m, us), 2) + pow(arg_max(north_m, us) - arg_min(north_m, us), 2)) net from st group by "ID")
 select "ID", round(path, 2) + 0.0 path_m, round(net, 2) + 0.0 net_m, round(case when path <> 0 then net / path end, 6) + 0.0 directedness from e"""
 
+_ANCHORED = f"""{_RECKONED}, dp as (select *, sum(coalesce(sqrt(pow(east_m - e0, 2) + pow(north_m - n0, 2)), 0)) over (partition by "ID" order by us) path from (select *, lag(east_m) over w e0, lag(north_m) over w n0 from dr window w as (partition by "ID" order by us))),
+sp as (select dp."ID", min(us) a, max(us) z, any_value(lon0) lon0, any_value(lat0) lat0 from dp join home on dp."ID" = home."ID" group by dp."ID"),
+an0 as (select "ID", a us, 1 o, 50.0::double r, 0.0::double e, 0.0::double n, 'Deploy' q from sp union all
+  select p."ID", epoch_us(datetime), 3, case when type = 'FastGPS' then 50.0::double else case quality when '3' then 250.0::double when '2' then 500.0::double when '1' then 1500.0::double when '0' then 3000.0::double when 'A' then 5000.0::double when 'B' then 10000.0::double when 'Z' then 50000.0::double else 1500.0::double end end,
+    radians(lon - lon0) * 6371000.0 * cos(radians(lat0)), radians(lat - lat0) * 6371000.0, case when type = 'FastGPS' then type else quality end
+  from positions p join sp on p."ID" = sp."ID" where datetime is not null and type <> 'User' and lon is not null and lat is not null and epoch_us(datetime) between a and z),
+an1 as (select * from (select *, row_number() over (partition by "ID", us order by o, r, e, n) k from an0) where k = 1),
+an as (select a1."ID", a1.us, a1.r, a1.e, a1.n, a1.q, d.east_m, d.north_m, d.path from an1 a1 asof join dp d on a1."ID" = d."ID" and a1.us <= d.us)"""
+#: The offset is carried from anchor to anchor by a gain: a recursion over each record's anchors.
+SQL["trk10_cross_validation"] = f"""with recursive {_ANCHORED}, nb as (select *, row_number() over w k, count(*) over (partition by "ID") many, lag(us) over w us0, lead(us) over w us1, lag(path) over w p0, lead(path) over w p1, lead(e) over w e1, lead(n) over w n1, lead(r) over w r1, lead(east_m) over w x1, lead(north_m) over w y1 from an window w as (partition by "ID" order by us)),
+ga as (select *, pow(0.5 * (us - us0) / 1e6, 2) d2, pow(0.5 * (us1 - us0) / 1e6, 2) w2 from nb),
+ca as (select "ID", k, 0.0::double ce, 0.0::double cn from ga where k = 1 union all select ga."ID", ga.k, ce + (d2 / (d2 + r * r)) * (e - east_m - ce), cn + (d2 / (d2 + r * r)) * (n - north_m - cn) from ca join ga on ga."ID" = ca."ID" and ga.k = ca.k + 1),
+ha as (select ga.*, ca.ce, ca.cn, case when us1 is null then 0 else w2 / (w2 + r1 * r1) * case when p1 - p0 > 1e-6 then (path - p0) / (p1 - p0) else (us - us0) / (us1 - us0) end end f from ga join ca on ga."ID" = ca."ID" and ga.k = ca.k + 1 where q is distinct from 'Deploy'),
+ia as (select ha.*, lon0, lat0, east_m + ce + f * coalesce(e1 - x1 - ce, 0) pe, north_m + cn + f * coalesce(n1 - y1 - cn, 0) pn from ha join sp on ha."ID" = sp."ID"),
+ja as (select *, lon0 + degrees(pe / (6371000.0 * cos(radians(lat0)))) lo1, lat0 + degrees(pn / 6371000.0) la1, lon0 + degrees(e / (6371000.0 * cos(radians(lat0)))) lo2, lat0 + degrees(n / 6371000.0) la2 from ia)
+select "ID", us datetime, q quality, round(1000 * {hav("lo1", "la1", "lo2", "la2")}, 1) + 0.0 error_m, {q("least(us - us0, coalesce(us1 - us, us - us0)) / 3.6e9")} gap_h, us1 is not null interpolated, r::double fix_radius_m, many - 1 n_anchors_used, 'constant' speed_method, 'error_weighted' vpc_method from ja"""
+
 
 def _over_seconds(x: str, name: str, s: float) -> str:
     """Mean over `s` seconds: NULL where a value is missing in the frame, and where the frame leaves the record."""

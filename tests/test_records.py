@@ -258,13 +258,23 @@ def test_tracks(spark):
     assert m.straightness == pytest.approx(1.0, abs=1e-3) and m.points == 60
     east = frame(spark, [("A", at(k), 90.0, 0.0, 1.0) for k in range(600)], "heading double, pitch double, paddle_speed double")
     seen = spark.createDataFrame([(k, "A", at(k), "FastGPS", math.degrees(k / 6371000.0), 0.0, "8") for k in (150, 300, 450)], "pos_id bigint, ID string, datetime timestamp, type string, lon double, lat double, quality string")
-    cv = tracks.cross_validate(east, home, seen, {"speed": "paddle"}).collect()
-    assert len(cv) == 3 and max(r.error_m for r in cv) < 2
+    ended = spark.createDataFrame([("A", 0.0, 0.0, at(599.4), math.degrees(599 / 6371000.0), 0.0)], "ID string, lon double, lat double, popup_datetime timestamp, popup_lon double, popup_lat double")
+    cv = tracks.cross_validate(east, ended, seen, {"speed": "paddle"}).collect()
+    assert len(cv) == 4 and max(r.error_m for r in cv) < 2  # three fixes and the pop-up
+    assert {r.n_anchors_used for r in cv} == {4} and {r.quality for r in cv} == {"FastGPS", "Popup"} and sum(r.interpolated for r in cv) == 3
+    for way in ("linear", "error_weighted", "scale_rotate"):  # leaving one out is what a refit without it gives
+        bent = east.withColumn("heading", F.col("paddle_speed") * 90 + 8)
+        one = {r.datetime: r.error_m for r in tracks.cross_validate(bent, ended, seen, {"speed": "paddle", "correction": way}).collect()}
+        refit = tracks.reconstruct(bent, ended, seen.where("pos_id <> 300"), {"speed": "paddle", "correction": way}).where("datetime = '2024-03-01 00:05:00'").first()
+        off = math.hypot((refit.pseudo_lon - math.degrees(300 / 6371000.0)), refit.pseudo_lat) * math.radians(1) * 6371000
+        assert one[dt.datetime.fromisoformat("2024-03-01T00:05:00")] == pytest.approx(off, abs=1e-3)
     biased = east.withColumn("heading", F.lit(98.0))
     med = {c: np.median([r.error_m for r in tracks.cross_validate(biased, home, seen, {"speed": "paddle", "correction": c}).collect()]) for c in ("none", "linear")}
     assert med["linear"] < med["none"]
-    out = tracks.reconstruct(biased, home, seen, {"speed": "paddle"}).where("datetime = '2024-03-01 00:05:00'").first()
-    assert out.pseudo_lon == pytest.approx(math.degrees(300 / 6371000.0), abs=1e-6) and out.pseudo_error <= 41
+    out = tracks.reconstruct(biased, home, seen, {"speed": "paddle", "correction": "linear"}).where("datetime = '2024-03-01 00:05:00'").first()
+    assert out.pseudo_lon == pytest.approx(math.degrees(300 / 6371000.0), abs=1e-6) and out.pseudo_error <= 50
+    gate = tracks.reconstructable(tracks.reckon(east, home), tracks.anchors(tracks.reckon(east, home), seen.where("false"), popups=tracks._popups(ended))).first()
+    assert gate.gate == "pass" and gate.directedness == 1.0
     turned = tracks.reconstruct(biased, home, seen, {"speed": "paddle", "correction": "scale_rotate"}).where("datetime between '2024-03-01 00:02:30' and '2024-03-01 00:07:30'")
     assert turned.agg(F.max(F.abs(F.radians("pseudo_lat")) * 6371000.0)).first()[0] < 0.5  # the bias of heading is turned away
     assert tracks.export_for_ssm(tracks.reconstruct(east, home, seen), 1).count() == 10
