@@ -181,7 +181,7 @@ class Index:
         self.lists = dict(zip(self.terms.tolist(), np.split(place[order], at[1:])))
         self.none = np.zeros(0, np.int64)
 
-    def places(self, item: list[int], block: int) -> list[tuple[int, int]]:
+    def places(self, item: list[int], block: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates (document, place of the item's first word) on which at least two blocks agree."""
         hits = []
         lists = [self.lists.get(w, self.none) for w in item]
@@ -203,7 +203,7 @@ class Index:
             if found:
                 hits.append(np.unique(np.concatenate(found)))
         if len(hits) < 2:
-            return []
+            return self.none, self.none
         place, many = np.unique(np.concatenate(hits), return_counts=True)
         near = many.copy()
         for k in (1, 2):  # a word split or joined between two blocks moves the rest by one
@@ -213,7 +213,14 @@ class Index:
                 near += np.where(same, many[np.minimum(at, len(place) - 1)], 0)
         place = place[near >= 2]
         of = np.searchsorted(self.begin, place + self.longest, "right") - 1
-        return list(zip(of.tolist(), (place - self.begin[of]).tolist()))
+        return of, place - self.begin[of]
+
+    def along(self, item: np.ndarray, of: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which words of the item agree with each candidate's document if the item began at its place."""
+        at = place[:, None] + np.arange(len(item))
+        inside = (at >= 0) & (at < (self.first[of + 1] - self.first[of])[:, None])
+        found = self.words[np.where(inside, at + self.first[of][:, None], 0)] if len(self.words) else np.full(at.shape, -1)
+        return inside & (found == item)
 
     def document(self, n: int) -> np.ndarray:
         return self.words[self.first[n] : self.first[n + 1]]
@@ -236,29 +243,29 @@ def _search(items: list[tuple[int, list[int]]], frequency: dict[int, int], least
             best: dict[int, tuple[int, int, int]] = {}
             done: set[tuple[int, int]] = set()
             array, dense = np.array(item, np.int64), math.ceil(least * 0.45)
-            for n, place in index.places(item, block):
-                a, b = max(0, -place), min(len(item), int(lengths[n]) - place)
-                if b - a < 2:
-                    continue
-                same = array[a:b] == index.document(n)[a + place : b + place]
+            of, places = index.places(item, block)
+            some = max(1, 500_000 // max(len(item), 1))
+            for k in range(0, len(of), some):  # candidates are held against their documents some at a time
+                docs, at = of[k : k + some], places[k : k + some]
+                same = index.along(array, docs, at)
                 # A passage has a stretch of this diagonal (of `least` words, or half of it where a split word
                 # moves the rest to the next one) on which nearly half of the words agree, two in a row.
-                if np.count_nonzero(same) < dense:
-                    continue
-                total = np.concatenate(([0], np.cumsum(same)))
-                if int(np.max(total[least:] - total[:-least], initial=0 if b - a >= least else total[-1])) < dense:
-                    continue
-                words = texts.get(n)
-                if words is None:
-                    words = texts[n] = index.document(n).tolist()
-                for i in (np.flatnonzero(same[:-1] & same[1:]) + a).tolist():
-                    if (n, place + i) in done:
-                        continue
-                    lo, hi, changed = follow(item, words, i, place + i)
-                    done.update((n, place + k) for k in range(lo, hi + 1))
-                    part = longest_part(lo, hi, changed, least, altered)
-                    if part and part[0] > best.get(n, (0,))[0]:
-                        best[n] = part
+                total = np.cumsum(np.c_[np.zeros(len(at), np.int32), same], axis=1, dtype=np.int32)
+                most = (total[:, least:] - total[:, :-least]).max(axis=1) if len(item) >= least else total[:, -1]
+                pairs = same[:, :-1] & same[:, 1:]
+                for row in np.flatnonzero((most >= dense) & pairs.any(axis=1)).tolist():
+                    n, place = int(docs[row]), int(at[row])
+                    words = texts.get(n)
+                    if words is None:
+                        words = texts[n] = index.document(n).tolist()
+                    for i in np.flatnonzero(pairs[row]).tolist():
+                        if (n, place + i) in done:
+                            continue
+                        lo, hi, changed = follow(item, words, i, place + i)
+                        done.update((n, place + j) for j in range(lo, hi + 1))
+                        part = longest_part(lo, hi, changed, least, altered)
+                        if part and part[0] > best.get(n, (0,))[0]:
+                            best[n] = part
             out += [(item_id, int(keys[n]), *found) for n, found in best.items()]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], ["item_id", "doc_id", "words", "item_from", "altered"])
 
