@@ -266,16 +266,20 @@ def to_instants(lines: DataFrame, deployments: DataFrame, received: str | None =
     for minutes_back in (120, 30, 60):
         again = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("u") + minutes_back * 60_000_000), F.col("name"))) == F.col("local")
         shift = F.when(F.col("epoch").isNull() & F.col("name").isNotNull() & again, F.lit(minutes_back * 60_000_000).cast("bigint")).otherwise(shift)
-    hour = 3_600_000_000
-    timed = timed.select("raw_id", "ID", "log_file", "line_no", "u", shift.alias("shift")).withColumn("day", F.expr(f"floor(u / {24 * hour})").cast("bigint"))
-    twice = timed.where("shift > 0")
-    into = F.expr(f"u - day * {24 * hour}")
-    around = timed.where("shift = 0").select("raw_id", "ID", "log_file", "line_no", "u", "shift", F.explode(F.when(into < 6 * hour, F.array(F.col("day"), F.col("day") - 1)).when(into >= 18 * hour, F.array(F.col("day"), F.col("day") + 1)).otherwise(F.array(F.col("day")))).alias("day"))
+    hour, day = 3_600_000_000, 24 * 3_600_000_000
+
+    def offset(hours: int):
+        moved = F.col("u") + hours * hour
+        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(moved), F.col("name"))) - moved
+
+    # What may settle an hour that occurs twice: lines near a change of their zone, and lines that state their offset.
+    near = F.col("name").isNull() | (offset(-60) > offset(60))
+    timed = timed.select("raw_id", "ID", "log_file", "line_no", "u", shift.alias("shift"), near.alias("near"))
+    plain = timed.where("shift = 0 or line_no is null").select("raw_id", F.col("u").alias("utc_us"))
     # The hour that occurs twice may cross midnight UTC; all of its lines meet on the day on which it begins.
-    twice = twice.withColumn("day", F.expr(f"floor((u - {hour}) / {24 * hour})").cast("bigint"))
-    around = around.unionByName(around.withColumn("day", F.col("day") - 1)).distinct()
-    needed = twice.select("ID", "log_file", "day").distinct()
-    context = twice.unionByName(around.join(needed, ["ID", "log_file", "day"], "left_semi"))
-    settled = over_sorted_groups(context.where("line_no is not null"), ["ID", "log_file", "day"], ["line_no", "u"], _settle, "raw_id bigint, utc_us bigint")
-    unnumbered = twice.where("line_no is null").select("raw_id", F.col("u").alias("utc_us"))
-    return timed.where("shift = 0").select("raw_id", F.col("u").alias("utc_us")).unionByName(settled).unionByName(unnumbered)
+    d, into = F.expr(f"cast(floor(u / {day}) as bigint)"), F.expr(f"u - floor(u / {day}) * {day}")
+    around = F.when(into < 6 * hour, F.array(d, d - 1, d - 2)).when(into >= 18 * hour, F.array(d, d + 1, d - 1)).otherwise(F.array(d, d - 1))
+    days = F.when(F.col("shift") > 0, F.array(F.expr(f"cast(floor((u - {hour}) / {day}) as bigint)"))).otherwise(around)
+    context = timed.where("line_no is not null and (shift > 0 or near)").select("raw_id", "ID", "log_file", "line_no", "u", "shift", F.explode(days).alias("day"))
+    settled = over_sorted_groups(context, ["ID", "log_file", "day"], ["line_no", "u"], _settle, "raw_id bigint, utc_us bigint")
+    return plain.unionByName(settled)
