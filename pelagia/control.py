@@ -61,7 +61,6 @@ class Orientation(Control):
 @dataclass(frozen=True)
 class MagCalibration(Control):
     min_points: int = 100
-    max_points: int = 8000
     max_condition: float = 25.0
     min_coverage: float = 0.3
 
@@ -86,7 +85,6 @@ class DepthDrift(Control):
     band: float = 2.0
     min_anchors: int = 3
     max_gap_s: float = 21_600.0
-    fix_window_s: float = 1.5
 
 
 @dataclass(frozen=True)
@@ -179,6 +177,4 @@ class TailBeats(Control):
     window_s: float = 30.0
     min_periodicity: float = 0.15
     min_swim_s: float = 2.0
-    max_interp_s: float = 10.0
-    smooth_s: float = 10.0
     ridge_prominence: float = 2.0

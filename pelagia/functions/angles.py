@@ -37,11 +37,6 @@ def guarded_mean(x: Column, least: float = 0.1) -> Column:
     return F.when(resultant_length(x) >= least, circular_mean(x))
 
 
-def circular_sd(x: Column) -> Column:
-    """Aggregate: sqrt(-2 ln R) in degrees."""
-    return F.degrees(F.sqrt(-2.0 * F.ln(F.least(resultant_length(x), F.lit(1.0)))))
-
-
 def over_frame(x: Column, frame, low: float = 0.0) -> Column:
     """Circular mean over a window frame."""
     return mean_of(F.avg(F.sin(F.radians(x))).over(frame), F.avg(F.cos(F.radians(x))).over(frame), low)

@@ -70,8 +70,3 @@ def to_rows(m, family: str) -> list[tuple[str, str]]:
         r = int(np.flatnonzero(m[:, k])[0])
         out.append((p + AXES[k], ("-" if m[r, k] < 0 else "") + p + AXES[r]))
     return out
-
-
-def gyro_from(accel) -> np.ndarray:
-    """Rotation rates are axial: under a mirror image they turn the other way."""
-    return determinant(accel) * np.asarray(accel, int)

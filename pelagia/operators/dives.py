@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.control import Dives
+from pelagia.control import DepthDrift, Dives
 from pelagia.functions.angles import guarded_mean, resultant_length
 from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.tag import seconds
@@ -315,7 +315,7 @@ def sensitivity(data: DataFrame, thresholds: list[float]) -> DataFrame:
     return counted.select("ID", F.explode(F.array(*[F.struct(F.lit(float(h)).alias("threshold"), F.col(f"h{n}").alias("n_dives")) for n, h in enumerate(thresholds)])).alias("x")).select("ID", "x.*")
 
 
-def zero_offset(data: DataFrame, dry: DataFrame, band: float = 2.0, min_dry_s: float = 3.0, min_anchors: int = 3, max_gap_s: float = 21_600.0) -> DataFrame:
+def zero_offset(data: DataFrame, dry: DataFrame, control: DepthDrift | dict | None = None) -> DataFrame:
     """`data` with `depth_corrected` and `drift_status` from dry intervals (``ID, start, end``).
 
     The depth in each dry interval of at least `min_dry_s` is an anchor (its median) if it lies within `band` of
@@ -324,6 +324,8 @@ def zero_offset(data: DataFrame, dry: DataFrame, band: float = 2.0, min_dry_s: f
     """
     from pelagia.operators.joins import in_intervals
 
+    c = DepthDrift.of(control)
+    band, min_dry_s, min_anchors, max_gap_s = c.band, c.min_dry_s, c.min_anchors, c.max_gap_s
     low = data.groupBy("ID").agg(F.percentile("depth", 0.05).alias("__q05"))
     spans = dry.where(F.unix_micros("end") - F.unix_micros("start") >= min_dry_s * 1e6).select("ID", "start", "end")
     wet = in_intervals(data.where("depth is not null"), spans.withColumn("__begin", F.col("start")), ["ID"], "start", "end", carry=["__begin"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.angles import mean_of
 from pelagia.operators.tag import seconds
-from pelagia.operators.windows import centred, full, rolling, spec
+from pelagia.operators.windows import centred, full, rolling, spec, unwrapped
 
 LINEAR = ["mean", "median", "sd", "min", "max", "sum", "range", "iqr", "mad", "rate", "energy", "skewness", "kurtosis", "entropy"]
 CIRCULAR = ["mean", "median", "sd", "range", "iqr", "mrl", "rate"]
@@ -44,11 +44,40 @@ def _entropy(values: Column) -> Column:
     return F.when(hi > lo, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.ln(p)))
 
 
+def _middle(values: Column) -> Column:
+    """The median of an array."""
+    z = F.array_sort(values)
+    n = F.size(z)
+    return (F.get(z, F.floor((n - 1) / 2).cast("int")) + F.get(z, F.floor(n / 2).cast("int"))) / 2
+
+
+def _turned(values: Column) -> Column:
+    """Angles in [0, 360), in order."""
+    return F.array_sort(F.transform(values, lambda v: F.pmod(v, F.lit(360.0))))
+
+
+def _circular_median(values: Column) -> Column:
+    """The angle with the least sum of arcs to all others (the smallest of equals), in [-180, 180)."""
+
+    def total(v):
+        return F.aggregate(values, F.lit(0.0), lambda a, u: a + F.abs(F.pmod(u - v + 180.0, F.lit(360.0)) - 180.0))
+
+    best = F.array_min(F.transform(values, lambda v: F.struct(F.round(total(v), 9).alias("d"), v.alias("v"))))
+    return F.pmod(best["v"] + 180.0, F.lit(360.0)) - 180.0
+
+
+def _circular_range(values: Column) -> Column:
+    """The smallest arc that holds all angles."""
+    n = F.size(values)
+    gaps = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(i == n - 1, F.get(values, F.lit(0)) + 360.0 - F.get(values, n - 1)).otherwise(F.get(values, i + 1) - F.get(values, i)))
+    return F.when(n > 0, 360.0 - F.array_max(gaps))
+
+
 def circular_metric(x: Column, metric: str, w, k: int, hz: float) -> Column:
     f = centred(w, k)
     s, c = F.avg(F.sin(F.radians(x))).over(f), F.avg(F.cos(F.radians(x))).over(f)
     r = F.sqrt(s * s + c * c)
-    values = F.array_sort(F.transform(F.collect_list(x).over(f), lambda v: F.pmod(v, F.lit(360.0))))
+    values = _turned(F.collect_list(x).over(f))
     if metric == "mean":
         return full(mean_of(s, c, -180.0), w, k)
     if metric == "mrl":
@@ -56,15 +85,9 @@ def circular_metric(x: Column, metric: str, w, k: int, hz: float) -> Column:
     if metric == "sd":
         return full(F.degrees(F.sqrt(-2 * F.ln(F.least(r, F.lit(1.0))))), w, k)
     if metric == "median":
-        def total(v):
-            return F.aggregate(values, F.lit(0.0), lambda a, u: a + F.abs(F.pmod(u - v + 180.0, F.lit(360.0)) - 180.0))
-
-        best = F.array_min(F.transform(values, lambda v: F.struct(F.round(total(v), 9).alias("d"), v.alias("v"))))
-        return full(F.pmod(best["v"] + 180.0, F.lit(360.0)) - 180.0, w, k)
+        return full(_circular_median(values), w, k)
     if metric == "range":
-        n = F.size(values)
-        gaps = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(i == n - 1, F.get(values, F.lit(0)) + 360.0 - F.get(values, n - 1)).otherwise(F.get(values, i + 1) - F.get(values, i)))
-        return full(F.when(n > 0, 360.0 - F.array_max(gaps)), w, k)
+        return full(_circular_range(values), w, k)
     if metric == "iqr":
         return full(F.abs(_wrap(F.percentile(x, 0.75).over(f) - F.percentile(x, 0.25).over(f))), w, k)
     raise ValueError(metric)
@@ -111,9 +134,9 @@ def _tumbling(df: DataFrame, grid, names, hz: float, circular) -> DataFrame:
         x = F.col(v)
         si, co = F.avg(F.sin(F.radians(x))), F.avg(F.cos(F.radians(x)))
         r = F.sqrt(si * si + co * co)
-        ways = {"mean": lambda: F.avg(x), "median": lambda: F.percentile(x, 0.5), "sd": lambda: F.stddev_samp(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "sum": lambda: F.sum(x), "range": lambda: F.max(x) - F.min(x), "iqr": lambda: F.percentile(x, 0.75) - F.percentile(x, 0.25), "energy": lambda: F.sum(x * x), "skewness": lambda: F.skewness(x), "kurtosis": lambda: F.kurtosis(x) + 3, "rate": lambda: F.avg(f"__d_{v}") * hz}
+        ways = {"mean": lambda: F.avg(x), "median": lambda: F.percentile(x, 0.5), "sd": lambda: F.stddev_samp(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "sum": lambda: F.sum(x), "range": lambda: F.max(x) - F.min(x), "iqr": lambda: F.percentile(x, 0.75) - F.percentile(x, 0.25), "energy": lambda: F.sum(x * x), "skewness": lambda: F.skewness(x), "kurtosis": lambda: F.kurtosis(x) + 3, "rate": lambda: F.avg(f"__d_{v}") * hz, "mad": lambda: 1.4826 * _middle(F.transform(F.collect_list(x), lambda u: F.abs(u - F.percentile(x, 0.5)))), "entropy": lambda: _entropy(F.collect_list(x))}
         if v in circular:
-            ways = {"mean": lambda: mean_of(si, co, -180.0), "mrl": lambda: r, "sd": lambda: F.degrees(F.sqrt(-2 * F.ln(F.least(r, F.lit(1.0))))), "rate": lambda: F.avg(f"__d_{v}") * hz}
+            ways = {"mean": lambda: mean_of(si, co, -180.0), "mrl": lambda: r, "sd": lambda: F.degrees(F.sqrt(-2 * F.ln(F.least(r, F.lit(1.0))))), "rate": lambda: F.avg(f"__d_{v}") * hz, "median": lambda: _circular_median(_turned(F.collect_list(x))), "range": lambda: _circular_range(_turned(F.collect_list(x))), "iqr": lambda: F.abs(_wrap(F.percentile(x, 0.75) - F.percentile(x, 0.25)))}
         aggs.append(ways[m]().alias(names[v, m, s]))
     return numbered.groupBy("ID", "__n").agg(F.min("datetime").alias("datetime"), *aggs).drop("__n")
 
@@ -148,6 +171,49 @@ def enhanced(data: DataFrame, k: int = 5, heading: str = "heading", variable: st
     )
 
 
+def rhythms(data: DataFrame, k: int = 60, heading: str = "heading", variable: str = "depth") -> DataFrame:
+    """``ID, datetime`` and metrics of regularity over centred windows of `k` rows: ``heading_autocorr_avg`` (mean of the
+    autocorrelations at lags 1 to 5 of the heading without jumps; shorter windows at the ends count from ten values on),
+    ``oscillation_regularity`` (spread over mean of the spacing of peaks after a mean of three, whole windows, three peaks at
+    least), ``movement_consistency`` (the same of the sd over five rows), ``depth_change_rate`` (size of the change since the
+    row before, no window) and ``depth_change_consistency`` (its spread over mean). Beyond the first and last whole window
+    the last two spreads keep the nearest one.
+    """
+    w = spec()
+    f = centred(w, k)
+    everything = Window.partitionBy("ID")
+    df = unwrapped(data, heading, "__h").withColumn("__d", F.abs(F.col(variable) - F.lag(variable).over(w))).withColumn("__sd", full(F.stddev_samp(variable).over(centred(w, 5)), w, 5))
+    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(everything))
+    for c in ("__d", "__sd"):
+        m, sd = F.avg(c).over(f), F.stddev_samp(c).over(f)
+        spread = F.when(m == 0, 0.0).otherwise(sd / m) if c == "__d" else sd / (m + 0.001)
+        df = df.withColumn(f"{c}_v", full(F.when(F.count(c).over(f) * 2 >= k, spread), w, k))
+        low, high = (k - 1) // 2 + 1, F.col("__n") - k // 2
+        first, last = (F.max(F.when(F.col("__i") == at, F.col(f"{c}_v"))).over(everything) for at in (low, high))
+        df = df.withColumn(f"{c}_v", F.when(F.col("__i") < low, first).when(F.col("__i") > high, last).otherwise(F.col(f"{c}_v")))
+    df = df.withColumn("__hs", F.collect_list("__h").over(f)).withColumn("__xs", F.collect_list(variable).over(f)).withColumn("__m", F.avg("__h").over(f))
+    away = F.transform("__hs", lambda v: v - F.col("__m"))
+    n = F.size("__hs")
+    total = F.aggregate(away, F.lit(0.0), lambda a, v: a + v * v)
+
+    def at_lag(lag: int):
+        size = F.greatest(n - lag, F.lit(0))
+        return F.aggregate(F.zip_with(F.slice(away, 1, size), F.slice(away, lag + 1, size), lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
+
+    most = F.least(F.lit(5), F.floor(n / 4)).cast("int")
+    acf = sum((F.when(most >= lag, at_lag(lag)).otherwise(0.0) for lag in range(1, 6)), F.lit(0.0)) / most / total
+    smooth = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.round(F.aggregate(F.slice("__xs", F.greatest(F.least(i, F.lit(k - 1)), F.lit(2)) - 1, 3), F.lit(0.0), lambda a, v: a + v) / 3, 9))
+    peaks = F.filter(F.sequence(F.lit(1), F.lit(k - 2)), lambda i: (F.get("__sm", i) > F.get("__sm", i - 1)) & (F.get("__sm", i) > F.get("__sm", i + 1)))
+    df = df.withColumn("__sm", F.when(F.size("__xs") == k, smooth)).withColumn("__pk", F.when(F.col("__sm").isNotNull(), peaks))
+    many = F.size("__pk")
+    spacing = F.zip_with(F.slice("__pk", 1, F.greatest(many - 1, F.lit(0))), F.slice("__pk", 2, F.greatest(many - 1, F.lit(0))), lambda a, b: (b - a).cast("double"))
+    df = df.withColumn("__iv", F.when(many >= 3, spacing))
+    mean = F.aggregate("__iv", F.lit(0.0), lambda a, v: a + v) / F.size("__iv")
+    df = df.withColumn("__im", mean)
+    var = F.aggregate("__iv", F.lit(0.0), lambda a, v: a + (v - F.col("__im")) * (v - F.col("__im"))) / (F.size("__iv") - 1)
+    return df.select("ID", "datetime", F.when((n >= 10) & (total > 1e-12), acf).alias("heading_autocorr_avg"), F.when(F.col("__iv").isNotNull(), F.sqrt(var) / F.col("__im")).alias("oscillation_regularity"), F.col("__sd_v").alias("movement_consistency"), F.col("__d").alias("depth_change_rate"), F.col("__d_v").alias("depth_change_consistency"))
+
+
 def stability(data: DataFrame, k: int = 5) -> DataFrame:
     """Posture stability (one over one plus the rolling sd of pitch and roll) and an activity index (rolling mean of
     the changes of pitch, roll and heading)."""

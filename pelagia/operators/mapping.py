@@ -61,7 +61,7 @@ def static_rows(data: DataFrame, limit: float = 0.1) -> DataFrame:
 
 
 def review_queue(proposals: DataFrame, consensus: DataFrame | None = None) -> DataFrame:
-    """Proposals to look at, the most doubtful first: ``ID, reason, priority``."""
+    """Proposals to look at: ``ID, reason, priority`` (1 is the most doubtful; the caller sorts)."""
     df = proposals
     conflict = F.lit(False)
     if consensus is not None:
@@ -69,7 +69,7 @@ def review_queue(proposals: DataFrame, consensus: DataFrame | None = None) -> Da
         conflict = F.col("agreed").isNotNull() & (F.col("agreed") != F.col("candidate"))
     reason = F.when(conflict, "conflict").when(F.col("status") == "unresolved", "unresolved").when(F.col("status") == "vertical_only", "vertical_only")
     priority = F.when(reason == "conflict", 1).when(reason == "unresolved", 2).otherwise(3)
-    return df.withColumn("reason", reason).where("reason is not null").select("ID", "reason", priority.alias("priority")).orderBy("priority", "ID")
+    return df.withColumn("reason", reason).where("reason is not null").select("ID", "reason", priority.alias("priority"))
 
 
 def decided(data: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.control import Calibration, Orientation, Smoothing
+from pelagia.control import Calibration, DepthDrift, Orientation, Smoothing
 from pelagia.functions import signal
 from pelagia.functions.angles import over_frame, wrap180, wrap360
 from pelagia.grouped import numbers, over_sorted_groups
 from pelagia.operators.aggregates import time_bins
 from pelagia.operators.tag import seconds
-from pelagia.operators.windows import central_rate, mean_over_seconds, seconds_frame, spec, turning, with_rate
+from pelagia.operators.windows import central_rate, interpolate, mean_over_seconds, reverse, seconds_frame, spec, turning, with_rate
 from pelagia.runtime import cut
 
 #: Decimals that each kind of column is stored with.
@@ -202,16 +202,58 @@ def mount_offsets(data: DataFrame, control: Calibration | dict | None = None) ->
     return fit.join(roll, "ID", "left").select("ID", F.when(ok & F.lit(c.pitch_offset), F.col("b")).otherwise(0.0).alias("pitch_offset"), F.when((F.abs("r") < c.max_roll_offset) & F.lit(c.roll_offset), F.col("r")).otherwise(0.0).alias("roll_offset"))
 
 
-def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict | None = None, calibration: Calibration | dict | None = None, orientation: Orientation | dict | None = None, burst_quantile: float = 0.95, downsample_hz: float | None = 1.0) -> DataFrame:
+def with_jerk(data: DataFrame) -> DataFrame:
+    """`data` with `jerk`: the size of the change of acceleration since the row before, per second."""
+    w = spec()
+    dt = seconds() - F.lag(seconds()).over(w)
+    change = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("ax", "ay", "az")), F.lit(0.0)))
+    return data.withColumn("jerk", F.try_divide(change, F.nullif(dt, F.lit(0.0))))
+
+
+def with_burst(data: DataFrame, limits: DataFrame) -> DataFrame:
+    """`data` with `burst`: vedba is at or over the record's limit (``ID, burst_limit``); false without vedba."""
+    return data.join(limits.select("ID", "burst_limit"), "ID", "left").withColumn("burst", F.coalesce(F.col("vedba") >= F.col("burst_limit"), F.lit(False))).drop("burst_limit")
+
+
+def burst_limits(data: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """``ID, burst_limit``: the quantile of each record's vedba."""
+    return data.groupBy("ID").agg(F.percentile("vedba", quantile).alias("burst_limit"))
+
+
+def without_offsets(data: DataFrame, offsets: DataFrame) -> DataFrame:
+    """`data` with pitch and roll less the mount offsets (``ID, pitch_offset, roll_offset``; records without them stay)."""
+    met = data.join(offsets, "ID", "left")
+    return met.withColumn("pitch", F.col("pitch") - F.coalesce("pitch_offset", F.lit(0.0))).withColumn("roll", wrap180(F.col("roll") - F.coalesce("roll_offset", F.lit(0.0)))).drop("pitch_offset", "roll_offset")
+
+
+def smooth_orientation(data: DataFrame, window_s: float | None) -> DataFrame:
+    """`data` with roll and heading as circular and pitch as linear means over `window_s` seconds."""
+    if not window_s:
+        return data
+    had = "__us" in data.columns
+    df, near = data if had else with_rate(data), seconds_frame(window_s)
+    df = df.withColumn("roll", over_frame(F.col("roll"), near, -180.0)).withColumn("heading", over_frame(F.col("heading"), near)).withColumn("pitch", mean_over_seconds(F.col("pitch"), window_s))
+    return df if had else df.drop("__us", "__rate")
+
+
+def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict | None = None, calibration: Calibration | dict | None = None, orientation: Orientation | dict | None = None, burst_quantile: float = 0.95, downsample_hz: float | None = 1.0, dry: DataFrame | None = None, drift: DepthDrift | dict | None = None, paddles: DataFrame | None = None, history: DataFrame | None = None):
     """The analysis-ready record: accel, static and dynamic parts, vedba, odba, burst, jerk, vertical velocity, pitch,
     roll, heading, turning angle; reduced to `downsample_hz` (slower records keep their rows) and rounded for storage.
 
-    IDs without accelerometer or depth values are skipped, not errors. Heading is NULL without magnetometer.
+    With `dry` (``ID, start, end``: when the tag was out of the water) depth loses its slow zero offset first, so the
+    vertical velocity is that of the corrected depth. With `paddles` (``ID, slope``) a record that turns a paddle gets
+    `paddle_freq` and `paddle_speed`. With `history` (see `tag`) the result is a pair of the record and the history with
+    this step appended. IDs without accelerometer or depth values are skipped, not errors. Heading is NULL without
+    magnetometer.
     """
     s, o = Smoothing.of(smoothing), Orientation.of(orientation)
-    w, t = spec(order=("__us",)), seconds()
+    w = spec(order=("__us",))
     usable = data.groupBy("ID").agg(F.count("ax").alias("a"), F.count("depth").alias("d")).where("a > 0 and d > 0").select("ID")
     raw = data.join(usable, "ID", "left_semi")
+    if dry is not None:
+        from pelagia.operators.dives import zero_offset
+
+        raw = zero_offset(raw, dry, drift).withColumn("depth", F.col("depth_corrected")).drop("depth_corrected", "drift_status")
     if o.algorithm == "madgwick":
         df = split_acceleration(attitude(raw, o.beta), s.static_s, s.dba_s)
     else:
@@ -222,21 +264,23 @@ def pivot(data: DataFrame, declination: float = 0.0, smoothing: Smoothing | dict
     df = vertical_velocity(with_rate(df), s)
     # Two tables of one row per ID come from these few columns; without the cut each would work out the record anew.
     few = cut(df.select("ID", "__us", "__rate", "pitch", "roll", "vertical_velocity", "vedba"))
-    limit = few.groupBy("ID").agg(F.percentile("vedba", burst_quantile).alias("__b")).join(mount_offsets(few, calibration), "ID")
-    df = df.join(limit, "ID").withColumn("accel", magnitude()).withColumn("burst", F.coalesce(F.col("vedba") >= F.col("__b"), F.lit(False))).drop("__b")
-    dt = t - F.lag(t).over(w)
-    df = df.withColumn("jerk", F.try_divide(F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in ("ax", "ay", "az")), F.lit(0.0))), F.nullif(dt, F.lit(0.0))))
-    df = df.withColumn("pitch", F.col("pitch") - F.col("pitch_offset")).withColumn("roll", wrap180(F.col("roll") - F.col("roll_offset"))).drop("pitch_offset", "roll_offset")
-    if s.orientation_s:
-        near = seconds_frame(s.orientation_s)
-        df = df.withColumn("roll", over_frame(F.col("roll"), near, -180.0)).withColumn("heading", over_frame(F.col("heading"), near)).withColumn("pitch", mean_over_seconds(F.col("pitch"), s.orientation_s))
+    df = with_burst(df, burst_limits(few, burst_quantile)).withColumn("accel", magnitude())
+    df = smooth_orientation(without_offsets(with_jerk(df), mount_offsets(few, calibration)), s.orientation_s)
     df = df.withColumn("turning_angle", turning(F.col("heading"), w))
     linear = ["ax", "ay", "az", "depth", "temp", "accel", "surge", "sway", "heave", "vedba", "odba", "jerk", "vertical_velocity", "pitch", "turning_angle"]
+    if paddles is not None:
+        df = paddle_speed(df, paddles)
+        linear += ["paddle_freq", "paddle_speed"]
     if downsample_hz is not None:
         df = time_bins(df, downsample_hz, linear, {"roll": -180.0, "heading": 0.0}, ["burst"], keep_slower=True)
     else:
         df = df.select("ID", "datetime", *linear, "roll", "heading", F.col("burst").cast("int").alias("burst"))
-    return stored(df)
+    out = stored(df)
+    if history is None:
+        return out
+    from pelagia.operators.tag import append_history
+
+    return out, append_history(history, usable, "pivot", {"static_s": s.static_s, "orientation_s": s.orientation_s, "depth_s": s.depth_s, "velocity_s": s.velocity_s, "algorithm": o.algorithm, "declination": declination, "downsample_hz": downsample_hz, "depth_drift": dry is not None})
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -285,3 +329,88 @@ def paddle_frequency(data: DataFrame, window_s: float = 5.0, step_s: float = 1.0
 
     out = over_sorted_groups(data.select("ID", "datetime", "mz"), ["ID"], ["datetime"], kernel, "ID string, us bigint, paddle_freq double, paddle_quality double")
     return out.select("ID", F.timestamp_micros("us").alias("datetime"), "paddle_freq", "paddle_quality")
+
+
+def paddle_speed(data: DataFrame, paddles: DataFrame, window_s: float = 5.0, step_s: float = 1.0, band: tuple[float, float] = (0.5, 25.0), least_hz: float = 50.0, smooth_s: float = 2.0) -> DataFrame:
+    """`data` with `paddle_freq` and `paddle_speed` (m/s): the paddle's dominant frequency, linear between windows and
+    averaged over `smooth_s` seconds, times the tag's slope (``ID, slope``).
+
+    Records that have a speed already (not all NULL and not constant) keep it, and its frequency if there is one.
+    Records without a slope, below `least_hz`, or whose magnet channel does not change have NULL.
+    """
+    had = [c for c in ("paddle_freq", "paddle_speed") if c in data.columns]
+    df = data if "__us" in data.columns else with_rate(data)
+    facts = df.groupBy("ID").agg(F.max("__rate").alias("hz"), F.min("mz").alias("lo"), F.max("mz").alias("hi"), *([(F.min("paddle_speed") < F.max("paddle_speed")).alias("kept")] if "paddle_speed" in had else [F.lit(False).alias("kept")]))
+    asked = facts.join(paddles.groupBy("ID").agg(F.min("slope").alias("slope")), "ID").where("slope is not null and hi > lo and not coalesce(kept, false)").where(F.col("hz") >= least_hz)
+    found = paddle_frequency(df.join(asked.select("ID"), "ID", "left_semi"), window_s, step_s, band).select("ID", F.unix_micros("datetime").alias("__us"), F.col("paddle_freq").alias("__f"))
+    w, back = spec(order=("__us",)), reverse(("ID",), ("__us",))
+    met = df.join(found, ["ID", "__us"], "left").join(asked.select("ID", F.col("slope").alias("__slope")), "ID", "left")
+    met = met.withColumn("__f", interpolate(F.col("__f"), F.col("__us") / 1e6, w, None, back)).withColumn("__f", mean_over_seconds(F.col("__f"), smooth_s))
+    own = {c: F.col(c) if c in had else F.lit(None).cast("double") for c in ("paddle_freq", "paddle_speed")}
+    out = met.join(facts.select("ID", "kept"), "ID", "left").withColumn("paddle_speed", F.when(F.col("kept"), own["paddle_speed"]).otherwise(F.col("__f") * F.col("__slope"))).withColumn("paddle_freq", F.when(F.col("kept"), own["paddle_freq"]).otherwise(F.col("__f"))).drop("__f", "__slope", "kept")
+    return out if "__us" in data.columns else out.drop("__us", "__rate")
+
+
+def paddle_state(data: DataFrame, least_inflation: float = 1.5, least_hz: float = 3.0, rotations: float = 8.0, bounds: tuple[float, float] = (0.5, 3.0), turning_hz: float = 0.3, cell_s: int = 1800) -> DataFrame:
+    """Per ID whether a paddle's magnet disturbs the magnetometer: ``ID, inflation, present, freq, prominence, window_s,
+    separable``.
+
+    `inflation` is the mean size of the field over that of the field averaged over a second. The line is the strongest peak
+    over the median of the power spectrum from `least_hz` to nearly Nyquist; spectra are made per stretch of `cell_s`
+    seconds and added up, so no record is held whole. `window_s` is what averages `rotations` turns (0: clean).
+    """
+    df = with_rate(data.where("mx is not null and my is not null and mz is not null"))
+    near = seconds_frame(1.0)
+    size, calm = magnitude("m"), F.sqrt(sum((F.avg(f"m{a}").over(near) ** 2 for a in "xyz"), F.lit(0.0)))
+    ratio = df.select("ID", "__rate", size.alias("s"), calm.alias("c")).groupBy("ID").agg(F.try_divide(F.avg("s"), F.avg("c")).alias("inflation"), F.max("__rate").alias("hz"))
+    spectra = power_spectra(df, ["mx", "my", "mz"], cell_s).where(F.col("freq") >= least_hz).where(F.col("freq") <= 0.98 * F.col("hz") / 2)
+    middle = spectra.groupBy("ID", "channel").agg(F.percentile("power", 0.5).alias("mid"), F.max(F.struct("power", "freq")).alias("top"), F.count(F.lit(1)).alias("bins")).where("bins >= 5 and mid > 0")
+    best = middle.groupBy("ID").agg(F.max(F.struct((F.col("top.power") / F.col("mid")).alias("prominence"), F.col("top.freq").alias("freq"))).alias("b"))
+    present = F.coalesce(F.col("inflation") > least_inflation, F.lit(False))
+    width = F.greatest(F.least(rotations / F.col("b.freq"), F.lit(bounds[1])), F.lit(bounds[0]))
+    return ratio.join(best, "ID", "left").select("ID", "inflation", present.alias("present"), F.col("b.freq").alias("freq"), F.col("b.prominence").alias("prominence"), F.when(present & F.col("b.freq").isNotNull(), width).otherwise(0.0).alias("window_s"), F.when(present, F.col("b.freq") > rotations * turning_hz).alias("separable"))
+
+
+def calm_field(data: DataFrame, state: DataFrame) -> DataFrame:
+    """`data` with the magnetometer averaged over each record's `window_s` (see `paddle_state`) to the next half second; records
+    without one, and rows whose window leaves the record, stay as they are."""
+    df = with_rate(data).join(state.groupBy("ID").agg((F.max(F.round(F.col("window_s") * 2)) / 2).alias("__width")), "ID", "left")
+    widths = [0.5, 1.0, 1.5, 2.0, 2.5, 3.0]
+    out = {}
+    for m in ("mx", "my", "mz"):
+        calm = F.lit(None).cast("double")
+        for s in widths:
+            calm = F.when(F.col("__width") == s, mean_over_seconds(F.col(m), s)).otherwise(calm)
+        out[m] = F.coalesce(calm, F.col(m))
+    return df.withColumns(out).select(*data.columns)
+
+
+def power_spectra(data: DataFrame, channels: list[str], cell_s: int = 1800, segment: int = 256) -> DataFrame:
+    """``ID, channel, freq, power, hz``: power spectra by averaged Hann windows of `segment` rows, half overlapped.
+
+    Windows are taken inside stretches of `cell_s` seconds and their sums added per record, so a long record is spread over
+    many tasks. `hz` is the record's rate. Stretches with fewer rows than a window, and windows with missing values, count nothing.
+    """
+    df = data if "__rate" in data.columns else with_rate(data)
+    cells = df.select("ID", F.expr(f"__us div {cell_s * 1_000_000}").alias("cell"), "__us", F.col("__rate").alias("hz"), *[F.col(c).cast("double").alias(c) for c in channels])
+
+    def kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        taper = np.hanning(segment + 1)[:-1]
+        hz = numbers(table, "hz").astype(float)
+        ids = table.column("ID").take(pa.array(starts)).to_pylist()
+        out: list[tuple] = []
+        for c in channels:
+            x = numbers(table, c).astype(float)
+            for k, (a, b) in enumerate(zip(starts.tolist(), np.r_[starts[1:], len(table)].tolist())):
+                if b - a < segment or not np.isfinite(hz[a]):
+                    continue
+                parts = np.lib.stride_tricks.sliding_window_view(x[a:b], segment)[:: segment // 2]
+                parts = parts[np.isfinite(parts).all(axis=1)]
+                if len(parts):
+                    p = (np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * taper)) ** 2).sum(axis=0)
+                    out.append((ids[k], c, float(hz[a]), len(parts), p))
+        return pa.table({"ID": pa.array([o[0] for o in out], pa.string()), "channel": pa.array([o[1] for o in out], pa.string()), "hz": pa.array([o[2] for o in out], pa.float64()), "n": pa.array([o[3] for o in out], pa.int64()), "p": pa.array([o[4].tolist() for o in out], pa.list_(pa.float64()))})
+
+    sums = over_sorted_groups(cells, ["ID", "cell"], ["__us"], kernel, "ID string, channel string, hz double, n bigint, p array<double>")
+    each = sums.select("ID", "channel", "hz", "n", F.posexplode("p").alias("k", "power"))
+    return each.groupBy("ID", "channel", "k").agg(F.max("hz").alias("hz"), (F.sum("power") / F.sum("n")).alias("power")).select("ID", "channel", (F.col("k") * F.col("hz") / segment).alias("freq"), "power", "hz")

@@ -214,3 +214,23 @@ def coregistration(data: DataFrame) -> DataFrame:
     cross = {"x": F.col("gz") * F.col("__uy") - F.col("gy") * F.col("__uz"), "y": F.col("gx") * F.col("__uz") - F.col("gz") * F.col("__ux"), "z": F.col("gy") * F.col("__ux") - F.col("gx") * F.col("__uy")}
     rows = df.where(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2) > 0.15).select("ID", F.explode(F.array(*[F.struct(F.col(f"__d{a}").alias("d"), cross[a].alias("c")) for a in "xyz"])).alias("p")).select("ID", "p.*")
     return rows.groupBy("ID").agg(safe_corr(F.col("d"), F.col("c"), 200).alias("coreg_corr"), F.count("d").alias("n"))
+
+
+def paddle_contamination(data: DataFrame, prominence: float = 30.0, least_hz: float = 3.5, harmonics: float = 6.0, top_share: float = 0.85, paddles: DataFrame | None = None) -> DataFrame:
+    """Issues ``ID, check, channel, severity, value`` of a magnetometer with a narrow line that an undocumented paddle would make.
+
+    Per axis the strongest peak over the median of the power spectrum, above `least_hz` and above `harmonics` times the tail
+    beat (the strongest frequency from 0.1 to 2 Hz) and under `top_share` of Nyquist; the axis with the most prominent peak
+    is reported if it is over `prominence`. IDs in `paddles` (``ID``) carry a paddle on purpose and are not looked at.
+    """
+    from pelagia.operators.process import power_spectra
+
+    rows = data if paddles is None else data.join(paddles.select("ID").distinct(), "ID", "left_anti")
+    spectra = power_spectra(rows, FAMILIES["mag"])
+    beat = Window.partitionBy("ID", "channel")
+    slow = F.when(F.col("freq").between(0.1, 2.0), F.struct("power", F.col("freq").alias("f")))
+    marked = spectra.withColumn("floor", F.greatest(F.lit(least_hz), harmonics * F.coalesce(F.max(slow).over(beat)["f"], F.lit(0.0))))
+    band = marked.where((F.col("freq") >= F.col("floor")) & (F.col("freq") <= top_share * F.col("hz") / 2))
+    each = band.groupBy("ID", "channel").agg(F.count(F.lit(1)).alias("bins"), (F.max("power") / F.nullif(F.percentile("power", 0.5), F.lit(0.0))).alias("value")).where("bins >= 5 and value is not null")
+    worst = each.groupBy("ID").agg(F.max_by(F.struct("channel", "value"), F.struct(F.col("value"), F.col("channel"))).alias("x")).select("ID", "x.*")
+    return worst.where(F.col("value") > prominence).select("ID", F.lit("paddle_contamination").alias("check"), "channel", F.lit("warning").alias("severity"), F.round("value", 1).alias("value"))

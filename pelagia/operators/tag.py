@@ -132,10 +132,6 @@ def group_key(fields: list[str], separator: str = "|") -> Column:
     return F.when(F.expr(" and ".join(f"{f} is not null" for f in fields)), F.concat_ws(separator, *fields))
 
 
-def issues_of(table: DataFrame, severities: list[str]) -> DataFrame:
-    return table.where(F.col("severity").isin(severities))
-
-
 def complete_roster(summary: DataFrame, roster: DataFrame) -> DataFrame:
     """`summary` with the roster's other IDs appended, status ``excluded``, in the order of the roster's `position`."""
     known = summary.withColumn("status", F.lit("included"))

@@ -1,8 +1,7 @@
 """Windowed columns over time-ordered records: rolling statistics, fills, runs, state machines.
 
 All functions return column expressions over ``partitionBy(*keys).orderBy(order)``; they share that one
-specification so that a plan needs one exchange and one sort. Sequential forms that have no expression are
-in `pelagia.operators.kernels`.
+specification so that a plan needs one exchange and one sort.
 """
 
 from __future__ import annotations

@@ -251,6 +251,12 @@ def flt4_screened_fixes(spark, sf_dir):
     return tracks.screen(table(spark, sf_dir, "positions"), table(spark, sf_dir, "deployments")).select("pos_id", "removed")
 
 
+@query()
+def flt4_plain_tests(spark, sf_dir):
+    """The tests of satellites and of distance alone, without the speed test."""
+    return tracks.screen(table(spark, sf_dir, "positions"), table(spark, sf_dir, "deployments"), {"max_iterations": 0}).select("pos_id", "removed")
+
+
 @query()
 def agg16_track_metrics(spark, sf_dir):
     p = table(spark, sf_dir, "positions").where("datetime is not null and not isnan(lon)").groupBy("ID", "datetime").agg(F.min_by(F.struct("lon", "lat"), "pos_id").alias("x")).select("ID", "datetime", "x.lon", "x.lat")
@@ -341,6 +347,11 @@ def fea4_enhanced(spark, sf_dir):
     return rounded(features.enhanced(with_heading(record(spark, sf_dir)).where("depth is not null and heading is not null")))
 
 
+@query()
+def fea8_rhythms(spark, sf_dir):
+    return rounded(features.rhythms(with_heading(record(spark, sf_dir)).where("depth is not null and heading is not null"), 20))
+
+
 @query()
 def fea5_stability(spark, sf_dir):
     return rounded(features.stability(with_heading(record(spark, sf_dir))))
@@ -394,6 +405,48 @@ def k12_mount_offsets(spark, sf_dir):
     return rounded(process.mount_offsets(process.vertical_velocity(with_heading(units_record(spark, sf_dir)))))
 
 
+@query()
+def k6_burst(spark, sf_dir):
+    df = units_record(spark, sf_dir).withColumn("vedba", F.abs(process.magnitude() - 1))
+    return process.with_burst(df, process.burst_limits(df)).select("record_id", "burst")
+
+
+@query()
+def k7_jerk(spark, sf_dir):
+    return process.with_jerk(units_record(spark, sf_dir)).select("record_id", (F.round("jerk", 4) + 0.0).alias("jerk"))
+
+
+@query()
+def k9_vertical_velocity(spark, sf_dir):
+    return rounded(process.vertical_velocity(with_heading(units_record(spark, sf_dir))).select("record_id", "vertical_velocity"))
+
+
+@query()
+def k13_offsets_taken_off(spark, sf_dir):
+    offsets = table(spark, sf_dir, "deployments").where("ID like 'C%'").select("ID", F.lit(4.5).alias("pitch_offset"), F.lit(170.0).alias("roll_offset"))
+    return rounded(process.without_offsets(with_heading(units_record(spark, sf_dir)), offsets).select("record_id", "pitch", "roll"))
+
+
+@query()
+def k14_smoothed_orientation(spark, sf_dir):
+    return rounded(process.smooth_orientation(with_heading(units_record(spark, sf_dir)), 60.0).select("record_id", "roll", "heading", "pitch"))
+
+
+@query()
+def flt11_anomalous_mounting(spark, sf_dir):
+    return rounded(process.anomalous_mounting(with_heading(units_record(spark, sf_dir))))
+
+
+@query()
+def int8_paddle_contamination(spark, sf_dir):
+    return quality.paddle_contamination(units_record(spark, sf_dir))
+
+
+@query()
+def k2_paddle_state(spark, sf_dir):
+    return process.paddle_state(units_record(spark, sf_dir), least_hz=0.01)
+
+
 @query()
 def k18_paddle(spark, sf_dir):
     return process.paddle_frequency(units_record(spark, sf_dir), 60.0, 30.0, (0.01, 0.2))

@@ -198,6 +198,16 @@ f as (select *, sum(abs(dh)) over c cum, avg(sin(radians(heading))) over c s, av
 select "ID", us datetime, {q("case when n = 5 then abs(nc) end")} net_change, {q("case when n = 5 then cum end")} cumulative_change, {q("1 - sqrt(s*s + k*k)")} variance, case when abs(fl) > 120 then 1 else 0 end uturn, {q("case when n = 5 then sqrt(sm) end")} smoothness, {q("case when n = 5 then sqrt(jk) end")} jerk,
 {q("case when n = 5 then sdm / (abs(mm) + 0.001) end")} predictability, {q("case when n = 5 then coalesce(cr, 0) / 5 end")} zero_crossings, {q("case when tm = 0 then 0 else tsd / tm end")} turning_variability, {q("case when n = 5 then cum / (abs(fl) + 1) end")} circling, {q("case when n = 5 and sq > 1e-12 then pr / sq end")} autocorrelation from f"""
 
+_CW = '(partition by "ID" order by us rows between 9 preceding and 10 following)'
+SQL["fea8_rhythms"] = f"""with {TAG}, {HEADED}, d0 as (select "ID", us, depth, heading, {wrap("heading - lag(heading) over o")} st, abs(depth - lag(depth) over o) d, case when count(*) over c = 5 then stddev_samp(depth) over c end sd, row_number() over o i, count(*) over (partition by "ID") n from h where depth is not null and heading is not null window {_C5}),
+d1 as (select *, sum(coalesce(st, heading)) over (partition by "ID" order by us) hu from d0),
+d2 as (select *, count(*) over {_CW} m, list(hu) over {_CW} hs, list(depth) over {_CW} xs, case when count(*) over {_CW} = 20 and count(d) over {_CW} * 2 >= 20 then case when avg(d) over {_CW} = 0 then 0 else stddev_samp(d) over {_CW} / avg(d) over {_CW} end end dv, case when count(*) over {_CW} = 20 and count(sd) over {_CW} * 2 >= 20 then stddev_samp(sd) over {_CW} / (avg(sd) over {_CW} + 0.001) end sv from d1),
+d3 as (select *, case when i < 10 then max(case when i = 10 then dv end) over (partition by "ID") when i > n - 10 then max(case when i = n - 10 then dv end) over (partition by "ID") else dv end dc, case when i < 10 then max(case when i = 10 then sv end) over (partition by "ID") when i > n - 10 then max(case when i = n - 10 then sv end) over (partition by "ID") else sv end mc,
+  list_transform(hs, lambda v: v - list_avg(hs)) aw, case when m = 20 then list_transform(range(1, 21), lambda j: round((xs[greatest(least(j, 19), 2) - 1] + xs[greatest(least(j, 19), 2)] + xs[greatest(least(j, 19), 2) + 1]) / 3, 9)) end sm from d2),
+d4 as (select *, list_sum(list_transform(aw, lambda v: v * v)) tot, list_filter(range(2, 20), lambda j: sm[j] > sm[j - 1] and sm[j] > sm[j + 1]) pk from d3),
+d5 as (select *, {" + ".join(f"case when floor(m / 4) >= {g} then list_sum(list_transform(range(1, m - {g} + 1), lambda j: aw[j] * aw[j + {g}])) else 0 end" for g in range(1, 6))} ac, case when sm is not null and len(pk) >= 3 then list_transform(range(1, len(pk)), lambda j: (pk[j + 1] - pk[j])::double) end iv from d4)
+select "ID", us datetime, {q("case when m >= 10 and tot > 1e-12 then ac / least(5, floor(m / 4)) / tot end")} heading_autocorr_avg, {q("list_stddev_samp(iv) / list_avg(iv)")} oscillation_regularity, {q("mc")} movement_consistency, {q("d")} depth_change_rate, {q("dc")} depth_change_consistency from d5"""
+
 SQL["fea5_stability"] = f"""with {TAG}, {HEADED}, d as (select *, abs(pitch - lag(pitch) over o) + abs(roll - lag(roll) over o) + abs({wrap("heading - lag(heading) over o")}) c0 from h window o as (partition by "ID" order by us))
 select "ID", us datetime, {q("case when count(*) over c = 5 then 1 / (1 + stddev_samp(pitch) over c + stddev_samp(roll) over c) end")} posture_stability, {q("case when count(*) over c = 5 then avg(c0) over c end")} activity_index from d window {_C5}"""
 
@@ -288,3 +298,26 @@ e as (select pos_id, {", ".join(f"max(case when ev = '{k}' then t end) {k}" for
 f as (select q.pos_id, s, e.* exclude (pos_id) from q left join e on q.pos_id = e.pos_id)
 select pos_id, case when rise is null or fall is null then null when s >= rise and s < fall then 'day' else 'night' end phase2,
 {", ".join(f"case when rise is null or fall is null or dawn is null or dusk is null or late is null then null when s >= rise and s < fall then 'day' when s >= dusk or (s < dawn and s >= late) then 'night' else {between} end phase{n}" for n, between in ((3, "'twilight'"), (4, "case when s < rise then 'dawn' else 'dusk' end")))} from f"""
+
+
+# Steps of the pivot, each on headings from raw acceleration
+
+_RATED = f"""{TAGU}, {HEADED}, rt as (select "ID", 1e6 / median(case when dt > 0 then dt end) rate from (select "ID", us - lag(us) over (partition by "ID" order by us) dt from h) group by "ID"), v0 as (select h.*, rate from h join rt on h."ID" = rt."ID")"""
+SQL["k9_vertical_velocity"] = f"""with {_RATED}, v1 as (select *, {_over_seconds("depth", "z", 10.0)} from v0 window w as (partition by "ID" order by us)),
+v2 as (select *, 1e6 * (coalesce(lead(z) over w, z) - coalesce(lag(z) over w, z)) / nullif(coalesce(lead(us) over w, us) - coalesce(lag(us) over w, us), 0) vv0 from v1 window w as (partition by "ID" order by us)), v3 as (select *, {_over_seconds("vv0", "vv", 1.0)} from v2 window w as (partition by "ID" order by us)) select record_id, {q("vv")} vertical_velocity from v3"""
+SQL["k7_jerk"] = f"""with {TAGU}, d as (select record_id, {", ".join(f"a{a} - lag(a{a}) over w d{a}" for a in "xyz")}, t - lag(t) over w dt from tag window w as (partition by "ID" order by us)) select record_id, {q4("case when dt <> 0 then sqrt(dx*dx + dy*dy + dz*dz) / dt end")} jerk from d"""
+SQL["k6_burst"] = f"""with {TAGU}, v as (select record_id, "ID", abs(sqrt(ax*ax + ay*ay + az*az) - 1) v from tag), l as (select "ID", quantile_cont(v, 0.95) l from v group by "ID") select record_id, coalesce(v >= l, false) burst from v join l on v."ID" = l."ID" """
+SQL["k13_offsets_taken_off"] = f"""with {TAGU}, {HEADED} select record_id, {q("pitch - case when h.\"ID\" like 'C%' then 4.5 else 0 end")} pitch, {q(wrap("roll - case when h.\"ID\" like 'C%' then 170.0 else 0 end"))} roll from h"""
+
+
+def _circle(x: str, name: str, low: int, frame: str) -> str:
+    a = f"(((degrees(atan2(avg(sin(radians({x}))) over {frame}, avg(cos(radians({x}))) over {frame})) - ({low})) % 360 + 360) % 360)"
+    return f"{q(f'case when {a} > 360 - 1e-8 then 0 else {a} end + ({low})')} {name}"
+
+
+_TENS = '(partition by "ID" order by us range between 29999999 preceding and 30000000 following)'
+SQL["k14_smoothed_orientation"] = f"""with {_RATED}, s as (select record_id, {_circle("roll", "roll", -180, _TENS)}, {_circle("heading", "heading", 0, _TENS)}, {_over_seconds("pitch", "pitch0", 60.0)} from v0 window w as (partition by "ID" order by us)) select record_id, roll, heading, {q("pitch0")} pitch from s"""
+SQL["flt11_anomalous_mounting"] = f"""with {TAGU}, {HEADED}, m as (select "ID", median(pitch) p, median(roll) r from h group by "ID") select "ID", {q("p")} pitch_median, {q("r")} roll_median, abs(p) > 45 or abs(r) > 45 flag from m"""
+SQL["flt4_plain_tests"] = f"""with home as (select "ID", min(lon) lo, min(lat) la from deployments where "ID" is not null group by "ID")
+select pos_id, case when type in ('FastGPS', 'Argos') and coalesce(type = 'FastGPS' and try_cast(quality as int) < 4, false) then 'satellites' when type in ('FastGPS', 'Argos') and coalesce({hav("lo", "la", "lon", "lat")} > 500, false) then 'distance' end removed
+from positions p left join home on p."ID" = home."ID" where p."ID" is not null and datetime is not null and lon is not null and lat is not null and not isnan(lon) and not isnan(lat)"""

@@ -61,11 +61,6 @@ def unfold(df: DataFrame, first: str, last: str, name: str, width: int = 4096) -
     return stretches.withColumn(name, F.explode(F.expr(f"sequence(greatest({first}, __stretch * {width}), least({last}, __stretch * {width} + {width - 1}))"))).drop("__stretch")
 
 
-def micros(column) -> "F.Column":
-    """Microseconds since the epoch of a timestamp column."""
-    return F.unix_micros(column)
-
-
 def clean(column) -> "F.Column":
     """A reading with NaN turned into NULL."""
     column = F.col(column) if isinstance(column, str) else column

@@ -52,7 +52,6 @@ def test_filters_and_spectra():
     assert signal.thin(np.array([1.0, 3, 2, 5]), np.array([0, 5, 9, 30]), 6).tolist() == [5, 30]
     s = np.array([0.0, 1, np.nan, 9, 16, 25])
     assert signal.spline(s, np.arange(6.0))[2] == pytest.approx(4, abs=0.5)
-    assert signal.alternating(np.array([0.0, 2, 0, 3, 0]), 1) == ([1, 3], [2])
 
 
 def test_units_names_and_controls(spark):
