@@ -11,25 +11,30 @@ from pelagia.functions.angles import circular_mean
 from pelagia.operators.tag import seconds
 
 
-def time_bins(data: DataFrame, hz: float, linear: list[str], circular: dict[str, float] | None = None, flags: list[str] | None = None, keep_slower: bool = False) -> DataFrame:
+def time_bins(data: DataFrame, hz: float, linear: list[str], circular: dict[str, float] | None = None, flags: list[str] | None = None, keep_slower: bool = False, times: DataFrame | None = None) -> DataFrame:
     """Means per bin of ``1/hz`` seconds, counted from each record's first row.
 
     With `keep_slower` a record whose rate (one over its median step, whole Hz from 1 Hz on) is not above `hz` keeps
     its own rows and times: there is nothing to reduce.
 
     `circular` maps angle columns to the lower end of their range; `flags` are true if any row's is. One
-    aggregation makes all columns. The first time is a window over the ID, by which a record is partitioned
-    already, so the record is worked out once.
+    aggregation makes all columns. The first time (and the rate) of a record is an aggregation too, joined back as one row per
+    ID, so no record is gathered in one task; steps are taken inside days, which their median does not feel. `times` may
+    name rows with the same ID and datetime that are cheaper to read than `data` (repeated ones do no harm).
     """
-    first = F.min(F.unix_micros("datetime")).over(Window.partitionBy("ID"))
-    binned = data.withColumn("__t0", first).withColumn("__bin", F.floor((F.unix_micros("datetime") - F.col("__t0")) * hz / 1e6).cast("bigint"))
+    us = F.unix_micros("datetime")
+    times = (data if times is None else times.where("ID is not null and datetime is not null")).select("ID", us.alias("__us"))
+    facts = [F.min("__us").alias("__t0")]
+    if keep_slower:
+        within = Window.partitionBy("ID", F.expr("floor(__us / 86400000000)")).orderBy("__us")
+        times = times.withColumn("__dt", (F.col("__us") - F.lag("__us").over(within)) / 1e6)
+        rate = 1 / F.percentile_approx(F.when(F.col("__dt") > 0, F.col("__dt")), 0.5, 1000)
+        facts.append(F.coalesce(F.when(rate < 1, rate).otherwise(F.round(rate)) <= hz, F.lit(True)).alias("__own"))
+    binned = data.join(times.groupBy("ID").agg(*facts), "ID").withColumn("__bin", F.floor((us - F.col("__t0")) * hz / 1e6).cast("bigint"))
     own = F.lit(False)
     if keep_slower:
-        binned = binned.withColumn("__dt", seconds() - F.lag(seconds()).over(Window.partitionBy("ID").orderBy("datetime")))
-        rate = 1 / F.percentile(F.when(F.col("__dt") > 0, F.col("__dt")), 0.5).over(Window.partitionBy("ID"))
-        binned = binned.withColumn("__own", F.coalesce(F.when(rate < 1, rate).otherwise(F.round(rate)) <= hz, F.lit(True)))
         own = F.col("__own")
-        binned = binned.withColumn("__bin", F.when(own, F.unix_micros("datetime") - F.col("__t0")).otherwise(F.col("__bin")))
+        binned = binned.withColumn("__bin", F.when(own, us - F.col("__t0")).otherwise(F.col("__bin")))
     out = binned.groupBy("ID", "__t0", own.alias("__own"), "__bin").agg(*[F.avg(c).alias(c) for c in linear], *[circular_mean(F.col(c), low).alias(c) for c, low in (circular or {}).items()], *[F.max(F.col(c).cast("int")).alias(c) for c in (flags or [])])
     stamp = F.timestamp_micros((F.col("__t0") + F.when(F.col("__own"), F.col("__bin")).otherwise(F.round(F.col("__bin") * (1e6 / hz)))).cast("bigint"))
     return out.select("ID", stamp.alias("datetime"), *linear, *(circular or {}), *(flags or []))

@@ -11,12 +11,14 @@ def _numbered(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("__t", F.unix_micros(order))
 
 
-def as_of(left: DataFrame, right: DataFrame, values: list[str], direction: str = "nearest", tolerance_us: int | None = None, key: str = "ID", order: str = "datetime") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, values: list[str], direction: str = "nearest", tolerance_us: int | None = None, key: str = "ID", order: str = "datetime", cell_us: int = 86_400_000_000) -> DataFrame:
     """`left` with `values` of the right row nearest in time (or the last one not later: ``backward``).
 
-    Both sides go through one exchange on the key and one sort. Of two equally near rows the earlier is
-    taken, of right rows of one time the one with the largest values. Beyond the tolerance the values are
-    NULL. Columns of the left side keep their names; a value with the name of a left column is an error.
+    Both sides meet per key and cell of time, so a key that holds most rows is spread over its cells; into each cell the
+    last right row before it and the first one behind it are carried (found among one row per key and cell). Of two
+    equally near rows the earlier is taken, of right rows of one time the one with the largest values. Beyond the
+    tolerance the values are NULL. Columns of the left side keep their names; a value with the name of a left column is
+    an error. Left rows with a NULL key or time have NULL values.
     """
     clash = set(values) & set(left.columns)
     if clash:
@@ -24,19 +26,28 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], direction: str =
     packed = F.struct(F.col("__t").alias("t"), *[F.col(v) for v in values])
     a = _numbered(left, order).select(F.col(key).alias("__k"), "__t", F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).alias("__right"))
     b = _numbered(right, order).where(f"{key} is not null and __t is not null").select(F.col(key).alias("__k"), "__t", F.lit(0).alias("__side"), F.lit(None).alias("__left"), packed.alias("__right"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__right")
+    both = a.unionByName(b).withColumn("__cell", F.expr(f"floor(__t / {cell_us})"))
+    ends = both.groupBy("__k", "__cell").agg(F.max("__right").alias("last"), F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct(-F.col("__t"), F.col("__right")))).alias("first"))
+    cells = Window.partitionBy("__k")
+    earlier = F.last("last", ignorenulls=True).over(cells.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.last("first", ignorenulls=True).over(cells.orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("__k", "__cell", F.array_compact(F.array(earlier, *([later] if direction == "nearest" else []))).alias("__rights")).select("__k", "__cell", F.explode("__rights").alias("__right"))
+    carried = carried.select("__k", F.col("__right.t").alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__left"), "__right", "__cell")
+    w = Window.partitionBy("__k", "__cell").orderBy("__t", "__side", "__right")
     before = F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    met = a.unionByName(b).withColumn("__a", before)
+    met = both.unionByName(carried).withColumn("__a", before)
     if direction == "nearest":
-        back = Window.partitionBy("__k").orderBy(*[F.desc(c) for c in ("__t", "__side", "__right")])
+        back = Window.partitionBy("__k", "__cell").orderBy(F.desc("__t"), F.desc("__side"), F.asc("__right"))
         behind = F.last("__right", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         met = met.withColumn("__b", behind)
         da, db = F.col("__t") - F.col("__a.t"), F.col("__b.t") - F.col("__t")
         met = met.withColumn("__x", F.when(F.col("__b").isNull() | (da <= db), F.col("__a")).otherwise(F.col("__b")))
     else:
         met = met.withColumn("__x", F.col("__a"))
+    known = F.col("__k").isNotNull() & F.col("__t").isNotNull()
     if tolerance_us is not None:
-        met = met.withColumn("__x", F.when(F.abs(F.col("__x.t") - F.col("__t")) <= tolerance_us, F.col("__x")))
+        known = known & (F.abs(F.col("__x.t") - F.col("__t")) <= tolerance_us)
+    met = met.withColumn("__x", F.when(known, F.col("__x")))
     return met.where("__side = 1").select("__left.*", *[F.col(f"__x.{v}").alias(v) for v in values])
 
 

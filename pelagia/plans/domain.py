@@ -268,7 +268,7 @@ def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagia.operators.aggregates import time_bins
 
     df = with_heading(units_record(spark, sf_dir))
-    return cut(time_bins(df, 1.0, ["depth", "pitch"], {"heading": 0.0}, keep_slower=True))
+    return cut(time_bins(df, 1.0, ["depth", "pitch"], {"heading": 0.0}, keep_slower=True, times=table(spark, sf_dir, "sensor_data").select("ID", "datetime")))
 
 
 @query()

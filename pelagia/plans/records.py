@@ -156,13 +156,13 @@ g as (select "ID", step, unnest(range(a, z + 1, step)) us from g0 where step > 0
 b as (select g."ID", g.us, g.step, t.us bu, t.depth bd, t.temp bt from g asof left join tag t on g."ID" = t."ID" and g.us >= t.us),
 n as (select b.*, t.us nu, t.depth nd, t.temp nt from b asof left join tag t on b."ID" = t."ID" and b.us <= t.us),
 c as (select "ID", us, step, case when nu is null or us - bu <= nu - us then bu else nu end nearest, case when nu is null or us - bu <= nu - us then bd else nd end d, case when nu is null or us - bu <= nu - us then bt else nt end tp from n)
-select "ID", us, case when abs(nearest - us) <= 0.5 * step then d end depth, case when abs(nearest - us) <= 0.5 * step then tp end "temp" from c""")
+select "ID", us, round(case when abs(nearest - us) <= 0.5 * step then d end, 6) + 0.0 depth, round(case when abs(nearest - us) <= 0.5 * step then tp end, 6) + 0.0 "temp" from c""")
 def join1_nearest_grid(spark, sf_dir):
     """Readings on each record's regular grid, the nearest within half a step."""
     df = record(spark, sf_dir)
     met = joins.as_of(regularize.grid(df), df.select("ID", "datetime", F.col("datetime").alias("at"), "depth", "temp"), ["at", "depth", "temp"])
     near = F.abs(F.unix_micros("at") - F.unix_micros("datetime")) <= 0.5 * F.col("step_us")
-    return met.select("ID", F.unix_micros("datetime").alias("us"), F.when(near, F.col("depth")).alias("depth"), F.when(near, F.col("temp")).alias("temp"))
+    return met.select("ID", F.unix_micros("datetime").alias("us"), r6(F.when(near, F.col("depth"))).alias("depth"), r6(F.when(near, F.col("temp"))).alias("temp"))
 
 
 @query(f"""with {TAG}, v as (select seg_id, "ID", epoch_us("start") us from video_segments where "start" is not null)
