@@ -114,7 +114,7 @@ def reckon(data: DataFrame, deployments: DataFrame, control: Reckoning | dict |
     east, north = to_local(F.col("dr_lon"), F.col("dr_lat"), F.col("lon0"), F.col("lat0"))
     df = df.withColumn("east_m", east).withColumn("north_m", north)
     step = F.sqrt((F.col("east_m") - F.lag("east_m").over(w)) ** 2 + (F.col("north_m") - F.lag("north_m").over(w)) ** 2)
-    return df.withColumn("__s", F.coalesce(step, F.lit(0.0))).withColumn("path_m", F.sum("__s").over(upto)).drop("__dt", "__u", "__e", "__n", "__s")
+    return df.withColumn("__s", F.coalesce(step, F.when(F.col("east_m").isNotNull(), 0.0))).withColumn("path_m", F.sum("__s").over(upto)).drop("__dt", "__u", "__e", "__n", "__s")
 
 
 def anchors(track: DataFrame, fixes: DataFrame, control: Reckoning | dict | None = None, popups: DataFrame | None = None) -> DataFrame:

@@ -241,7 +241,7 @@ r5 as (select *, lon0 + sum(degrees(e / (6371000.0 * cos(radians(la))))) over (p
 dr as (select "ID", us, radians(lo - lon0) * 6371000.0 * cos(radians(lat0)) east_m, radians(la - lat0) * 6371000.0 north_m from r5)"""
 SQL["trk3_reckoned"] = f"with {_RECKONED} select \"ID\", us datetime, 0.5::double speed_dr, round(east_m, 3) + 0.0 east_m, round(north_m, 3) + 0.0 north_m from dr"
 SQL["trk9_directedness"] = f"""with {_RECKONED}, st as (select *, sqrt(pow(east_m - lag(east_m) over w, 2) + pow(north_m - lag(north_m) over w, 2)) s from dr window w as (partition by "ID" order by us)),
-e as (select "ID", sum(s) path, sqrt(pow(arg_max(east_m, us) - arg_min(east_m, us), 2) + pow(arg_max(north_m, us) - arg_min(north_m, us), 2)) net from st group by "ID")
+e as (select "ID", sum(case when east_m is not null then coalesce(s, 0) end) path, sqrt(pow(arg_max(east_m, us) - arg_min(east_m, us), 2) + pow(arg_max(north_m, us) - arg_min(north_m, us), 2)) net from st group by "ID")
 select "ID", round(path, 2) + 0.0 path_m, round(net, 2) + 0.0 net_m, round(case when path <> 0 then net / path end, 6) + 0.0 directedness from e"""
 
 _ANCHORED = f"""{_RECKONED}, dp as (select *, sum(coalesce(sqrt(pow(east_m - e0, 2) + pow(north_m - n0, 2)), 0)) over (partition by "ID" order by us) path from (select *, lag(east_m) over w e0, lag(north_m) over w n0 from dr window w as (partition by "ID" order by us))),
